@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, quality, tokenfiles, tokens, toxicity
+from . import decontaminate, media, packing, quality, tokenfiles, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokens.default_path())
 
@@ -31,5 +35,19 @@ def op9_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska_media, op2_quality_attention, op5_best_fit_packing, op6_token_files, op9_toxicity_subwords)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_matroska_media, op2_quality_attention, op3_winnowing_decontamination, op5_best_fit_packing, op6_token_files, op9_toxicity_subwords)}
+#: The same rows by brute force: every window of every document against every window of the items.
+OP3_SQL = r"""
+WITH up AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS wlen, array_to_string(w[s + 1 : s + 10], ' ') AS t FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM bw WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT wlen FROM iw),
+dw AS (SELECT doc_id, s, wlen, array_to_string(w[s + 1 : s + wlen], ' ') AS t FROM (SELECT doc_id, w, wlen, unnest(range(0, len(w) - wlen + 1)) AS s FROM up, lens WHERE len(w) >= wlen)),
+hit AS (SELECT d.doc_id, d.s, d.wlen, i.item_id FROM dw d JOIN iw i ON d.t = i.t AND d.wlen = i.wlen),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + wlen)) AS p FROM (SELECT DISTINCT doc_id, s, wlen FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT u.doc_id, CAST(len(u.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM up u LEFT JOIN cov c USING (doc_id) LEFT JOIN its i USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_winnowing_decontamination": OP3_SQL}
