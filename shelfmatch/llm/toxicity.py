@@ -21,7 +21,7 @@ from .hashing import LOWER, SPACE, U64, chunks, prefix, ranges, words
 from .runtime import crc32_of_id, ship
 
 #: Bound of training: labelled rows of each kind.
-SAMPLE = 1500
+SAMPLE = 700
 BITS, DIM, WORDS, SIZES, THRESHOLD = 18, 8, 4, (3, 4, 5), 0.7
 
 
@@ -123,7 +123,7 @@ def passages_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, y int, bucket binary, passage binary, n int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, rest: int = 3, not_at: int = 1, most_bytes: int = 20_000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, rest: int = 3, not_at: int = 1, most_bytes: int = 10_000) -> dict:
     """Learns from at most ``sample`` rows of either label whose crc32(doc_id) mod ``rest`` isn't ``not_at``; texts over ``most_bytes`` don't teach."""
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (crc32_of_id("doc_id") % rest != not_at)).dropDuplicates(["doc_id"])
