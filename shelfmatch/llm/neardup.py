@@ -139,3 +139,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     every = join_small(every, labels, "node", "left", width=32)
     component = F.when(F.col("n") > 0, F.coalesce("label", "node", "doc_id")).otherwise(F.col("doc_id"))
     return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs without those whose component has a smaller doc_id; rows that share a doc_id stay if one of them does."""
+    found = near_duplicates(docs, size, similarity)
+    gone = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"))
+    return join_small(docs, gone, "doc_id", "left_anti")

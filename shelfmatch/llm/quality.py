@@ -150,3 +150,15 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted (1: good) of every document."""
     return score(docs, fit(docs, labels)).select("doc_id", (crc32_of_id("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    model, schema = fit(docs, labels), docs.schema
+
+    def run(batches):
+        for batch in batches:
+            keep = [forward(model, *passages(buf, off))[-1] >= threshold for _, _, buf, off in chunks(batch, "text")]
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return docs.mapInArrow(run, schema)

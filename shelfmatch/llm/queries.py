@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, neardup, packing, phrases, quality, suffixdedup, tokenfiles, tokens, toxicity
+from . import decontaminate, htmlmain, media, neardup, packing, phrases, quality, suffixdedup, tokenfiles, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_boosted_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokens.default_path())
 
@@ -47,7 +51,7 @@ def op10_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrase_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska_media, op2_quality_attention, op3_winnowing_decontamination, op5_best_fit_packing, op6_token_files, op7_bottom_k_near_dedup, op8_suffix_radix_dedup, op9_toxicity_subwords, op10_phrase_automata_dedup)}
+QUERIES = {f.__name__: f for f in (op1_matroska_media, op2_quality_attention, op3_winnowing_decontamination, op4_boosted_html_extraction, op5_best_fit_packing, op6_token_files, op7_bottom_k_near_dedup, op8_suffix_radix_dedup, op9_toxicity_subwords, op10_phrase_automata_dedup)}
 #: The same rows by brute force: every window of every document against every window of the items.
 OP3_SQL = r"""
 WITH up AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

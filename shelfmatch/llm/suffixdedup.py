@@ -12,8 +12,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .repeats import Bytes, digest, keyed, repeated_spans, with_spans
+from .repeats import Bytes, digest, join_by_size, keyed, repeated_spans, with_spans
 
 WIDTH, GRAM = 50, 20
 
@@ -50,11 +51,23 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
     return removed(docs, width, gram).select("doc_id", "text", "whole", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, k (hash of the text before) and the text that is left; a cut inside a character drops its other bytes too."""
+def cut_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """The rows of docs with what is left of each text (a cut inside a character drops its other bytes too); n_chars follows."""
+    rows = keyed(docs).where("doc_id is not null")
+    schema, counted = docs.schema, "n_chars" in docs.columns
+    spans = repeated_spans(rows, Bytes(width, gram)).select("doc_id", F.col("k").alias("_k"), F.col("whole").alias("_whole"), F.col("spans").alias("_spans"))
+    joined = join_by_size(docs.withColumn("_k", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), spans, ["doc_id", "_k"], "left", "coalesce(length(_spans), 0)")
+
     def run(batches):
         for batch in batches:
-            out = [_cut(t.as_py().encode(), bool(w), s.as_py(), width)[0].decode("utf-8", "ignore") for t, w, s in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["doc_id", "k", "text"])
-
-    return removed(docs, width, gram).select("doc_id", "k", "text", "whole", "spans").mapInArrow(run, "doc_id long, k long, text string")
+            cols = [batch.column(batch.schema.get_field_index(f)) for f in schema.names]
+            text, whole, found = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "_whole", "_spans"))
+            out = [None if t.as_py() is None else _cut(t.as_py().encode(), bool(w), s.as_py(), width)[0].decode("utf-8", "ignore") for t, w, s in zip(text, whole.to_pylist(), found)]
+            at = schema.names.index("text")
+            cols[at] = pa.array(out, cols[at].type)
+            if counted:
+                at = schema.names.index("n_chars")
+                cols[at] = pa.array([None if t is None else len(t) for t in out], cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    return joined.mapInArrow(run, schema)
