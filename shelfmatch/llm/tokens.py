@@ -18,8 +18,9 @@ import numpy as np
 
 #: Beyond Latin, capital dotted I, separators that only Python splits at, and special tokens.
 _WHOLE = re.compile("[\x1c-\x1f\x85İɐ-\U0010ffff]|<\\|")
+_ASCII = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Words kept by a worker: twice so many at most (two generations), and the longest that is kept.
-MOST, LONGEST = 200_000, 60
+MOST, LONGEST = 300_000, 60
 _loaded: dict = sys.modules.setdefault("_shelfmatch_token_cache", type(sys)("_shelfmatch_token_cache")).__dict__
 
 
@@ -55,7 +56,9 @@ def _words(tokenizer) -> _Cache:
     shown = {b: b if b in visible else next(spare) for b in range(256)}  # the byte-level alphabet
 
     def piece(p: str) -> bytes:
-        return array("H", [t.id for t in model(p.encode().decode("latin-1").translate(shown))]).tobytes()
+        if not (p.isascii() and p.isalnum()):
+            p = p.encode().decode("latin-1").translate(shown)
+        return array("H", [t.id for t in model(p)]).tobytes()
 
     pieces = _Cache(piece)
 
@@ -84,7 +87,7 @@ class Encoder:
         """Little-endian uint16 ids of the whole text; null: none."""
         if not text:
             return b""
-        if _WHOLE.search(text):
+        if any(x in text for x in _ASCII) if text.isascii() else _WHOLE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
