@@ -88,8 +88,9 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
     near = spans.select("doc_id", "k", "w.s", "w.wlen").distinct().groupBy("doc_id", "k").agg(F.collect_list(F.struct("s", "wlen")).alias("near"))
     texts = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("d", "text"))
     hit = join_small(texts, near.select("k", "doc_id", "near"), "k", "inner", width=400).where(F.col("d").eqNullSafe(F.col("doc_id")))
-    each = hit.select("doc_id", "k", words_of("text").alias("words"), "near").select("doc_id", "k", F.expr("transform(near, w -> struct(w.s as s, w.wlen as wlen, array_join(slice(words, w.s + 1, w.wlen), ' ') as wtext))").alias("near"))
-    each = each.select("doc_id", "k", F.explode("near").alias("w")).select("doc_id", "k", "w.*").distinct()
+    # words is used twice, so that it is computed once for a row and not once for a window
+    each = hit.select("doc_id", "k", words_of("text").alias("words"), "near").select("doc_id", "k", F.size("words").alias("n"), F.expr("transform(near, w -> struct(w.s as s, w.wlen as wlen, array_join(slice(words, w.s + 1, w.wlen), ' ') as wtext))").alias("near"))
+    each = each.select("doc_id", "k", "n", F.explode_outer("near").alias("w")).where("w.s + w.wlen <= n").select("doc_id", "k", "w.*").distinct()
     real = join_small(each, benchmark_windows(bench, window), ["wtext", "wlen"], "inner", width=200)
     # words covered by windows in order of their start: each adds what lies beyond all earlier ends
     earlier = F.max(F.col("s") + F.col("wlen")).over(Window.partitionBy("doc_id", "k").orderBy("s", "wlen").rowsBetween(Window.unboundedPreceding, -1))
@@ -100,3 +101,9 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
     joined = rows.join(total, (rows["k"] == total["k"]) & rows["doc_id"].eqNullSafe(total["hit_id"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(rows["doc_id"], "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of docs without documents that hold a benchmark window."""
+    hit = contamination(docs, bench, window, gram).where("contaminated and doc_id is not null").select("doc_id").distinct()
+    return join_small(docs, written(hit), "doc_id", "left_anti")
