@@ -1,0 +1 @@
+"""Streaming: the reference has no streams; repeated arrival is handled in batch by `operators.incremental`."""
