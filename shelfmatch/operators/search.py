@@ -12,6 +12,11 @@ from ..functions.text import cell, loose_key, title_key, tokenize
 MIN_SCORE, LIMIT, CONFIDENT, LEAD, CLOSE, SUGGEST = 0.42, 50, 0.92, 0.04, 0.58, 0.62
 
 
+def rounded(score: Column) -> Column:
+    """To six places by plain arithmetic, so that ties fall alike everywhere."""
+    return F.floor(score * 1e6 + 0.5) / 1e6
+
+
 def prepare_queries(queries: DataFrame) -> DataFrame:
     """query_id and struct q of a table (query_id, query)."""
     d = queries.select("query_id", cell("query").alias("raw")).withColumns({"key": title_key("raw"), "loose": loose_key("raw"), "isbn": F.when(looks_like_isbn("raw"), isbn_search_digits("raw")).otherwise("")})
@@ -36,6 +41,10 @@ def candidates(q: DataFrame, t: DataFrame) -> DataFrame:
     left = q.where("q.text <> ''").select("query_id", F.explode(grams("q")).alias("g"))
     right = t.select("id", F.explode(F.array_distinct(F.concat(grams("t"), _inner(F.col("t.authors"))))).alias("g"))
     pairs = left.join(right, "g").select("query_id", "id").distinct()
+    # queries of one character hold no pair inside: they meet cards by their character
+    single = q.where("length(q.text) = 1 or length(q.loose) = 1").select("query_id", F.explode(F.array_distinct(F.array("q.text", "q.loose"))).alias("g"))
+    letters = t.select("id", F.explode(F.array_distinct(F.split(F.concat("t.key", "t.loose", "t.authors"), ""))).alias("g"))
+    pairs = pairs.union(single.where("length(g) = 1").join(letters, "g").select("query_id", "id"))
     return pairs.union(lookup_pairs(q, t)).distinct()
 
 
@@ -64,7 +73,7 @@ def score(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE) ->
     """query_id, id, title, score, reason of all pairs from min_score on; ISBN queries with a card of theirs get that alone."""
     q, t = prepare_queries(queries), prepare_cards(cards)
     pairs = candidates(q, t).join(q, "query_id").join(t, "id").withColumn("s", title_score("q", "t"))
-    hits = pairs.select("query_id", "id", "title", F.round("s.score", 6).alias("score"), F.col("s.reason").alias("reason"), (F.col("q.isbn") != "").alias("by_isbn")).where(F.col("score") >= min_score)
+    hits = pairs.select("query_id", "id", "title", rounded(F.col("s.score")).alias("score"), F.col("s.reason").alias("reason"), (F.col("q.isbn") != "").alias("by_isbn")).where(F.col("score") >= min_score)
     first = isbn_lookup(queries, cards).select("query_id", F.col("id").alias("only"))
     return hits.join(first, "query_id", "left").where("not by_isbn or only is null or id = only").drop("by_isbn", "only")
 
@@ -141,7 +150,7 @@ def enrich(hits: DataFrame, found: DataFrame, queries: DataFrame, cards: DataFra
     s = new.select("query_id", "id").distinct().join(q, "query_id").join(t, "id").where("q.isbn = '' and length(q.raw) >= 3").withColumn("s", title_score("q", "t"))
     floor = F.greatest("s.score", F.when(F.col("title") != "", 0.55).otherwise(0.7))
     exact = (F.col("title") != "") & (F.col("s.reason") == "title") & (F.col("s.score") >= CONFIDENT)
-    more = s.where(floor >= min_score).select("query_id", "id", "title", F.round(F.when(exact, F.col("s.score")).otherwise(F.least(floor, F.lit(0.9))), 6).alias("score"), F.when(F.col("s.reason") == "title", "title").otherwise("author").alias("reason"))
+    more = s.where(floor >= min_score).select("query_id", "id", "title", rounded(F.when(exact, F.col("s.score")).otherwise(F.least(floor, F.lit(0.9)))).alias("score"), F.when(F.col("s.reason") == "title", "title").otherwise("author").alias("reason"))
     return hits.select("query_id", "id", "title", "score", "reason").union(more)
 
 

@@ -379,7 +379,7 @@ x2 AS (SELECT *, greatest(ov * 0.78, dice * 0.86, CASE WHEN near > 0.72 THEN nea
 x3 AS (SELECT query_id, d, id, title, CASE WHEN isbn_hit THEN 1.0 WHEN key <> '' AND tkey <> '' AND key = tkey THEN 1.0 WHEN key <> '' AND tkey <> '' AND starts_with(tkey, key) THEN 0.96 WHEN key <> '' AND tkey <> '' AND contains(tkey, key) THEN 0.88 + least(0.07, len(key) / len(tkey)::DOUBLE * 0.07)
   WHEN blob <> '' AND loose <> '' AND contains(blob, loose) THEN greatest(CASE WHEN blob = loose THEN 0.84 ELSE 0.72 END, CASE WHEN tkey <> '' THEN ov * 0.7 ELSE 0.0 END) WHEN tkey = '' THEN 0.0 ELSE fuzzy END AS s,
   CASE WHEN isbn_hit THEN 'isbn' WHEN key <> '' AND tkey <> '' AND contains(tkey, key) THEN 'title' WHEN blob <> '' AND loose <> '' AND contains(blob, loose) THEN CASE WHEN tkey <> '' AND ov > 0.5 THEN 'title' ELSE 'author' END WHEN tkey = '' THEN 'fuzzy' WHEN fuzzy >= 0.9 THEN 'title' ELSE 'fuzzy' END AS reason FROM x2),
-hit AS (SELECT query_id, id, title, round(s::DOUBLE, 6) AS score, reason FROM x3 LEFT JOIN only_ USING (query_id) WHERE round(s::DOUBLE, 6) >= {{least}} AND (d = '' OR only_id IS NULL OR only_id = id)),
+hit AS (SELECT query_id, id, title, floor(s::DOUBLE * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS score, reason FROM x3 LEFT JOIN only_ USING (query_id) WHERE floor(s::DOUBLE * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE >= {{least}} AND (d = '' OR only_id IS NULL OR only_id = id)),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id) AS rank FROM hit QUALIFY rank <= {{limit}})"""
 
 

@@ -97,7 +97,7 @@ def test_lookup(spark):
 def test_blocking_loses_nothing(spark):
     titles = ["Charlotte's Web", "The Web of Lies", "Stuart", "Go", "A B", "Ocean deep blue", "Oceans"]
     cards = build_catalogue(rows(spark, *({"title": t, "author": a} for t, a in zip(titles, ["Ann Lee", "Bo", "", "Al", "Xu", "Lee", "O"])))).cards
-    q = spark.createDataFrame([(i, t) for i, t in enumerate(["web", "ocean", "go", "lee", "stuart litle", "b", "deep blue", "oceans"])], "query_id long, query string")
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["web", "ocean", "go", "lee", "stuart litle", "b", "deep blue", "oceans", "e", "The A"])], "query_id long, query string")
     pq, pc = search.prepare_queries(q), search.prepare_cards(cards)
     every = pq.join(pc, F.lit(True)).withColumn("s", search.title_score("q", "t")).where("s.score >= 0.42").select("query_id", "id")
     found = search.candidates(pq, pc)
