@@ -66,4 +66,44 @@ SELECT u.doc_id, CAST(len(u.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM up u LEFT JOIN cov c USING (doc_id) LEFT JOIN its i USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_winnowing_decontamination": OP3_SQL}
+#: Similar pairs by counting common shingles, components by a recursive walk.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1 : k + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 0) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+walk AS (SELECT a AS k, a AS l FROM both_ UNION SELECT walk.k, both_.b FROM walk JOIN both_ ON both_.a = walk.l),
+c AS (SELECT k, min(l) AS component_id FROM walk GROUP BY k)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(component_id, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON k = w.doc_id
+"""
+
+#: Every 50-byte window (100 hexadecimal digits) against its smallest document.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, h[2 * s + 1 : 2 * s + 100] AS x FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS s FROM d)),
+f AS (SELECT x, min(doc_id) AS m FROM w GROUP BY x HAVING count(*) > 1),
+g AS (SELECT doc_id, s, s + 50 AS e FROM w JOIN f USING (x) WHERE m < doc_id),
+o AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM g),
+r AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM o),
+sp AS (SELECT doc_id, run, min(s) AS a, max(e) AS b FROM r GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x0, a AS x1 FROM sp UNION ALL SELECT doc_id, max(b), NULL FROM sp GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN x1 = x0 THEN '' ELSE h[2 * x0 + 1 : coalesce(2 * x1, len(h))] END, '' ORDER BY x0) AS k FROM pieces JOIN d USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM sp GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+#: Every 20-word window against its first place.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS nth FROM (SELECT doc_id, s, array_to_string(w[s + 1 : s + 20], ' ') AS t FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 19, 0))) AS s FROM d))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM x WHERE nth > 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+word AS (SELECT doc_id, p, w[p + 1] AS v FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM d)),
+kept AS (SELECT word.doc_id, string_agg(v, ' ' ORDER BY word.p) AS k FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p WHERE gone.p IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_winnowing_decontamination": OP3_SQL, "op7_bottom_k_near_dedup": OP7_SQL, "op8_suffix_radix_dedup": OP8_SQL, "op10_phrase_automata_dedup": OP10_SQL}
