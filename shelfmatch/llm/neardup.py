@@ -6,6 +6,9 @@ values, so a document is listed only under the rarest values of which one must b
 too few of its values occur elsewhere).  Pairs from the lists pass an estimate on the union's sketch
 and are confirmed by the exact Jaccard similarity of the full sets.
 
+The documents that any list holds are then listed anew by their full sets, rarest shingles first, and a
+pair is made only where a common shingle stands as early in both as the pair's sizes call for.
+
 Only components are asked for, so the lists are worked off in rounds: first each list's pivot against
 its other members, then, after the components so far are known, every pair of a list that lies in two
 components.  A group of thousands of copies costs a few pairs for each of them, and no link between
@@ -109,6 +112,27 @@ def _set(data, size: int) -> np.ndarray:
     return next(shingle_sets(buf, np.array([0, len(buf)]), size))
 
 
+def prefix_lists(texts: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """v, node, n, s, rank: the listed documents' full sets, rarest values first, as far as a similar set must share one.
+
+    n: shingles of the set; s: those that another listed document has too; rank: place of v in the order.
+    """
+    def run(batches):
+        for batch in batches:
+            for i, j, buf, off in chunks(batch, "text"):
+                sets = list(shingle_sets(buf, off, size))
+                n = np.array([len(x) for x in sets])
+                nodes = np.repeat(batch.column(0).to_numpy()[i:j], n)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], ["node", "n", "v"])
+
+    values = texts.mapInArrow(run, "node long, n long, v long").distinct()
+    again = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    by = values.join(again, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by")).withColumn("s", F.size("by").cast("long"))
+    most = F.expr(f"cast(n - ceil({similarity} * n) + 1 - (n - s) as int)")
+    placed = by.select("node", "n", "s", F.posexplode(F.slice("by", 1, F.greatest(most, F.lit(0)))).alias("p", "b"))
+    return placed.select("b.v", "node", "n", "s", (F.col("n") - F.col("s") + F.col("p") + 1).alias("rank"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, stars: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     if not 0 < similarity <= 1 or similarity < 0.7:
@@ -123,15 +147,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     nodes = listed.select("node").distinct()
     sketch = written(join_small(reps.select("node", "sketch"), nodes, "node", "left_semi"))
     texts = written(join_small(docs.select(F.col("doc_id").alias("node"), "text"), nodes, "node", "left_semi"))
+    listed = written(prefix_lists(texts, size, similarity))
+    # of the pair's sizes follows how many values it must share, and so where in both orders a common one must stand
+    need_ = lambda o: similarity / (1 + similarity) * (F.col("n") + F.col(f"{o}n")) - 1e-6
+    may = lambda o: (F.least("s", f"{o}s") >= need_(o)) & (F.col("rank") <= F.col("n") - need_(o) + 1) & (F.col(f"{o}rank") <= F.col(f"{o}n") - need_(o) + 1)
     links, labels = None, None
     for r in range(stars + 1):
         q = listed.withColumn("label", F.col("node")) if labels is None else listed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         if r < stars:
-            pivots = q.groupBy("v").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "label")).alias("p"))
-            met = q.join(pivots, "v").where("label <> p.label").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+            # first the member with the fewest shingles of its own, which copies are nearest to, then any
+            rank = -F.col("s") / F.col("n") if r == 0 else F.xxhash64("node", F.lit(r)).cast("double")
+            pivots = q.groupBy("v").agg(F.min(F.struct(rank.alias("h"), "node", "label", "n", "s", "rank")).alias("p")).select("v", "p", F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.rank").alias("prank"))
+            met = q.join(pivots, "v").where((F.col("label") != F.col("p.label")) & may("p")).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
         else:
-            other = q.select("v", F.col("node").alias("b"), F.col("label").alias("other"))
-            met = q.join(other, "v").where("label < other").select(F.col("node").alias("a"), "b")
+            several = q.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
+            q = q.join(several, "v", "left_semi")
+            other = q.select("v", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("on"), F.col("s").alias("os"), F.col("rank").alias("orank"))
+            met = q.join(other, (q["v"] == other["v"]) & (F.col("label") < F.col("other")) & may("o")).select(F.col("node").alias("a"), "b")
         found = written(confirmed(written(met.distinct()), sketch, texts, size, similarity, k))
         links = found if links is None else links.union(found)
         labels = components(links)
