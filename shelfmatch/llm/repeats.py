@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .hashing import _BASE, _BASE_INV, _BYTE, _GRAM, U64, anchors, chunks, grams, mix, prefix, ranges, windows, words
 from .runtime import ship, written
 
-#: Rows of a gram's group above which its windows are grouped one by one; bytes of a side that may be broadcast.
-HOT, BROADCAST = 20_000, 64 << 20
+#: Rows of a gram's group above which its windows are grouped one by one; bytes of a side that may be broadcast; bytes of text hashed at once.
+HOT, BROADCAST, CHUNK = 20_000, 64 << 20, 1 << 19
 _RECORD = np.dtype([("key", "<u4"), ("high", "<u2"), ("doc", "<u2"), ("at", "<u4")])
 
 
@@ -116,11 +116,12 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def recurring(docs: DataFrame, unit) -> DataFrame:
     """Pass 1: (doc_id, k, at) with the packed places of a document's chosen grams that recur elsewhere."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * tasks  # a task sorts one bucket after another
 
     def choose(batches):
         for batch in batches:
-            for i, j, buf, off in chunks(batch, "text"):
+            for i, j, buf, off in chunks(batch, "text", CHUNK):
                 for a in range(i, j, 1 << 16):  # a record's document number has 16 bits
                     b = min(j, a + (1 << 16))
                     part, o = buf[off[a - i] : off[b - i]], off[a - i : b - i + 1] - off[a - i]
@@ -145,22 +146,28 @@ def recurring(docs: DataFrame, unit) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[c] for x in rows], pa.binary()) for c in (1, 2, 3))], ["bucket", "ids", "ks", "records"])
 
     def sort(batches):
-        ids, ks, records, base = [], [], [], 0
-        numbers = []
+        bucket, held = None, []
         for batch in batches:
-            for a, b, c in zip(batch.column(1), batch.column(2), batch.column(3)):
-                d = np.frombuffer(a.as_buffer(), np.int64)
-                r = np.frombuffer(c.as_buffer(), _RECORD)
-                ids.append(d.copy())
-                ks.append(np.frombuffer(b.as_buffer(), np.int64).copy())
-                records.append((r["high"].astype(U64) << U64(32) | r["key"], r["at"].copy()))
-                numbers.append(r["doc"].astype(np.int64) + base)
-                base += len(d)
-        if not records:
+            for row in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in (1, 2, 3))):
+                if row[0] != bucket:
+                    yield from ordered(held)
+                    bucket, held = row[0], []
+                held.append(tuple(x.as_py() for x in row[1:]))
+        yield from ordered(held)
+
+    def ordered(held):
+        if not held:
             return
+        ids, ks, records, numbers, base = [], [], [], [], 0
+        for a, b, c in held:
+            ids.append(np.frombuffer(a, np.int64))
+            ks.append(np.frombuffer(b, np.int64))
+            records.append(np.frombuffer(c, _RECORD))
+            numbers.append(records[-1]["doc"].astype(np.int64) + base)
+            base += len(ids[-1])
         ids, ks, number = np.concatenate(ids), np.concatenate(ks), np.concatenate(numbers)
-        key, at = np.concatenate([r[0] for r in records]), np.concatenate([r[1] for r in records])
-        del records, numbers
+        r = np.concatenate(records)
+        key, at = r["high"].astype(U64) << U64(32) | r["key"], r["at"]
         order = np.argsort(key)
         key, number, at = key[order], number[order], at[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -180,16 +187,16 @@ def recurring(docs: DataFrame, unit) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(d[h]), pa.array(k[h]), pa.array([_packed([at[x:y]]) for x, y in zip(h, ends)], pa.binary())], ["doc_id", "k", "at"])
 
     # a gram's rows are one for each occurrence of 12 bytes, packed: a bucket holds a fixed share of all grams
-    dealt = docs.select("doc_id", "k", "text").mapInArrow(choose, "bucket int, ids binary, ks binary, records binary").repartition(parts, "bucket")
+    dealt = docs.select("doc_id", "k", "text").mapInArrow(choose, "bucket int, ids binary, ks binary, records binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(sort, "doc_id long, k long, at binary")
 
 
 def _places(batch: pa.RecordBatch, unit, locate):
-    """For chunks of (doc_id, k, text, list of packed places): rows of ids, state, grams' places, and windows' first and last starts."""
-    for i, j, buf, off in chunks(batch, "text"):
+    """For chunks of (doc_id, k, text, packed places): rows of ids, state, grams' places, and windows' first and last starts."""
+    for i, j, buf, off in chunks(batch, "text", CHUNK):
         h, first, state = unit.sequence(buf, off)
         lists = batch.column(3).slice(i, j - i)
-        own = [np.unique(np.concatenate([_unpacked(x) for x in v.as_py()])) for v in lists]
+        own = [_unpacked(v.as_py()) for v in lists]
         at = np.concatenate([p + first[d] for d, p in enumerate(own)]) if own else np.zeros(0, np.int64)
         if locate is not None:
             at = locate(state, first, at)
@@ -214,8 +221,13 @@ def occurrences(docs: DataFrame, places: DataFrame, unit, locate=None) -> DataFr
                 ids, ks = batch.column(0).to_numpy()[i:][doc], batch.column(1).to_numpy()[i:][doc]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ks), *(pa.array((x - zero).astype(np.int32)) for x in (at, lo, hi)), pa.array(h[at].view(np.int64)), pa.array(ctx.view(np.int64))], names)
 
-    lists = written(places.groupBy("doc_id", "k").agg(F.collect_list("at").alias("places")))
-    found = join_by_size(docs, lists, ["doc_id", "k"], "inner", "aggregate(places, 0L, (s, x) -> s + length(x) + 24)")
+    def merge(batches):
+        for batch in batches:
+            one = [_packed([_unpacked(x) for x in v]) for v in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(one, pa.binary())], ["doc_id", "k", "places"])
+
+    lists = written(places.groupBy("doc_id", "k").agg(F.collect_list("at").alias("at")).mapInArrow(merge, "doc_id long, k long, places binary"))
+    found = join_by_size(docs, lists, ["doc_id", "k"], "inner", "length(places)")
     return found.select("doc_id", "k", "text", "places").mapInArrow(run, "doc_id long, k long, at int, lo int, hi int, gram long, context long")
 
 
@@ -232,10 +244,10 @@ def contents(docs: DataFrame, firsts: DataFrame, unit) -> DataFrame:
 
     def pack(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[_packed([np.array(x, np.int64)])] for x in batch.column(2).to_pylist()], pa.list_(pa.binary()))], ["doc_id", "k", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_packed([np.array(x, np.int64)]) for x in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "k", "places"])
 
-    lists = written(firsts.groupBy("doc_id", "k").agg(F.collect_list("at").alias("at")).mapInArrow(pack, "doc_id long, k long, places array<binary>"))
-    found = join_by_size(docs, lists, ["doc_id", "k"], "inner", "aggregate(places, 0L, (s, x) -> s + length(x) + 24)")
+    lists = written(firsts.groupBy("doc_id", "k").agg(F.collect_list("at").alias("at")).mapInArrow(pack, "doc_id long, k long, places binary"))
+    found = join_by_size(docs, lists, ["doc_id", "k"], "inner", "length(places)")
     return found.select("doc_id", "k", "text", "places").mapInArrow(run, "gram long, context long, doc_id long, at int, shift int, content binary")
 
 
@@ -307,18 +319,23 @@ def repeated_windows(variants: DataFrame, unit) -> DataFrame:
 def repeated_spans(docs: DataFrame, unit, locate=None) -> DataFrame:
     """(doc_id, k, whole, spans): whole marks a copy of an earlier document; spans are [from, to) pairs of units, packed int64.
 
-    docs: doc_id (not null), k (the text's hash), text.
+    docs: doc_id (not null), k (text_number), text.
     """
     ship(docs.sparkSession)
-    prints = docs.select("doc_id", "k", F.xxhash64(F.lit(7), "text").alias("k2"))
-    copies = written(prints.join(prints.groupBy("k", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), ["k", "k2"]).where("doc_id > first").select("doc_id", "k").distinct())
+    prints = docs.select("doc_id", "k", F.xxhash64(F.lit(7), "text").alias("k2"), F.octet_length("text").alias("size"))
+    copies = written(prints.join(prints.groupBy("k", "k2", "size").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), ["k", "k2", "size"]).where("doc_id > first").select("doc_id", "k").distinct())
     own = join_by_size(docs, copies, ["doc_id", "k"], "left_anti", "16")
     found = written(occurrences(own, recurring(own, unit), unit, locate).distinct() if locate else occurrences(own, recurring(own, unit), unit))
-    variants = written(found.groupBy("context", "gram").agg(F.min(F.struct("doc_id", "at", "k")).alias("first"), F.count(F.lit(1)).alias("n")))
+    if unit.within:
+        first = found.groupBy("context", "gram").agg(F.min(F.struct("doc_id", "at", "k")).alias("f"), F.count(F.lit(1)).alias("n")).select("context", "gram", "n", F.col("f.doc_id").alias("d"), F.col("f.at").alias("a"), F.col("f.k").alias("k"))
+    else:  # any place in the smallest doc_id will do; numbers alone are aggregated by hash
+        place = F.min_by(F.shiftleft(F.col("at").cast("long"), 32) + F.col("k"), "doc_id")
+        first = found.groupBy("context", "gram").agg(F.min("doc_id").alias("d"), place.alias("p"), F.count(F.lit(1)).alias("n")).select("context", "gram", "n", "d", F.shiftright("p", 32).cast("int").alias("a"), F.col("p").bitwiseAND(0xFFFFFFFF).alias("k"))
+    variants = written(first)
     several = variants.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram")
-    firsts = variants.join(several, "gram", "left_semi").select("first.*")
+    firsts = variants.join(several, "gram", "left_semi").select(F.col("d").alias("doc_id"), F.col("a").alias("at"), "k")
     masks = repeated_windows(contents(own, firsts, unit), unit)
-    marks = variants.join(masks.groupBy("context").agg(F.bit_or("mask").alias("mask")), "context", "left").where("n > 1 or mask is not null").select("context", F.col("first.doc_id").alias("d"), F.col("first.at").alias("a"), F.coalesce("mask", F.lit(0)).alias("mask"))
+    marks = variants.join(masks.groupBy("context").agg(F.bit_or("mask").alias("mask")), "context", "left").where("n > 1 or mask is not null").select("context", "d", "a", F.coalesce("mask", F.lit(0)).alias("mask"))
     later = "doc_id > d or (doc_id = d and at > a)" if unit.within else "doc_id > d"
     hits = found.join(marks, "context").select("doc_id", "k", "at", "lo", "hi", F.expr(f"case when {later} then -1L else mask end").alias("mask")).where("mask <> 0")
     reach, width = unit.reach, unit.width
@@ -347,9 +364,14 @@ def repeated_spans(docs: DataFrame, unit, locate=None) -> DataFrame:
     return written(spans.union(copies.select("doc_id", "k", F.lit(True), F.lit(None).cast("binary"))))
 
 
+def text_number(text: str):
+    """32 bits of a text's hash: tells rows with the same doc_id apart."""
+    return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, k, text of all rows; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("k"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", text_number("text").alias("k"), "text")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -55,13 +55,13 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
     """The rows of docs with what is left of each text (a cut inside a character drops its other bytes too); n_chars follows."""
     rows = keyed(docs).where("doc_id is not null")
     schema, counted = docs.schema, "n_chars" in docs.columns
-    spans = repeated_spans(rows, Bytes(width, gram)).select("doc_id", F.col("k").alias("_k"), F.col("whole").alias("_whole"), F.col("spans").alias("_spans"))
-    joined = join_by_size(docs.withColumn("_k", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), spans, ["doc_id", "_k"], "left", "coalesce(length(_spans), 0)")
+    spans = repeated_spans(rows, Bytes(width, gram)).select("doc_id", F.col("k").alias("__repeat_k"), F.col("whole").alias("__repeat_whole"), F.col("spans").alias("__repeat_spans"))
+    joined = join_by_size(docs.withColumn("__repeat_k", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(0xFFFFFFFF)), spans, ["doc_id", "__repeat_k"], "left", "coalesce(length(__repeat_spans), 0)")
 
     def run(batches):
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(f)) for f in schema.names]
-            text, whole, found = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "_whole", "_spans"))
+            text, whole, found = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "__repeat_whole", "__repeat_spans"))
             out = [None if t.as_py() is None else _cut(t.as_py().encode(), bool(w), s.as_py(), width)[0].decode("utf-8", "ignore") for t, w, s in zip(text, whole.to_pylist(), found)]
             at = schema.names.index("text")
             cols[at] = pa.array(out, cols[at].type)
