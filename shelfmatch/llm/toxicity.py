@@ -65,6 +65,14 @@ def subwords(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(out).astype(np.int64), np.concatenate(who), first
 
 
+def _sums(at: np.ndarray, values: np.ndarray | None, take: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values[take] by at, over slices, so that no copy of the whole is made."""
+    out = np.zeros(n)
+    for a in range(0, len(at), 1 << 20):
+        out += np.bincount(at[a : a + (1 << 20)], None if values is None else values[take[a : a + (1 << 20)]], n)
+    return out
+
+
 def train(bucket: np.ndarray, passage: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 80, seed: int = 11) -> dict:
     """Embeddings E and softmax W together: the first rounds learn from all passages, later ones mostly from each document's most toxic one."""
     rng = np.random.default_rng(seed)
@@ -74,13 +82,11 @@ def train(bucket: np.ndarray, passage: np.ndarray, first: np.ndarray, y: np.ndar
         p = (len(y) * rate + 0.5) / (len(y) + 1)
         return {"z": np.zeros(1 << BITS, np.float32), "bias": float(np.log(p / (1 - p)))}
     e_sq, w_sq, b_sq = np.full(1 << BITS, 1e-6, np.float32), 1e-6, 1e-6
-    many = np.maximum(np.bincount(passage, minlength=first[-1]), 1)
-    order = np.argsort(passage, kind="stable")
-    bucket, passage = bucket[order], passage[order]
+    many = np.maximum(_sums(passage, None, passage, int(first[-1])), 1)
     for t in range(rounds):
         weight = w[:, 1] - w[:, 0]
         z = e @ weight
-        s = np.bincount(passage, z[bucket], first[-1]) / many
+        s = _sums(passage, z, bucket, int(first[-1])) / many
         hard = min(80.0, 2.0 + 3.0 * t)  # the pool over passages turns from mean to maximum
         top = np.maximum.reduceat(s, first[:-1])
         q = np.exp(hard * (s - np.repeat(top, np.diff(first))))
@@ -88,11 +94,8 @@ def train(bucket: np.ndarray, passage: np.ndarray, first: np.ndarray, y: np.ndar
         pooled = np.add.reduceat(q * s, first[:-1]) + b[1] - b[0]
         d = (1 / (1 + np.exp(-np.clip(pooled, -30, 30))) - y) / len(y)
         g = q * np.repeat(d, np.diff(first)) / many  # for each subword of the passage
-        use = np.flatnonzero(np.abs(g) > 1e-9)
-        live = np.zeros(first[-1], bool)
-        live[use] = True
-        rows = live[passage]
-        by = np.bincount(bucket[rows], g[passage[rows]], 1 << BITS)  # dL/dz of each bucket
+        rows = (np.abs(g) > 1e-9)[passage]
+        by = _sums(bucket[rows], g, passage[rows], 1 << BITS)  # dL/dz of each bucket
         ge = by[:, None] * weight
         gw = e.T @ by
         e_sq += (ge * ge).mean(1)
@@ -132,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     rows = passages_of(picked).orderBy("doc_id").limit(4 * sample).collect()
     first = np.concatenate([[0], np.cumsum([r.n for r in rows])]).astype(int)
     bucket = np.concatenate([np.frombuffer(r.bucket, np.int32) for r in rows] or [np.zeros(0, np.int32)])
-    passage = np.concatenate([np.frombuffer(r.passage, np.int32) + f for r, f in zip(rows, first)] or [np.zeros(0, int)])
+    passage = np.concatenate([np.frombuffer(r.passage, np.int32) + np.int32(f) for r, f in zip(rows, first)] or [np.zeros(0, np.int32)])
     y = np.array([r.y for r in rows], float)
     del rows
     return train(bucket, passage, first, y)
