@@ -17,9 +17,16 @@ _shipped: set[str] = set()
 _own: list[str] = []
 
 
+#: Rows of an Arrow batch: texts are long, and two tasks of an executor hold a few batches each.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, whatever their Python path is (once per application)."""
+    """Gives the executors this package, whatever their Python path is (once per application), and asks for small Arrow batches."""
     sc = spark.sparkContext
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(batch)) > BATCH_ROWS:
+        spark.conf.set(batch, BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
