@@ -149,3 +149,15 @@ def test_registered_queries_have_oracles(name):
 
     assert name in e.queries() and name in e.oracle_sql()
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_enrich_and_empty_query(spark):
+    shape = "id string, title string, authors array<string>, isbn_digits array<string>"
+    cards = spark.createDataFrame([("c1", "Ocean deep", ["Lee"], [A]), ("c2", "Heidi", [], [])], shape)
+    left = spark.createDataFrame([(1, "h1", "Ocean Deep!", ["Lee"], [B]), (2, "h2", "Oceans of time", ["Bo"], ["9780140324501"]), (3, "h3", "", ["Ocean, Ann"], ["9780140324518"])], "row_id long, " + shape)
+    q = spark.createDataFrame([(1, "ocean")], "query_id long, query string")
+    hits = spark.createDataFrame([(1, "c1", "Ocean deep", 0.96, "title")], "query_id long, id string, title string, score double, reason string")
+    found = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "query_id long, row_id long")
+    got = {r.id: (r.score, r.reason) for r in search.enrich(hits, found, q, cards, left).collect()}
+    assert got == {"c1": (0.96, "title"), "h2": (0.96, "title"), "h3": (0.72, "author")}
+    assert [r.id for r in search.empty_query(cards, 1).collect()] == ["c2"]
