@@ -12,15 +12,17 @@ without labels of both kinds give the labels' share (0.5 without any); repeated
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import LOWER, SPACE, U64, chunks, prefix, ranges, words
-from .runtime import crc32_of_id, ship
+from .runtime import crc32_of_id, ship, written
 
-#: Bound of training: labelled rows of each kind.
+#: Bound of training: labelled texts of each kind, each whole.
 SAMPLE = 700
 BITS, DIM, WORDS, SIZES, THRESHOLD = 18, 8, 4, (3, 4, 5), 0.7
 
@@ -65,16 +67,43 @@ def subwords(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(out).astype(np.int64), np.concatenate(who), first
 
 
-def _sums(at: np.ndarray, values: np.ndarray | None, take: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values[take] by at, over slices, so that no copy of the whole is made."""
-    out = np.zeros(n)
-    for a in range(0, len(at), 1 << 20):
-        out += np.bincount(at[a : a + (1 << 20)], None if values is None else values[take[a : a + (1 << 20)]], n)
-    return out
+class Lessons:
+    """The training texts' subwords as int32 buckets, passage by passage, in a temporary file of the driver; only counts stay in memory."""
+
+    def __init__(self) -> None:
+        self._file, self._many, self._per, self._y = tempfile.TemporaryFile(), [], [], []
+
+    def add(self, texts: list[str], ys: list[int]) -> None:
+        for i, j, buf, off in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text", 1 << 18):
+            bucket, passage, first = subwords(buf, off)
+            bucket[np.argsort(passage, kind="stable")].astype(np.int32).tofile(self._file)
+            self._many.append(np.bincount(passage, minlength=int(first[-1])).astype(np.int32))
+            self._per.append(np.diff(first))
+            self._y += ys[i:j]
+
+    @property
+    def y(self) -> np.ndarray:
+        return np.array(self._y, float)
+
+    def slices(self):
+        """(documents from, to, subwords from, to, subwords of each passage, passages of each document) of runs of whole documents."""
+        d = at = 0
+        for many, per in zip(self._many, self._per):
+            n = int(many.sum())
+            yield d, d + len(per), at, at + n, many, per
+            d, at = d + len(per), at + n
+
+    def buckets(self, a: int, b: int) -> np.ndarray:
+        self._file.seek(4 * a)
+        return np.fromfile(self._file, np.int32, b - a)
 
 
-def train(bucket: np.ndarray, passage: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 80, seed: int = 11) -> dict:
-    """Embeddings E and softmax W together: the first rounds learn from all passages, later ones mostly from each document's most toxic one."""
+def train(lessons: Lessons, rounds: int = 80, seed: int = 11) -> dict:
+    """Embeddings E and softmax W together: the first rounds learn from all passages, later ones mostly from each document's most toxic one.
+
+    Gradients are those of all texts at once, summed over slices of whole documents.
+    """
+    y = lessons.y
     rng = np.random.default_rng(seed)
     e, w, b = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2)
     rate = float(y.mean()) if len(y) else 0.5
@@ -82,20 +111,23 @@ def train(bucket: np.ndarray, passage: np.ndarray, first: np.ndarray, y: np.ndar
         p = (len(y) * rate + 0.5) / (len(y) + 1)
         return {"z": np.zeros(1 << BITS, np.float32), "bias": float(np.log(p / (1 - p)))}
     e_sq, w_sq, b_sq = np.full(1 << BITS, 1e-6, np.float32), 1e-6, 1e-6
-    many = np.maximum(_sums(passage, None, passage, int(first[-1])), 1)
     for t in range(rounds):
         weight = w[:, 1] - w[:, 0]
         z = e @ weight
-        s = _sums(passage, z, bucket, int(first[-1])) / many
         hard = min(80.0, 2.0 + 3.0 * t)  # the pool over passages turns from mean to maximum
-        top = np.maximum.reduceat(s, first[:-1])
-        q = np.exp(hard * (s - np.repeat(top, np.diff(first))))
-        q /= np.repeat(np.add.reduceat(q, first[:-1]), np.diff(first))
-        pooled = np.add.reduceat(q * s, first[:-1]) + b[1] - b[0]
-        d = (1 / (1 + np.exp(-np.clip(pooled, -30, 30))) - y) / len(y)
-        g = q * np.repeat(d, np.diff(first)) / many  # for each subword of the passage
-        rows = (np.abs(g) > 1e-9)[passage]
-        by = _sums(bucket[rows], g, passage[rows], 1 << BITS)  # dL/dz of each bucket
+        by, gb = np.zeros(1 << BITS), 0.0  # dL/dz of each bucket, dL/db
+        for d0, d1, s0, s1, many, per in lessons.slices():
+            bucket, passage = lessons.buckets(s0, s1), np.repeat(np.arange(len(many)), many)
+            head, many = np.cumsum(per) - per, np.maximum(many, 1)
+            s = np.bincount(passage, z[bucket], len(many)) / many
+            q = np.exp(hard * (s - np.repeat(np.maximum.reduceat(s, head), per)))
+            q /= np.repeat(np.add.reduceat(q, head), per)
+            pooled = np.add.reduceat(q * s, head) + b[1] - b[0]
+            d = (1 / (1 + np.exp(-np.clip(pooled, -30, 30))) - y[d0:d1]) / len(y)
+            g = q * np.repeat(d, per) / many  # for each subword of the passage
+            rows = (np.abs(g) > 1e-9)[passage]
+            by += np.bincount(bucket[rows], g[passage[rows]], 1 << BITS)
+            gb += float(d.sum())
         ge = by[:, None] * weight
         gw = e.T @ by
         e_sq += (ge * ge).mean(1)
@@ -104,41 +136,35 @@ def train(bucket: np.ndarray, passage: np.ndarray, first: np.ndarray, y: np.ndar
         step = (0.2 * gw / w_sq**0.5).astype(np.float32)
         w[:, 1] -= step / 2
         w[:, 0] += step / 2
-        gb = float(d.sum())
         b_sq += gb * gb
         b += np.array([1, -1]) * 0.1 * gb / b_sq**0.5
     return {"z": e @ (w[:, 1] - w[:, 0]), "bias": float(b[1] - b[0])}
 
 
-def passages_of(docs: DataFrame) -> DataFrame:
-    """doc_id, y and the subwords of each training row: buckets and passages as int32 bytes."""
-    def run(batches):
-        for batch in batches:
-            ids, ys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, j, buf, off in chunks(batch, "text", 1 << 18):
-                bucket, passage, first = subwords(buf, off)
-                order = np.argsort(passage, kind="stable")
-                bucket, passage = bucket[order].astype(np.int32), passage[order].astype(np.int32)
-                cut = np.searchsorted(passage, first)
-                rows = [(bucket[a:b].tobytes(), (passage[a:b] - f).astype(np.int32).tobytes(), int(n)) for a, b, f, n in zip(cut[:-1], cut[1:], first[:-1], np.diff(first))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(ys[i:j], pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32())], ["doc_id", "y", "bucket", "passage", "n"])
+def lessons_of(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, rest: int = 3, not_at: int = 1) -> DataFrame:
+    """doc_id, text and y of at most ``sample`` texts of either label whose crc32(doc_id) mod ``rest`` isn't ``not_at``, whole and of any length.
 
-    return docs.mapInArrow(run, "doc_id long, y int, bucket binary, passage binary, n int")
+    Chosen are labelled texts that documents hold (not null), equal rows once, so no place goes to a row that can't teach.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (crc32_of_id("doc_id") % rest != not_at)).dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    there = written(texts.select("doc_id", "h").distinct().join(known, "doc_id"))
+    first = lambda y: there.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)
+    return texts.join(F.broadcast(first(1).union(first(0))), ["doc_id", "h"]).select("doc_id", "text", "y").distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, rest: int = 3, not_at: int = 1, most_bytes: int = 10_000) -> dict:
-    """Learns from at most ``sample`` rows of either label whose crc32(doc_id) mod ``rest`` isn't ``not_at``; texts over ``most_bytes`` don't teach."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, rest: int = 3, not_at: int = 1) -> dict:
+    """Learns from the texts of lessons_of, which come to the driver one partition after another."""
     ship(docs.sparkSession)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (crc32_of_id("doc_id") % rest != not_at)).dropDuplicates(["doc_id"])
-    known = known.where("y = 1").orderBy(F.xxhash64("doc_id")).limit(sample).union(known.where("y = 0").orderBy(F.xxhash64("doc_id")).limit(sample))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= most_bytes).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
-    rows = passages_of(picked).orderBy("doc_id").limit(4 * sample).collect()
-    first = np.concatenate([[0], np.cumsum([r.n for r in rows])]).astype(int)
-    bucket = np.concatenate([np.frombuffer(r.bucket, np.int32) for r in rows] or [np.zeros(0, np.int32)])
-    passage = np.concatenate([np.frombuffer(r.passage, np.int32) + np.int32(f) for r, f in zip(rows, first)] or [np.zeros(0, np.int32)])
-    y = np.array([r.y for r in rows], float)
-    del rows
-    return train(bucket, passage, first, y)
+    lessons, texts, ys = Lessons(), [], []
+    for r in written(lessons_of(docs, labels, label, sample, rest, not_at)).orderBy("doc_id", "text").toLocalIterator():
+        texts.append(r.text)
+        ys.append(r.y)
+        if sum(map(len, texts)) > 1 << 18:
+            lessons.add(texts, ys)
+            texts, ys = [], []
+    lessons.add(texts, ys)
+    return train(lessons)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
