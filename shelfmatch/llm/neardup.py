@@ -33,6 +33,8 @@ from .hashing import LOWER, U64, chunks, grams, mix, prefix, ranges, words
 from .runtime import join_small, ship, written
 
 SHINGLE, SIMILARITY, K = 4, 0.8, 48
+#: Words of a shingle where no contract names another size; SHINGLE is op7's.
+STAGE_SHINGLE = 5
 #: An estimate below this is five standard deviations under the similarity.
 NEED, ESTIMATE = K // 2, 0.5
 
@@ -173,7 +175,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without those whose component has a smaller doc_id; rows that share a doc_id stay if one of them does."""
     found = near_duplicates(docs, size, similarity)
     gone = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"))

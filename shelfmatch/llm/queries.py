@@ -36,7 +36,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4)
 
 
 def op8_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
