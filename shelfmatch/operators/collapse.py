@@ -47,3 +47,17 @@ def merge_records(cards: DataFrame, by: str = "group") -> DataFrame:
 
 def collapse_cards(cards: DataFrame) -> DataFrame:
     return merge_records(cards.join(collapse_labels(cards).select("id", "group"), "id"))
+
+
+def collapse_scored(hits: DataFrame) -> DataFrame:
+    """query_id, id, title, score, reason: each query's hits with one for each work, at its best score and that one's reason.
+
+    hits: query_id, id, title, isbn_digits, posted, in_collection, score, reason.  Works are those of
+    title_group_key and of shared ISBNs, among the hits of one query; id is that of the best base, title the first there is.
+    """
+    h = hits.withColumn("key", F.concat_ws("\x01", "query_id", title_group_key()))
+    isbns = h.select("key", F.explode("isbn_digits").alias("d")).where("d <> ''").select("key", F.concat_ws("\x01", F.substring_index("key", "\x01", 1), "d").alias("isbn"))
+    labels = components(shared_isbn_pairs(isbns, h.where("title <> ''").select("key", "title").distinct()))
+    base = F.struct((-(F.when(F.col("title") != "", 4).otherwise(0) + F.when(F.col("posted"), 2).otherwise(0) + F.when(F.col("in_collection"), 1).otherwise(0))).alias("s"), "id")
+    g = h.join(labels, "key", "left").groupBy("query_id", F.coalesce("label", "key").alias("group")).agg(F.min_by("id", base).alias("id"), F.coalesce(F.min_by(F.nullif("title", F.lit("")), F.when(F.col("title") != "", base)), F.lit("")).alias("title"), F.min_by(F.struct("score", "reason"), F.struct(-F.col("score"), "id")).alias("best"))
+    return g.select("query_id", "id", "title", "best.score", "best.reason")
