@@ -83,7 +83,8 @@ def leftovers(linked: DataFrame) -> DataFrame:
     counted = titled.withColumn("weight", F.col("rows") + F.when(F.col("place") == first, F.col("rows")).otherwise(0))
     plain = (~F.col("title").rlike(r"(?i)\((un)?abridged\)")).cast("int")
     names = counted.groupBy("key", "title").agg(F.sum("weight").alias("n"), F.min("place").alias("p")).groupBy("key").agg(F.max_by("title", F.struct(plain, "n", F.length("title"), -F.col("p"))).alias("display"))
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(c).alias("v")))), lambda s: s["v"])
-    g = titled.groupBy("key").agg(sort_isbns(F.collect_set("isbn13")).alias("all13"), F.coalesce(F.min_by("isbn10", F.when(F.col("isbn10") != "", F.col("place"))), F.lit("")).alias("isbn10"), canonical_authors(in_order("author")).alias("authors"), F.coalesce(F.min_by("series", F.when(F.col("series") != "", F.col("place"))), F.lit("")).alias("series"), F.bit_or("format").alias("format"), F.sum("rows").alias("rows"))
-    grouped = g.join(names, "key").select(F.get("all13", F.lit(0)).alias("isbn13"), "isbn10", F.slice("all13", 2, 1_000_000).alias("extras"), F.array_join("authors", "; ").alias("author"), F.col("display").alias("title"), "series", "format", "rows")
+    # only an author's first place counts, so the list is as long as the title has authors, not records
+    authors = titled.groupBy("key", "author").agg(F.min("place").alias("place")).groupBy("key").agg(canonical_authors(F.transform(F.array_sort(F.collect_list(F.struct("place", "author"))), lambda s: s["author"])).alias("authors"))
+    g = titled.groupBy("key").agg(sort_isbns(F.collect_set("isbn13")).alias("all13"), F.coalesce(F.min_by("isbn10", F.when(F.col("isbn10") != "", F.col("place"))), F.lit("")).alias("isbn10"), F.coalesce(F.min_by("series", F.when(F.col("series") != "", F.col("place"))), F.lit("")).alias("series"), F.bit_or("format").alias("format"), F.sum("rows").alias("rows"))
+    grouped = g.join(names, "key").join(authors, "key").select(F.get("all13", F.lit(0)).alias("isbn13"), "isbn10", F.slice("all13", F.lit(2), F.size("all13")).alias("extras"), F.array_join("authors", "; ").alias("author"), F.col("display").alias("title"), "series", "format", "rows")
     return grouped.unionByName(alone)

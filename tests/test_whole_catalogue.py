@@ -1,6 +1,8 @@
 """Cases in which the catalogue once did less than the whole job."""
 
-from shelfmatch.operators import collapse, search
+from pyspark.sql import functions as F
+
+from shelfmatch.operators import collapse, holdings, search
 
 A, B = "9780064400558", "9780142410318"
 
@@ -19,3 +21,14 @@ def test_scored_copies_of_a_work_are_one_hit(spark):
     sure = lambda h: search.classify(search.top_k(h)).where("query_id = 1").first().match
     assert sure(hits.select("query_id", "id", "title", "score", "reason")) is None and sure(one) == "c2"  # copies leave no lead
     assert collapse.collapse_scored(hits).where("query_id = 1 and title = ''").count() == 0  # untitled ones go with an owner of their ISBN
+
+
+def test_leftovers_keep_every_isbn_of_a_title(spark):
+    """A title of more than a million ISBNs, and authors in the order of their first places."""
+    n = 1_000_005
+    linked = spark.range(n).select(
+        F.lit(None).cast("string").alias("card"), F.format_string("978%010d", "id").alias("isbn13"), F.lit("").alias("isbn10"), F.when(F.col("id") % 2 == 0, "Zoe, B.").otherwise("Al").alias("author"),
+        F.lit("Same").alias("title"), F.lit("").alias("series"), F.lit(1).alias("format"), F.lit(1).cast("long").alias("rows"), F.col("id").alias("place"),
+    )
+    r = holdings.leftovers(linked).select("isbn13", F.size("extras").alias("n"), F.try_element_at("extras", F.lit(-1)).alias("last"), "author", "rows").first()
+    assert r.asDict() == {"isbn13": "9780000000000", "n": n - 1, "last": f"978{n - 1:010d}", "author": "Zoe, B.; Al", "rows": n}
