@@ -14,6 +14,7 @@ are left out.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from .runtime import ship, written
 from .tokens import id_batches
 
 CAPACITY, END = 2048, 0
-#: Pieces in one salted group of a length.
-GROUP = 100_000
+#: Pieces in one salted group of a length, at least; a length's groups are as many as the root of its pieces at most.
+GROUP = 2000
 
 
 def fullest(left: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
@@ -101,12 +102,16 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ids in id_batches(path, batches, end):
-            out = []
-            for i, b in zip(rows, ids):
-                x = np.frombuffer(b, "<u2").astype("<u4")
-                out += [(i, k, s, min(capacity, len(x) - s), zlib.crc32(x[s : s + capacity])) for k, s in enumerate(range(0, len(x), capacity))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+        for rows, ids, cut in id_batches(path, batches, end):
+            wide, sizes = ids.astype("<u4"), np.diff(cut)
+            per = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(per)), per)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+            start = piece * capacity
+            length = np.minimum(capacity, sizes[doc] - start)
+            at = cut[doc] + start
+            sums = [zlib.crc32(wide[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+            yield pa.RecordBatch.from_arrays([rows.take(pa.array(doc)), *(pa.array(c, t) for c, t in zip((piece, start, length, sums), types[1:]))], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -115,29 +120,29 @@ def pack(items: DataFrame, capacity: int, length: str = "length", order: tuple[s
     """Adds sequence_id and offset to rows of lengths 1 to capacity; the rows must be stored (they are read twice)."""
     ship(items.sparkSession)
     histogram = {r[length]: r["count"] for r in items.groupBy(length).count().collect()}  # at most ``capacity`` rows
-    total = sum(histogram.values())
     where = places(plan(histogram, capacity))
-    salts = max(1, -(-total // GROUP))
-    names = items.columns
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    before = Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = salted.groupBy(length, "_salt").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*order)) - 1
-    ranked = salted.withColumn("_inside", inside.cast("long")).join(sizes, [length, "_salt"]).select(*names, (F.col("_inside") + F.col("_before")).alias("_rank"))
+    names, salt, salts, n, inside, rank = items.columns, *(f"__pack_{x}" for x in ("salt", "salts", "n", "inside", "rank"))
+    groups = [(k, -(-v // max(GROUP, math.isqrt(v)))) for k, v in histogram.items()]
+    groups = items.sparkSession.createDataFrame(groups, f"`{length}` {items.schema[length].dataType.simpleString()}, {salts} long")
+    salted = items.join(F.broadcast(groups), length).withColumn(salt, F.pmod(F.xxhash64(*order), F.col(salts)))
+    before = Window.partitionBy(length).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = salted.groupBy(length, salt).agg(F.count(F.lit(1)).alias(n)).withColumn(rank, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    within = F.row_number().over(Window.partitionBy(length, salt).orderBy(*order)) - 1
+    ranked = salted.withColumn(inside, within.cast("long")).join(sizes, [length, salt]).select(*names, (F.col(inside) + F.col(rank)).alias(rank))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column(batch.schema.get_field_index(length)).to_numpy().astype(np.int64)
-            rank = batch.column(batch.schema.get_field_index("_rank")).to_numpy()
+            order_ = batch.column(batch.schema.get_field_index(rank)).to_numpy()
             sequence, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
             by = np.argsort(size, kind="stable")
             cuts = np.flatnonzero(np.diff(size[by])) + 1
             for at in np.split(by, cuts) if len(by) else []:
                 n = int(size[at[0]])
                 table = where[n]
-                row = table[np.searchsorted(table[:, 0], rank[at], "right") - 1]
-                nth = rank[at] - row[:, 0]
+                row = table[np.searchsorted(table[:, 0], order_[at], "right") - 1]
+                nth = order_[at] - row[:, 0]
                 sequence[at], offset[at] = row[:, 1] + nth // row[:, 2], row[:, 3] + nth % row[:, 2] * n
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 

@@ -112,9 +112,10 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END) -> DataFrame:
     bounds = np.array(sorted(set(docs.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets))) if n and buckets > 1 else [], float)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ids in id_batches(path, batches, end):
-            bucket = np.searchsorted(bounds, np.array([-np.inf if r is None else r for r in rows]), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(rows, pa.int64()), pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
+        for rows, ids, cut in id_batches(path, batches, end):
+            bucket = np.searchsorted(bounds, np.array([-np.inf if r is None else r for r in rows.to_pylist()]), "right")
+            coded = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((cut * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, "<u2"))])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), rows, coded], ["bucket", "doc_id", "ids"])
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, writer = ["bucket", "part", "docs", "ids", "bytes"], None

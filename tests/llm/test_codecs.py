@@ -46,6 +46,27 @@ def test_token_ids_equal_the_library():
         assert e.ids(t) == want, t
 
 
+def test_ids_of_all_characters_equal_the_library():
+    e = tokens.Encoder(tokens.default_path())
+    some = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x10400, 0x10450), *range(0x1F600, 0x1F640)]]
+    texts = [form.format(c) for c in some for form in ("a{0}b", "Go {0} it's{0}", "{0}{0}1 x")]
+    ids, cut = e.encode(texts)
+    for i, want in enumerate(e.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[cut[i] : cut[i + 1]].tolist() == want.ids, texts[i]
+
+
+def test_words_are_kept_and_dropped_alike(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST", 40)
+    e = tokens.Encoder(tokens.default_path())
+    e.words.tables = []
+    draw = random.Random(3)
+    for _ in range(30):
+        texts = [" ".join("".join(draw.choices("abcé'1", k=draw.randrange(1, 4))) for _ in range(20)) for _ in range(5)]
+        ids, cut = e.encode(texts)
+        for i, want in enumerate(e.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert ids[cut[i] : cut[i + 1]].tolist() == want.ids
+
+
 @pytest.mark.parametrize("kind", [1, 2, 3])
 def test_lacing(kind):
     frames = [b"a" * 300, b"b" * 300, b"c" * 300] if kind == 2 else [b"a" * 255, b"", b"b" * 600, b"c" * 7]

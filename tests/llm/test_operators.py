@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ def test_decontamination(spark, docs, odd):
 
 def test_packing(docs, odd):
     path = tokens.default_path()
-    e = tokens.Encoder(path)
+    library = tokens.Encoder(path).tokenizer
     for table, rows in ((docs, corpus()), (odd, [tuple(r) for r in odd.collect()])):
         got = packing.pack_documents(table, path, capacity=256).collect()
         bins: dict = {}
@@ -171,7 +172,7 @@ def test_packing(docs, odd):
                 assert offset == at
                 at += length
             assert at <= 256
-        want = sorted(((i is None, i or 0), len(e.ids(t)) // 2 + 1) for i, t in rows)
+        want = sorted(((i is None, i or 0), len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
         total: dict = {}
         for i, n in want:
             total[i] = total.get(i, 0) + n
@@ -184,10 +185,10 @@ def test_packing(docs, odd):
 
 def test_token_files(docs, odd):
     path = tokens.default_path()
-    e = tokens.Encoder(path)
+    library = tokens.Encoder(path).tokenizer
     got, at = by_id(tokenfiles.token_files(docs, path)), 0
     for i, t in sorted(corpus()):
-        ids = e.ids(t) + b"\x01\x00"
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u2").tobytes()
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids) // 2, tokens.crc(ids))
         at += len(ids) // 2
     assert tokenfiles.token_files(odd, path).count() == 6
