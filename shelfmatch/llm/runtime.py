@@ -38,6 +38,21 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(target)
 
 
+def released() -> None:
+    """Hands a worker's freed memory back: workers live on between tasks, and an executor has several."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; a temporary one of our own only where the setting is absent (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

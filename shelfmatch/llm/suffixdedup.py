@@ -1,4 +1,4 @@
-"""Exact substring removal: suffixes ordered through 50 bytes by radix passes (see ``repeats``).
+"""Exact substring removal: suffixes ordered through 50 bytes by most-significant-digit passes (see ``repeats``).
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id.
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Bytes, digest, join_by_size, keyed, repeated_spans, with_spans
+from .repeats import Bytes, digest, keyed, repeated_spans, with_spans
 
 WIDTH, GRAM = 50, 20
 
@@ -53,10 +53,10 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
 
 def cut_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """The rows of docs with what is left of each text (a cut inside a character drops its other bytes too); n_chars follows."""
-    rows = keyed(docs).where("doc_id is not null")
+    rows = keyed(docs.withColumn("__row", F.struct("*")), "__row")
     schema, counted = docs.schema, "n_chars" in docs.columns
-    spans = repeated_spans(rows, Bytes(width, gram)).select("doc_id", F.col("k").alias("__repeat_k"), F.col("whole").alias("__repeat_whole"), F.col("spans").alias("__repeat_spans"))
-    joined = join_by_size(docs.withColumn("__repeat_k", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(0xFFFFFFFF)), spans, ["doc_id", "__repeat_k"], "left", "coalesce(length(__repeat_spans), 0)")
+    spans = repeated_spans(rows.where("doc_id is not null").drop("__row"), Bytes(width, gram))
+    joined = with_spans(rows, spans).select(*(F.col("__row")[c].alias(c) for c in docs.columns), F.col("whole").alias("__repeat_whole"), F.col("spans").alias("__repeat_spans"))
 
     def run(batches):
         for batch in batches:
