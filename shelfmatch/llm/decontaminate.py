@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import join_small, rows_within, written
+from .runtime import join_by_size, join_small, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 5
@@ -75,23 +75,22 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
     prints = kinds[0]
     for k in kinds[1:]:
         prints = prints.union(k)
-    prints = prints.groupBy("f").agg(F.collect_set("short").alias("shorts"))
-    prints = F.broadcast(prints) if rows_within(prints, 1_000_000) else prints
+    prints = written(prints.groupBy("f").agg(F.collect_set("short").alias("shorts")))
 
     base = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("k"), words_of("text").alias("words"))
     marked = fingerprints(base, lengths, window, gram).select("doc_id", "k", "n_words", F.explode_outer(F.concat(F.array(-1 - F.expr("k & 4611686018427387903L")), F.col("prints"))).alias("v"))  # explode_outer: no filter on the whole chain of expressions is inferred; the negative entry keeps documents without hits
     marked = marked.select("*", F.when(F.col("v") < 0, F.col("v")).otherwise(hashed("v")).alias("f"))
-    found = marked.join(prints, "f", "left").where("v < 0 or shorts is not null")
+    found = join_by_size(marked, prints, ["f"], "left", "32 + 8 * size(shorts)").where("v < 0 or shorts is not null")
     found = written(found.select("doc_id", "k", "n_words", F.when(F.col("v") >= 0, F.col("v").bitwiseAND((1 << _BITS) - 1)).cast("int").alias("at"), F.explode_outer("shorts").alias("short")))
 
     spans = found.where("at is not null").select("doc_id", "k", F.expr(f"explode(case when short = 0 then transform(sequence(greatest(at - {inner}, 0), least(at, cast(n_words as int) - {window})), s -> struct(s as s, {window} as wlen)) else array(struct(at as s, short as wlen)) end)").alias("w"))
-    near = spans.select("doc_id", "k", "w.s", "w.wlen").distinct().groupBy("doc_id", "k").agg(F.collect_list(F.struct("s", "wlen")).alias("near"))
+    near = written(spans.select("doc_id", "k", "w.s", "w.wlen").distinct().groupBy("doc_id", "k").agg(F.collect_list(F.struct("s", "wlen")).alias("near")))
     texts = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("d", "text"))
-    hit = join_small(texts, near.select("k", "doc_id", "near"), "k", "inner", width=400).where(F.col("d").eqNullSafe(F.col("doc_id")))
+    hit = join_by_size(texts, near.select("k", "doc_id", "near"), ["k"], "inner", "40 + 24 * size(near)").where(F.col("d").eqNullSafe(F.col("doc_id")))
     # words is used twice, so that it is computed once for a row and not once for a window
     each = hit.select("doc_id", "k", words_of("text").alias("words"), "near").select("doc_id", "k", F.size("words").alias("n"), F.expr("transform(near, w -> struct(w.s as s, w.wlen as wlen, array_join(slice(words, w.s + 1, w.wlen), ' ') as wtext))").alias("near"))
     each = each.select("doc_id", "k", "n", F.explode_outer("near").alias("w")).where("w.s + w.wlen <= n").select("doc_id", "k", "w.*").distinct()
-    real = join_small(each, benchmark_windows(bench, window), ["wtext", "wlen"], "inner", width=200)
+    real = join_by_size(each, written(benchmark_windows(bench, window)), ["wtext", "wlen"], "inner", "40 + length(wtext) + 40 * size(items)")
     # words covered by windows in order of their start: each adds what lies beyond all earlier ends
     earlier = F.max(F.col("s") + F.col("wlen")).over(Window.partitionBy("doc_id", "k").orderBy("s", "wlen").rowsBetween(Window.unboundedPreceding, -1))
     covered = real.withColumn("seen", F.coalesce(earlier, F.lit(0))).withColumn("adds", F.greatest(F.lit(0), F.col("s") + F.col("wlen") - F.greatest("s", "seen")))

@@ -5,12 +5,13 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+import zlib
 
 import numpy as np
 
 #: Element names of the HTML standard by their part in a page's layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript iframe template svg math object head".split())
+RAW = frozenset("script style title noscript iframe template svg head".split())
 SECTIONS = "html body div article section main header footer nav aside".split()
 TEXTS = "p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address".split()
 LISTS = "ul ol li dl dt dd menu table thead tbody tfoot tr td th caption".split()
@@ -35,6 +36,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"
 _ATTR = re.compile(r"(class|id|role|data-keep|style|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _KINDS = list(TOKENS)
+#: Buckets of attribute words by hash: names that no list holds are learnt from the pages.
+HASHED = 24
 _FLAG = {w: 1 << k for k, kind in enumerate(_KINDS) for w in TOKENS[kind]}
 _GROUP = {t: g for g, tags in enumerate((["html", "body"], ["div", "center"], ["article"], ["section"], ["main"], ["header"], ["footer"], ["nav"], ["aside"], ["p"], ["h1", "h2", "h3", "h4", "h5", "h6"], ["blockquote", "pre", "figure", "figcaption", "address"], ["ul", "ol", "dl", "menu"], ["li", "dt", "dd"], "table thead tbody tfoot tr td th caption".split(), FORMS)) for t in tags}
 N_GROUPS = 16
@@ -86,9 +89,11 @@ class Tree:
                             break
                 continue
             if tag in RAW:
+                if tag == "svg" and m[3].rstrip().endswith("/"):
+                    continue
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 at = size if end is None else end.end()
-                if tag == "head" and end is None:
+                if tag in ("head", "svg", "noscript", "iframe", "template") and end is None:
                     at = m.end()
                 continue
             if tag == "a":
@@ -122,7 +127,7 @@ class Tree:
                             flags |= _FLAG["hidden"]
                         else:
                             for w in _WORD.findall(value.lower()):
-                                flags |= _FLAG.get(w, 0)
+                                flags |= _FLAG.get(w, 0) | 1 << len(_KINDS) + zlib.crc32(w.encode()) % HASHED
                 self.tag.append(tag)
                 self.parent.append(stack[-1])
                 self.flags.append(flags)
@@ -132,11 +137,11 @@ class Tree:
         flush()
 
 
-N_FEATURES = N_GROUPS * 2 + 2 * len(_KINDS) + 20
+N_FEATURES = N_GROUPS * 2 + 2 * (len(_KINDS) + HASHED) + 20
 
 
 def features(tree: Tree) -> np.ndarray:
-    """One row for each node: tag and parent's tag, attribute kinds of it and its ancestors, subtree density, depth, siblings, place."""
+    """One row for each node: tag and parent's tag, attribute words (by kind and by hash) of it and its ancestors, subtree density, depth, siblings, place."""
     n = len(tree.tag)
     own, link, stops, count, words, first = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     so_far = 0
@@ -179,20 +184,17 @@ def features(tree: Tree) -> np.ndarray:
             k += 1
         before[i] = seen
     x = np.zeros((n, N_FEATURES), np.float32)
-    log = math.log1p
+    log, kinds = math.log1p, len(_KINDS) + HASHED
+    bits = np.arange(kinds)
+    x[:, 2 * N_GROUPS : 2 * N_GROUPS + kinds] = np.array(tree.flags, np.int64)[:, None] >> bits & 1
+    x[:, 2 * N_GROUPS + kinds : 2 * N_GROUPS + 2 * kinds] = np.array(above, np.int64)[:, None] >> bits & 1
     for i in range(n):
         g, p = _GROUP.get(tree.tag[i], 1), parent[i]
         r = x[i]
         r[g] = 1
         if p >= 0:
             r[N_GROUPS + _GROUP.get(tree.tag[p], 1)] = 1
-        f, a = tree.flags[i], above[i]
-        at = 2 * N_GROUPS
-        if f or a:
-            for b in range(len(_KINDS)):
-                r[at + b] = f >> b & 1
-                r[at + len(_KINDS) + b] = a >> b & 1
-        at += 2 * len(_KINDS)
+        at = 2 * N_GROUPS + 2 * kinds
         c = chars[i]
         sib = kids[p] if p >= 0 else 1
         r[at : at + 18] = (log(c), log(own[i]), links[i] / (c + 1), dots[i] / (c + 1), c / (tokens[i] + 1), log(tokens[i]), nodes[i] / (c + 1) * 10, log(nodes[i]), log(blocks[i]), c / (blocks[i] + 1), depth[i], place[i] / sib, sib, kids[i], before[i] / total, c / total, log(prev_chars[i]), inputs[i])

@@ -24,8 +24,8 @@ from . import boosting
 from .dom import N_FEATURES, Tree, decode, features
 from .runtime import ship
 
-#: Bounds of training: pages, and characters of one page.
-SAMPLE, MOST = 240, 40_000
+#: Bound of training: pages, each whole.
+SAMPLE = 240
 
 
 def _spoken(rng: random.Random, n: int) -> str:
@@ -115,7 +115,7 @@ def training(pages: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray, n
 
     told = []
     for page in pages:
-        tree = Tree(page[:MOST])
+        tree = Tree(page)
         core = [i for i, t in enumerate(tree.tag) if t in ("article", "main")]
         if len(core) == 1:
             mark: list[bool | None] = [None] * len(tree.tag)
@@ -139,9 +139,11 @@ def _holds(tree: Tree, a: int, b: int) -> bool:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> dict:
-    """Trains on at most ``sample`` pages, the first by a hash of their url."""
-    rows = pages.where(F.col("html").isNotNull() & (F.length("html") <= MOST)).select("html", F.xxhash64("url", "page_id").alias("h")).orderBy("h").limit(sample).collect()
-    x, y, w = training([r.html for r in rows])
+    """Trains on at most ``sample`` pages, the first by a hash of their url and id; equal keys give one page."""
+    rows = pages.where("html is not null").select(F.xxhash64("url", "page_id").alias("h"), "html")
+    keys = rows.select("h").distinct().orderBy("h").limit(sample)  # the keys first, so that no html is sorted
+    chosen = rows.join(F.broadcast(keys), "h").groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
+    x, y, w = training([r.html for r in chosen])
     return boosting.fit(x, y, weight=w)
 
 

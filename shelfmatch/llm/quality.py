@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 from .hashing import U64, chunks, mix, prefix, ranges, words
 from .runtime import crc32_of_id, ship
 
-#: Bounds of training: labelled rows, and passages taken evenly from one document.
-SAMPLE, BAG = 4000, 48
+#: Bound of training: labelled rows, each with all passages of its whole text.
+SAMPLE = 4000
 PASSAGE, HIDDEN, THRESHOLD = 400, 16, 0.3
 _GROUPS = [b" ", b"\n\t\r", b".", b",", b"!?", b"%", b"$", b"&", b"#", b"*", b"|", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"\"'`", b"=:;", b"/\\", b"<>{}[]()", b"_-+~^@", bytes(range(128, 192)), bytes(range(192, 256))]
 _CLASS = np.full(256, len(_GROUPS), np.int64)
 for _k, _g in enumerate(_GROUPS):
     _CLASS[list(_g)] = _k
-N_FEATURES = len(_GROUPS) + 1 + 5
+#: Buckets of words by hash: what a passage is about, beside its characters and the shape of its words.
+TOPICS = 32
+N_FEATURES = len(_GROUPS) + 1 + 5 + TOPICS
 
 
 def passages(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +57,7 @@ def passages(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.maximum.at(top, wp[at], times)
         x[:, k + 2] = top / some
         x[:, k + 3] = np.bincount(wp, ends - starts, n) / some / 10
+        x[:, k + 5 :] = np.sqrt(np.bincount(wp * TOPICS + (h >> U64(40)).astype(np.int64) % TOPICS, minlength=n * TOPICS).reshape(n, TOPICS) / some[:, None])
     x[:, k + 4] = np.log1p(length) / 6
     return x, first
 
@@ -75,7 +78,7 @@ def forward(m: dict, x: np.ndarray, first: np.ndarray) -> tuple:
     return x, h, v, u, a, z, 1 / (1 + np.exp(-np.clip(z @ m["o"] + m["c"], -30, 30)))
 
 
-def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 400, seed: int = 7) -> dict:
+def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 200, seed: int = 7) -> dict:
     """Full-batch Adam on the logistic loss of the documents."""
     rng = np.random.default_rng(seed)
     f, n = x.shape[1], HIDDEN
@@ -107,27 +110,24 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 400, se
     return m
 
 
-def bags(docs: DataFrame, size: int = BAG) -> DataFrame:
-    """doc_id, y, and the passage features (float32 bytes) of at most ``size`` passages, taken evenly."""
+def bags(docs: DataFrame) -> DataFrame:
+    """doc_id, y, and the features (float32 bytes) of all passages."""
     def run(batches):
         for batch in batches:
-            ids, ys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids, ys = batch.column(0), batch.column(2)
             for i, j, buf, off in chunks(batch, "text"):
                 x, first = passages(buf, off)
-                out = []
-                for a, b in zip(first[:-1], first[1:]):
-                    take = np.unique(np.linspace(a, b - 1, min(size, b - a)).astype(int))
-                    out.append(x[take].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(ys[i:j], pa.int32()), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
+                out = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), ys.slice(i, j - i), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
 
     return docs.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, rest: int = 5, not_at: int = 0) -> dict:
-    """Learns from at most ``sample`` labelled rows whose crc32(doc_id) mod ``rest`` isn't ``not_at``."""
+    """Learns from at most ``sample`` labelled rows whose crc32(doc_id) mod ``rest`` isn't ``not_at``; an id labelled both ways teaches nothing."""
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (crc32_of_id("doc_id") % rest != not_at))
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by the parameter, so small enough to broadcast
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by the parameter, so small enough to broadcast
     rows = bags(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")).orderBy("doc_id").limit(2 * sample).collect()
     xs = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(int)

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import _BASE, _BASE_INV, _GRAM, SPACE, U64, anchors, chunks, grams, mix, prefix, ranges, windows, words
-from .runtime import released, ship, written
+from .runtime import join_by_size, released, ship, written
 
 #: Variants of a gram above which its windows are grouped one by one; variants ordered at once.
 HOT, ORDERED = 20_000, 20_000
-#: Bytes of a side that may be broadcast; of text hashed at once; of a text above which it is cut; of text between two deals; of a block's texts; of text for each bucket.
-BROADCAST, CHUNK, LONG, DEAL, BLOCK, BUCKET = 64 << 20, 1 << 19, 1 << 20, 8 << 20, 4 << 20, 32 << 20
+#: Bytes of text hashed at once; of a text above which it is cut; of text between two deals; of a block's texts; of text for each bucket.
+CHUNK, LONG, DEAL, BLOCK, BUCKET = 1 << 19, 1 << 20, 8 << 20, 4 << 20, 32 << 20
 #: Buckets at least: so many at every small size, so that rows grow with the input alone.
 BUCKETS = 1024
 _MARK = [("doc", "<i8"), ("k", "<u2"), ("lo", "<u4"), ("end", "<u4")]
@@ -183,12 +183,6 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _held["up"], _held["down"]
 
 
-def join_by_size(left: DataFrame, right: DataFrame, on: list[str], how: str, size: str) -> DataFrame:
-    """Joins a written table; broadcasts it only if its bytes (an SQL expression for a row's) stay within BROADCAST."""
-    total = right.agg(F.sum(F.expr(f"{size} + 40"))).first()[0] or 0
-    return left.join(F.broadcast(right) if total <= BROADCAST else right, on, how)
-
-
 def packed(columns: list[np.ndarray], kinds: list) -> bytes:
     """Columns as planes of bytes, compressed."""
     planes = [np.ascontiguousarray(c.astype(t)).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, (_, t) in zip(columns, kinds)]

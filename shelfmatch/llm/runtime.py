@@ -82,5 +82,15 @@ def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     return left.join(F.broadcast(right) if fits else right, on, how)
 
 
+#: Bytes of a side that may be broadcast.
+BROADCAST = 64 << 20
+
+
+def join_by_size(left: DataFrame, right: DataFrame, on: list[str], how: str, size: str) -> DataFrame:
+    """Joins a written table; broadcasts it only if its bytes (an SQL expression for a row's) stay within BROADCAST."""
+    total = right.agg(F.sum(F.expr(f"{size} + 40"))).first()[0] or 0
+    return left.join(F.broadcast(right) if total <= BROADCAST else right, on, how)
+
+
 def crc32_of_id(doc_id: Column | str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary"))

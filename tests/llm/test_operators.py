@@ -113,6 +113,65 @@ def test_suffix_dedup(docs, odd, monkeypatch, hot):
         assert suffixdedup.suffix_dedup(odd).count() == 6
 
 
+def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
+    """Pieces of a long text, few variants at once and many deals give the same rows."""
+    from shelfmatch.llm import repeats
+
+    rng = random.Random(9)
+    line = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(30))
+    some = [line() for _ in range(12)]
+    texts = [(i, "\n".join(rng.choice(some)[rng.randint(0, 9) :] if rng.random() < 0.4 else line() for _ in range(rng.randint(1, 25)))) for i in range(40)] + [(40, "x" * 3000), (41, "a " * 2000), (42, "x" * 700 + " " + "a " * 30)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(5).persist()
+    runs = []
+    for name, value in (("HOT", 20_000), ("LONG", 300), ("CHUNK", 150), ("DEAL", 2000), ("BLOCK", 1500), ("ORDERED", 40)):
+        if runs:
+            monkeypatch.setattr(repeats, name, value)
+            monkeypatch.setattr(phrases, name, value, raising=False)
+        if not runs or name == "ORDERED":
+            runs.append((sorted(map(tuple, suffixdedup.suffix_dedup(table).collect())), sorted(map(tuple, phrases.phrase_dedup(table).collect()))))
+    assert runs[0] == runs[1]
+    first: dict = {}
+    for i, t in texts:
+        for s in range(len(t) - 49):
+            first.setdefault(t[s : s + 50], i)
+    for (i, t), row in zip(texts, runs[0][0]):
+        gone = [False] * len(t)
+        for s in range(len(t) - 49):
+            if first[t[s : s + 50]] < i:
+                gone[s : s + 50] = [True] * 50
+        assert row[2] == sum(gone)
+    seen = set()
+    for (i, t), row in zip(texts, runs[0][1]):
+        w = t.split()
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            x = tuple(w[s : s + 20])
+            if x in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(x)
+        assert row[2] == sum(gone)
+
+
+def test_a_missing_shard_loses_repeats(docs, monkeypatch):
+    """What is removed comes from the automata: without the phrases of some blocks fewer words go, without any none but whole copies'."""
+    from shelfmatch.llm import repeats
+
+    monkeypatch.setattr(repeats, "BLOCK", 2000)
+    confirmed, removed = phrases.confirmed, []
+    for keep in ("true", "block % 2 = 0", "false"):
+        monkeypatch.setattr(phrases, "confirmed", lambda *a, keep=keep: confirmed(*a).where(keep))
+        removed.append(phrases.phrase_dedup(docs).agg(F.sum("n_removed")).first()[0])
+    assert removed[0] > removed[1] > removed[2] or removed[0] > removed[1] == removed[2]
+
+
+def test_repeated_ids_in_repeats(spark):
+    """Rows with one doc_id: equal texts stay whole, other texts don't count against each other for bytes."""
+    t, u = "the same long passage of text, fifty bytes and more of it", "quite another passage that is not like the first one, see"
+    table = spark.createDataFrame([(1, t), (1, t), (1, u), (2, t + " and " + u)], "doc_id long, text string")
+    rows = suffixdedup.suffix_dedup(table).orderBy("doc_id", "n_bytes").collect()
+    assert [(r.doc_id, r.n_removed) for r in rows] == [(1, 0), (1, 0), (1, 0), (2, len(t) + len(u))]
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_phrase_dedup(docs, odd, monkeypatch, hot):
     from shelfmatch.llm import repeats
