@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import C, _c, cell
 
+#: The spelling of numbers and of book numbers, and the columns that may hold them.
 SCIENTIFIC = r"(?i)^\s*[0-9]+(\.[0-9]+)?e[+-]?[0-9]+\s*$"
 TOKEN = r"[0-9][0-9Xx .()\-]{8,}[0-9Xx]"
 ISBN_COLUMNS = ("isbn_13", "normalized_isbn", "isbn", "isbn_hb", "isbn_pb", "isbn_10", "isbn_other")

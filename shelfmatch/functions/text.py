@@ -18,6 +18,8 @@ MATERIALS = ("Book", "eBook", "Sound", "Recording")
 BOOK, EBOOK, AUDIO = 1, 2, 4
 
 C = Column | str
+#: Fixed value: what stands for a missing title.
+UNTITLED = "Title not listed"
 
 
 def _c(c: C) -> Column:
@@ -133,6 +135,12 @@ def material_formats(bits: C) -> Column:
     return F.struct(*(((b.bitwiseAND(n)) > 0).alias(k) for k, n in (("book", BOOK), ("ebook", EBOOK), ("audio", AUDIO))))
 
 
+def display_title(title: C) -> Column:
+    """A card's title, or what stands for one."""
+    v = F.coalesce(_c(title), F.lit(""))
+    return F.when(v != "", v).otherwise(UNTITLED)
+
+
 def is_holdings_batch(c: C) -> Column:
     return cell(c).rlike(r"(?i)^(follett|sora)\b")
 

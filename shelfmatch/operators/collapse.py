@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.isbn import sort_isbns
 from ..functions.text import loose_key, title_key
+from ..sources.listings import REVIEWS
 from .components import components, shared_isbn_pairs
 
 
@@ -27,11 +28,13 @@ def collapse_labels(cards: DataFrame) -> DataFrame:
 
 
 def merge_records(cards: DataFrame, by: str = "group") -> DataFrame:
-    """One card for each value of ``by``: the best base first, lists joined in that order, flags or-ed, rows added."""
+    """One card for each value of ``by``: the best base first, lists and reviews joined in that order, flags or-ed, rows added."""
     known = (F.col("title") != "") & ~F.coalesce("title_unknown", F.lit(False))
     score = F.when(known, 4).otherwise(0) + F.when(F.coalesce("posted", F.lit(True)), 2).otherwise(0) + F.when(F.coalesce("in_collection", F.lit(False)), 1).otherwise(0)
     lists = ("authors", "batches", "posted_batches", "holdings_batches", "levels", "audiences", "editions")
-    g = cards.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-score).alias("s"), "id", "key", "title", "isbn_digits", *lists))).alias("m"), F.struct(*(F.max(f"formats.{f}").alias(f) for f in ("book", "ebook", "audio"))).alias("formats"), F.max(F.coalesce("posted", F.lit(True))).alias("posted"), F.max(F.coalesce("in_collection", F.lit(False))).alias("in_collection"), F.max("possible_duplicate").alias("flagged"), F.sum("row_count").alias("row_count"))
+    sources = REVIEWS if "reviews" in cards.columns else ()
+    noted = [F.coalesce(F.col("reviews")[c], F.array().cast("array<string>")).alias(f"review_{c}") for c in sources]
+    g = cards.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-score).alias("s"), "id", "key", "title", "isbn_digits", *lists, *noted))).alias("m"), F.struct(*(F.max(f"formats.{f}").alias(f) for f in ("book", "ebook", "audio"))).alias("formats"), F.max(F.coalesce("posted", F.lit(True))).alias("posted"), F.max(F.coalesce("in_collection", F.lit(False))).alias("in_collection"), F.max("possible_duplicate").alias("flagged"), F.sum("row_count").alias("row_count"))
     values = lambda c: F.flatten(F.transform("m", lambda r: r[c]))
 
     def distinct(c: str, fold) -> Column:
@@ -42,7 +45,8 @@ def merge_records(cards: DataFrame, by: str = "group") -> DataFrame:
     titles = F.filter(F.transform("m", lambda r: r["title"]), lambda t: t != "")
     title = F.coalesce(F.get(titles, F.lit(0)), F.lit(""))
     base = F.get("m", F.lit(0))
-    return g.select(base["id"].alias("id"), base["key"].alias("key"), title.alias("title"), (title == "").alias("title_unknown"), distinct("authors", loose_key).alias("authors"), sort_isbns(values("isbn_digits")).alias("isbn_digits"), *(distinct(c, F.lower).alias(c) for c in lists[1:]), "formats", "posted", "in_collection", (F.col("flagged") | (F.size(F.array_distinct(titles)) > 1)).alias("possible_duplicate"), "row_count")
+    reviews = [F.map_filter(F.map_from_arrays(F.array(*map(F.lit, sources)), F.array(*(distinct(f"review_{c}", F.lower) for c in sources))), lambda k, v: F.size(v) > 0).alias("reviews")] if sources else []
+    return g.select(base["id"].alias("id"), base["key"].alias("key"), title.alias("title"), (title == "").alias("title_unknown"), distinct("authors", loose_key).alias("authors"), sort_isbns(values("isbn_digits")).alias("isbn_digits"), *(distinct(c, F.lower).alias(c) for c in lists[1:]), "formats", "posted", "in_collection", (F.col("flagged") | (F.size(F.array_distinct(titles)) > 1)).alias("possible_duplicate"), *reviews, "row_count")
 
 
 def collapse_cards(cards: DataFrame) -> DataFrame:

@@ -88,3 +88,15 @@ def leftovers(linked: DataFrame) -> DataFrame:
     g = titled.groupBy("key").agg(sort_isbns(F.collect_set("isbn13")).alias("all13"), F.coalesce(F.min_by("isbn10", F.when(F.col("isbn10") != "", F.col("place"))), F.lit("")).alias("isbn10"), F.coalesce(F.min_by("series", F.when(F.col("series") != "", F.col("place"))), F.lit("")).alias("series"), F.bit_or("format").alias("format"), F.sum("rows").alias("rows"))
     grouped = g.join(names, "key").join(authors, "key").select(F.get("all13", F.lit(0)).alias("isbn13"), "isbn10", F.slice("all13", F.lit(2), F.size("all13")).alias("extras"), F.array_join("authors", "; ").alias("author"), F.col("display").alias("title"), "series", "format", "rows")
     return grouped.unionByName(alone)
+
+
+def counters(status: DataFrame, linked: DataFrame, left: DataFrame) -> DataFrame:
+    """name, value: accepted rows and those with a title, distinct ISBNs, records linked to cards, titles and ISBNs of what is left.
+
+    status: rows of with_status.
+    """
+    rows = status.where("status = 'accepted'").agg(F.count(F.lit(1)).alias("holdings_rows"), F.count_if(F.col("title") != "").alias("holdings_titled_rows"))
+    records = linked.agg(F.count(F.lit(1)).alias("holdings_unique_isbns"), F.count_if(F.col("card").isNotNull()).alias("holdings_linked"), F.count_if(F.col("card").isNull()).alias("holdings_only_isbns"))
+    titles = left.agg(F.count(F.lit(1)).alias("holdings_only"))
+    pivot = lambda d: d.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, d.columns)), F.array(*(F.col(c).cast("long") for c in d.columns)))).alias("name", "value"))
+    return pivot(rows).union(pivot(records)).union(pivot(titles))

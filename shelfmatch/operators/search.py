@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.isbn import isbn13_to_10, isbn_search_digits, looks_like_isbn
 from ..functions.similarity import bigrams, overlap_tokens, title_score
-from ..functions.text import cell, loose_key, title_key, tokenize
+from ..functions.text import author_tokens, authors_compatible, cell, loose_key, title_key, tokenize
+from .components import stored
 
 MIN_SCORE, LIMIT, CONFIDENT, LEAD, CLOSE, SUGGEST = 0.42, 50, 0.92, 0.04, 0.58, 0.62
 
@@ -35,17 +36,60 @@ def _inner(c: Column) -> Column:
     return F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
-def candidates(q: DataFrame, t: DataFrame) -> DataFrame:
-    """Pairs (query_id, id) that share a pair of characters, or digits of an ISBN; every score from MIN_SCORE on implies one."""
-    grams = lambda s: F.array_distinct(F.concat(F.col(f"{s}.grams"), _inner(F.col(f"{s}.loose"))))
-    left = q.where("q.text <> ''").select("query_id", F.explode(grams("q")).alias("g"))
-    right = t.select("id", F.explode(F.array_distinct(F.concat(grams("t"), _inner(F.col("t.authors"))))).alias("g"))
-    pairs = left.join(right, "g").select("query_id", "id").distinct()
-    # queries of one character hold no pair inside: they meet cards by their character
-    single = q.where("length(q.text) = 1 or length(q.loose) = 1").select("query_id", F.explode(F.array_distinct(F.array("q.text", "q.loose"))).alias("g"))
+def _rarest(each: DataFrame, known: DataFrame, most: Column) -> DataFrame:
+    """Rows (query_id, g, ...) of each query's ``most`` rarest g, by the rows of known (id, g) that have it; unknown ones come first."""
+    df = known.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "g"))
+    return each.join(df, "g", "left").withColumn("place", rank).where(F.col("place") <= most).drop("df", "place")
+
+
+def _token_key(x: Column) -> Column:
+    """Tokens that may count as alike have one key: longer words by three letters, short ones and numbers as they are."""
+    return F.when((F.length(x) >= 3) & ~x.rlike("^[0-9]+$"), F.concat(F.lit("p:"), F.substring(x, 1, 3))).otherwise(F.concat(F.lit("e:"), x))
+
+
+def candidates(q: DataFrame, t: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """Pairs (query_id, id), among them all with a score from min_score on, by the ways a score can come about.
+
+    * Shared bigrams: a Dice or edit score asks for so many that, of a query's bigrams, the commonest can be
+      left out of the join; what is shared of the others must be enough together with all that were left out.
+    * Shared tokens: an overlap asks for some of any n - h + 1 tokens, so the rarest are joined.
+    * Containment: title, loose title or authors hold the whole query, so its rarest pair of characters is joined.
+    * ISBNs.
+
+    For titles of up to 350 characters; beyond, the edit score's fixed distance of unlike lengths would count for any query.
+    """
+    dice, overlap = min_score / 0.86, min_score / 0.78
+    asked = q.where("q.text <> ''")
+    na, la = F.size("q.grams"), F.length("q.text")
+    need_edit = F.greatest(F.lit(1), F.least(na - 4, F.ceil(na - 0.778 * la)))  # an edit changes two bigrams at most
+    need_dice = F.greatest(F.lit(1), F.ceil(dice / (2 - dice) * na - 1e-6))
+    grams = t.select("id", F.size("t.grams").alias("nb"), F.length("t.key").alias("lb"), F.explode("t.grams").alias("g"))
+    mine = asked.select("query_id", na.alias("na"), la.alias("la"), need_edit.alias("need"), (na - F.least(need_edit, need_dice) + 1).alias("most"), F.explode("q.grams").alias("g"))
+    shared = _rarest(mine, grams, F.col("most")).join(grams, "g").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in ("na", "la", "need", "most", "nb", "lb")))
+    total = F.col("c") + F.col("na") - F.col("most")
+    enough = total >= dice / 2 * (F.col("na") + F.col("nb")) - 1e-6
+    edits = (total >= F.col("need")) & (F.abs(F.col("la") - F.col("lb")) <= 0.389 * F.col("la") + 2)
+    pairs = [shared.where(enough | edits).select("query_id", "id")]
+    # tokens
+    n = F.size("q.tokens")
+    words = t.select("id", F.explode("t.tokens").alias("w")).select("id", _token_key(F.col("w")).alias("g")).distinct()
+    spoken = asked.where(n > 0).select("query_id", (n - F.ceil(overlap * n - 1e-6) + 1).alias("most"), F.posexplode("q.tokens").alias("p", "w")).select("query_id", "most", _token_key(F.col("w")).alias("g"))
+    pairs.append(_rarest(spoken, words, F.col("most")).join(words, "g").select("query_id", "id"))
+    # containment
+    for inner, fields in (("q.key", ("t.key",)), ("q.loose", ("t.loose", "t.authors"))):
+        of = asked.where(F.length(inner) >= 2).select("query_id", F.explode(F.array_distinct(_inner(F.col(inner)))).alias("g"))
+        for field in fields:
+            known = t.select("id", F.explode(F.array_distinct(_inner(F.col(field)))).alias("g"))
+            pairs.append(_rarest(of, known, F.lit(1)).join(known, "g").select("query_id", "id"))
+    single = q.where("length(q.text) = 1 or length(q.loose) = 1").select("query_id", F.explode(F.array_distinct(F.array("q.text", "q.loose"))).alias("g")).where("length(g) = 1")
     letters = t.select("id", F.explode(F.array_distinct(F.split(F.concat("t.key", "t.loose", "t.authors"), ""))).alias("g"))
-    pairs = pairs.union(single.where("length(g) = 1").join(letters, "g").select("query_id", "id"))
-    return pairs.union(lookup_pairs(q, t)).distinct()
+    pairs.append(single.join(letters, "g").select("query_id", "id"))
+    pairs.append(lookup_pairs(q, t))
+    out = pairs[0]
+    for d in pairs[1:]:
+        out = out.union(d)
+    return out.distinct()
 
 
 def _parts(d: Column) -> Column:
@@ -63,19 +107,41 @@ def lookup_pairs(q: DataFrame, t: DataFrame) -> DataFrame:
     return left.join(right, "part").where((F.col("d") == F.col("x")) | (long_ & (F.col("x").contains(F.col("d")) | F.col("d").contains(F.col("x"))))).select("query_id", "id").distinct()
 
 
+def _first(q: DataFrame, t: DataFrame) -> DataFrame:
+    return lookup_pairs(q, t).join(t.select("id", "title"), "id").groupBy("query_id").agg(F.min(F.struct("title", "id")).alias("m")).select("query_id", "m.id")
+
+
 def isbn_lookup(queries: DataFrame, cards: DataFrame) -> DataFrame:
     """query_id, id: the first card (by title, then id) of each ISBN query."""
-    q, t = prepare_queries(queries), prepare_cards(cards)
-    return lookup_pairs(q, t).join(t.select("id", "title"), "id").groupBy("query_id").agg(F.min(F.struct("title", "id")).alias("m")).select("query_id", "m.id")
+    return _first(prepare_queries(queries), prepare_cards(cards))
+
+
+def isbn_fallback(queries: DataFrame, cards: DataFrame, holdings: DataFrame) -> DataFrame:
+    """query_id, id, card: for ISBN queries without a card, the holdings record of the number and the card that it belongs to, if any.
+
+    holdings: row_id, isbn13, extras, author, title; id is the record's (``h:`` and its ISBN).  A record belongs
+    to the first card (by title, then id) that shares a number with it, else to the first of its title by a compatible author.
+    """
+    q = prepare_queries(queries).where("length(q.isbn) >= 10")
+    open_ = q.join(isbn_lookup(queries, cards).select("query_id"), "query_id", "left_anti").select("query_id", F.col("q.isbn").alias("isbn"))
+    index, _ = search_index(holdings.withColumn("label", F.col("title")))
+    found = open_.join(index, "isbn").select("query_id", "row_id").join(holdings, "row_id")
+    found = found.withColumns({"id": F.concat(F.lit("h:"), "isbn13"), "numbers": F.filter(F.concat(F.array("isbn13", isbn13_to_10("isbn13")), "extras", F.transform("extras", isbn13_to_10)), lambda d: d != ""), "key": title_key("title"), "names": F.split("author", r"\s*;\s*")})
+    first = F.min(F.struct(F.col("card_title").alias("title"), F.col("card_id").alias("id")))
+    pool = cards.select(F.col("id").alias("card_id"), F.col("title").alias("card_title"), "isbn_digits", "authors")
+    by_isbn = found.select("query_id", F.explode("numbers").alias("d")).join(pool.select("card_id", "card_title", F.explode("isbn_digits").alias("d")), "d").groupBy("query_id").agg(first.alias("a"))
+    same = F.exists("authors", lambda x: F.exists("names", lambda y: authors_compatible(author_tokens(x, "and"), author_tokens(y, "and"))))
+    by_title = found.where("key <> ''").join(pool.withColumn("key", title_key("card_title")), "key").where(same).groupBy("query_id").agg(first.alias("b"))
+    out = found.select("query_id", "id").join(by_isbn, "query_id", "left").join(by_title, "query_id", "left")
+    return out.select("query_id", "id", F.coalesce("a.id", "b.id").alias("card"))
 
 
 def score(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """query_id, id, title, score, reason of all pairs from min_score on; ISBN queries with a card of theirs get that alone."""
-    q, t = prepare_queries(queries), prepare_cards(cards)
-    pairs = candidates(q, t).join(q, "query_id").join(t, "id").withColumn("s", title_score("q", "t"))
+    q, t = stored(prepare_queries(queries)), stored(prepare_cards(cards))  # each is read for every way and scored as stored
+    pairs = stored(candidates(q, t, min_score)).join(q, "query_id").join(t, "id").withColumn("s", title_score("q", "t"))
     hits = pairs.select("query_id", "id", "title", rounded(F.col("s.score")).alias("score"), F.col("s.reason").alias("reason"), (F.col("q.isbn") != "").alias("by_isbn")).where(F.col("score") >= min_score)
-    first = isbn_lookup(queries, cards).select("query_id", F.col("id").alias("only"))
-    return hits.join(first, "query_id", "left").where("not by_isbn or only is null or id = only").drop("by_isbn", "only")
+    return hits.join(_first(q, t).withColumnRenamed("id", "only"), "query_id", "left").where("not by_isbn or only is null or id = only").drop("by_isbn", "only")
 
 
 def top_k(hits: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -84,8 +150,16 @@ def top_k(hits: DataFrame, limit: int = LIMIT) -> DataFrame:
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def classify(ranked: DataFrame, group_key: str = "title") -> DataFrame:
-    """query_id, match (id or null), top_score, n and close (ids of the next works in order, at most five)."""
+def classify(ranked: DataFrame, cards: DataFrame | None = None) -> DataFrame:
+    """query_id, match (id or null), top_score, n and close (ids of the next works in order, at most five).
+
+    Works are told apart by the title group key of cards (id, title, isbn_digits), so untitled cards are works of their own.
+    """
+    from .collapse import title_group_key
+
+    group_key = "work"
+    works = None if cards is None else cards.select("id", title_group_key().alias(group_key))
+    ranked = ranked.withColumn(group_key, F.coalesce(F.nullif("title", F.lit("")), "id")) if works is None else ranked.join(works, "id")
     w = Window.partitionBy("query_id").orderBy("rank")
     r = ranked.withColumns({"second": F.lead("score").over(w), "best": F.first("score").over(w), "best_group": F.first(group_key).over(w)})
     sure = (F.col("rank") == 1) & (F.col("score") >= CONFIDENT) & (F.col("second").isNull() | (F.round(F.col("score") - F.col("second"), 6) >= LEAD) | (F.col("reason") == "isbn"))

@@ -17,6 +17,7 @@ from ..sources import collections as S
 from ..sources.listings import canonicalize_columns, detect_source_kind, pick_holdings_sources, select_sheets
 from . import oracle as O
 from . import views
+from .workloads import build_catalogue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,19 +101,34 @@ def batch_order(spark, sf_dir):
     return one.select(F.posexplode("all").alias("p", "batch")).select("batch", (F.col("p") + 1).cast("long").alias("place"))
 
 
-@query(f"WITH {O.ctes('listing_rows')}, d AS (SELECT DISTINCT source_label, kind FROM listing_rows) SELECT source_label, CASE kind WHEN 'sora' THEN 'sora' WHEN 'ebook-order' THEN 'ebook-order' WHEN 'all-campuses' THEN 'all-campuses' ELSE 'master' END AS kind FROM d")
+#: File names, sheets and headers drawn by a row's number and length: SQL text for both engines.
+_FILE = """'in/' || CASE row_seq % 9 WHEN 0 THEN 'District-Report-' WHEN 1 THEN 'SORA export ' WHEN 2 THEN 'eBook-list ' WHEN 3 THEN 'my ebook-list ' WHEN 4 THEN 'All-Campuses ' WHEN 5 THEN 'Curated List ' WHEN 6 THEN 'curated-list/' ELSE 'list ' END || cast(row_seq AS string) || '.xlsx'"""
+_SHEET = "CASE row_seq % 7 WHEN 0 THEN 'District Report 1' WHEN 1 THEN 'Title Status' WHEN 2 THEN 'MS Books' WHEN 3 THEN 'curated list' ELSE 'Sheet' || cast(row_seq AS string) END"
+_HEADERS = "CASE row_seq % 11 WHEN 0 THEN 'materialtype isbn seriestitle' WHEN 1 THEN 'materialtype isbn author' WHEN 2 THEN 'titleid format owned title' WHEN 3 THEN 'titleid owned title' WHEN 4 THEN 'qty edition title isbn' WHEN 5 THEN 'elementarymiddleorhigh title' ELSE 'title isbn' END"
+_HAS = lambda *keys: "len(list_intersect(h, [" + ", ".join(f"'{k}'" for k in keys) + f"])) = {len(keys)}"
+
+
+@query(f"""WITH {O.ctes('listing_rows')}, g AS (SELECT row_seq, lower(regexp_extract({_FILE.replace(' AS string', ' AS VARCHAR')}, '([^/]*)$', 1)) AS f, lower({_SHEET.replace(' AS string', ' AS VARCHAR')}) AS t, string_split({_HEADERS}, ' ') AS h FROM listing_rows)
+SELECT row_seq, CASE WHEN contains(f, 'district-report') OR contains(t, 'district report') OR ({_HAS('materialtype', 'isbn')} AND len(list_intersect(h, ['seriestitle', 'titlesubtitle', 'title'])) > 0) THEN 'follett'
+ WHEN contains(f, 'sora') OR contains(t, 'title status') OR {_HAS('titleid', 'format', 'owned', 'title')} THEN 'sora' WHEN starts_with(f, 'ebook-list') OR {_HAS('qty', 'edition', 'title', 'isbn')} THEN 'ebook-order'
+ WHEN contains(f, 'all-campuses') OR t IN ('all campuses', 'ms books') OR {_HAS('elementarymiddleorhigh')} THEN 'all-campuses' WHEN regexp_matches(f, 'curated[- ]?list') OR regexp_matches(t, 'curated[- ]?list') THEN 'curated' ELSE 'master' END AS kind FROM g""")
 def source_kinds(spark, sf_dir):
-    d = _v(spark, sf_dir, "listing_rows").select("source_label", "kind").distinct()
-    name = F.concat(F.lit("in/"), F.when(F.col("kind") == "sora", "Sora-export-").when(F.col("kind") == "ebook-order", "eBook-list-").when(F.col("kind") == "all-campuses", "All-Campuses-").otherwise("list-"), "source_label", F.lit(".csv"))
-    return d.select("source_label", detect_source_kind(name, F.lit("Sheet1"), F.array(F.lit("title"), F.lit("isbn"))).alias("kind"))
+    d = _v(spark, sf_dir, "listing_rows").select("row_seq", F.expr(_FILE).alias("path"), F.expr(_SHEET).alias("sheet"), F.split(F.expr(_HEADERS), " ").alias("headers"))
+    return d.select("row_seq", detect_source_kind(F.col("path"), F.col("sheet"), F.col("headers")).alias("kind"))
+
 
+#: Sheets of the workbooks of all rows: a campus workbook's (by name or by a sheet), or another's.
+_BOOK = "CASE row_seq % 3 WHEN 0 THEN 'in/All-Campuses-' ELSE 'in/list-' END || cast(row_seq AS string) || '.xlsx'"
+_TABS = "CASE row_seq % 5 WHEN 0 THEN 'Summary|Other|Master List' WHEN 1 THEN 'Notes|First|Second' WHEN 2 THEN 'Instructions|Selection evidence' WHEN 3 THEN 'Notes|MS Books|More' ELSE 'Only' END"
 
-@query(f"""WITH {O.ctes('listing_rows')}, s AS (SELECT DISTINCT source_label AS path, kind FROM listing_rows)
-SELECT 'in/' || path || '.xlsx' AS path, sheet FROM (SELECT path, unnest(CASE WHEN kind = 'all-campuses' THEN ['All Campuses', 'MS books'] ELSE ['Master List'] END) AS sheet FROM s)""")
+
+@query(f"""WITH {O.ctes('listing_rows')}, s AS (SELECT path, unnest(tabs) AS sheet, unnest(range(len(tabs))) AS no FROM (SELECT {_BOOK.replace(' AS string', ' AS VARCHAR')} AS path, string_split({_TABS}, '|') AS tabs FROM listing_rows)),
+m AS (SELECT *, regexp_matches(lower(sheet), 'summary|evidence|notes|instruction') AS aside FROM s),
+k AS (SELECT *, bool_or(contains(path, 'All-Campuses') OR lower(sheet) IN ('all campuses', 'ms books')) OVER p AS campus, bool_or(NOT aside) OVER p AS known FROM m WINDOW p AS (PARTITION BY path))
+SELECT path, sheet FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY (sheet = 'Master List') DESC, aside, no) AS nth FROM k) WHERE CASE WHEN campus THEN CASE WHEN known THEN NOT aside ELSE no = 0 END ELSE nth = 1 END""")
 def sheet_selection(spark, sf_dir):
-    d = _v(spark, sf_dir, "listing_rows").select("source_label", "kind").distinct()
-    names = F.when(F.col("kind") == "all-campuses", F.array(*map(F.lit, ("All Campuses", "Notes", "MS books")))).otherwise(F.array(*map(F.lit, ("Summary", "Other", "Master List"))))
-    return select_sheets(d.select(F.concat(F.lit("in/"), "source_label", F.lit(".xlsx")).alias("path"), F.posexplode(names).alias("sheet_no", "sheet"))).select("path", "sheet")
+    d = _v(spark, sf_dir, "listing_rows").select(F.expr(_BOOK).alias("path"), F.posexplode(F.split(F.expr(_TABS), "[|]")).alias("sheet_no", "sheet"))
+    return select_sheets(d).select("path", "sheet")
 
 
 @query(f"WITH {O.ctes('listing_rows')} SELECT row_seq, CASE WHEN {O.cell('title')} <> '' THEN title ELSE author END AS title, isbn AS isbn_13 FROM listing_rows")
@@ -189,6 +205,19 @@ def catalog_cards(spark, sf_dir):
     return _cards(spark, sf_dir).select("id", "key", "title", "row_count", "posted", "in_collection", "formats.book", "formats.ebook", "formats.audio", "possible_duplicate", plain("isbn_digits").alias("isbns"), plain("batches").alias("batches"), plain("levels").alias("levels"))
 
 
+@query(O.with_(O.CARDS, "SELECT id, audience AS audience, count(*) AS n FROM (SELECT DISTINCT gid, audience FROM m0 WHERE audience <> '' AND NOT regexp_matches(audience, '^[0-9]{4}-[0-9]{2}-[0-9]{2}')) JOIN card USING (gid) GROUP BY id, audience"))
+def card_audiences(spark, sf_dir):
+    """Audience cells that are no dates, by card."""
+    return _cards(spark, sf_dir).select("id", F.explode("audiences").alias("audience")).groupBy("id", "audience").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(O.with_(O.CARDS, "SELECT id, list_position(list(d ORDER BY CASE WHEN len(d) = 13 AND starts_with(d, '978') THEN 0 WHEN len(d) = 13 THEN 1 WHEN len(d) = 10 THEN 2 ELSE 3 END, d), min(d)) AS place_of_least, string_agg(d, '|' ORDER BY CASE WHEN len(d) = 13 AND starts_with(d, '978') THEN 0 WHEN len(d) = 13 THEN 1 WHEN len(d) = 10 THEN 2 ELSE 3 END, d) AS isbns FROM ci JOIN card USING (gid) GROUP BY id"))
+def card_isbns(spark, sf_dir):
+    """Each card's numbers in the library's own order."""
+    c = _cards(spark, sf_dir).where(F.size("isbn_digits") > 0)
+    return c.select("id", F.array_position("isbn_digits", F.array_min("isbn_digits")).cast("long").alias("place_of_least"), _joined("isbn_digits").alias("isbns"))
+
+
 @query(O.with_(O.CARDS, "SELECT v AS value, count(*) AS titles FROM cb GROUP BY v"))
 def facet_batches(spark, sf_dir):
     return C.facets(_cards(spark, sf_dir)).where("kind = 'batch'").select("value", "titles")
@@ -319,9 +348,31 @@ def compact_roundtrip(spark, sf_dir):
     return S.decode_holdings(*(stored(d) for d in S.encode_holdings(records))).select("isbn13", "author", "label", "format")
 
 
-@query(f"WITH {O.ctes('holdings_rows')} SELECT row_seq FROM holdings_rows")
+@query(f"""WITH {O.ctes('holdings_rows')}, h AS (SELECT row_seq, row_seq % 5 AS label, CASE WHEN row_seq % 5 IN (1, 3) THEN ' ' ELSE title END AS title FROM holdings_rows)
+SELECT row_seq FROM h WHERE label IN (SELECT label FROM h WHERE {O.cell('title')} <> '')""")
 def holdings_sources(spark, sf_dir):
-    return pick_holdings_sources(_v(spark, sf_dir, "holdings_rows")).select("row_seq")
+    """Reports by a row's number, two of which have no titles."""
+    h = _v(spark, sf_dir, "holdings_rows").select("row_seq", (F.col("row_seq") % 5).cast("string").alias("source_label"), F.when((F.col("row_seq") % 5).isin(1, 3), " ").otherwise(F.col("title")).alias("title"))
+    return pick_holdings_sources(h).select("row_seq")
+
+
+_COUNTED = f"""WITH {HOLDINGS} SELECT 'holdings_rows' AS name, count(*) AS value FROM hs WHERE status = 'accepted' UNION ALL SELECT 'holdings_titled_rows', count(*) FROM hs WHERE status = 'accepted' AND title <> '' UNION ALL SELECT 'holdings_unique_isbns', count(*) FROM hrec
+UNION ALL SELECT 'holdings_linked', 0 UNION ALL SELECT 'holdings_only_isbns', count(*) FROM hrec UNION ALL SELECT 'holdings_only', count(DISTINCT nullif({O.tk('title')}, '')) + count(*) FILTER (WHERE {O.tk('title')} = '') FROM hrec"""
+
+
+@query(_COUNTED)
+def holdings_counters(spark, sf_dir):
+    """The counters of a report on its own, without cards that its records could link to."""
+    marked = stored(holdings.with_status(_v(spark, sf_dir, "holdings_rows"), spark.table("exclusion_rules")))
+    linked = stored(holdings.by_isbn(marked).withColumn("card", F.lit(None).cast("string")))
+    return holdings.counters(marked, linked, holdings.leftovers(linked))
+
+
+@query(f"WITH {HOLDINGS} SELECT isbn13, title = '' AND series = '' AS unlisted, CASE WHEN title <> '' THEN title WHEN series <> '' THEN series ELSE 'Title not listed' END AS shown, format & 1 > 0 AS book, format & 2 > 0 AS ebook, format & 4 > 0 AS audio FROM hrec")
+def holdings_shown(spark, sf_dir):
+    records = holdings.by_isbn(holdings.with_status(_v(spark, sf_dir, "holdings_rows"), spark.table("exclusion_rules")))
+    label = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("series"))
+    return records.select("isbn13", (label == "").alias("unlisted"), T.display_title(label).alias("shown"), T.material_formats("format").alias("f")).select("isbn13", "unlisted", "shown", "f.book", "f.ebook", "f.audio")
 
 
 # --- similarity and lookup ----------------------------------------------------------------------
@@ -406,7 +457,33 @@ _BEST_HIT = """, b AS (SELECT query_id, max(score) AS top_score, count(*) AS n,
 FROM lookup_queries LEFT JOIN b USING (query_id) LEFT JOIN card USING (id)"""))
 def search_verdicts(spark, sf_dir):
     queries, cards, ranked = _search(spark, sf_dir)
-    return search.verdicts(queries, search.classify(ranked), cards)
+    return search.verdicts(queries, search.classify(ranked, cards), cards)
+
+
+@query(O.with_(_Q + _SCORE.format(least=0.42, limit=50) + _BEST_HIT + f""", wk AS (SELECT id AS wid, {_TGK} AS g FROM card), bw AS (SELECT query_id, g AS bg, top_score >= 0.92 AND (second IS NULL OR round(top_score - second, 6) >= 0.04 OR reason = 'isbn') AS sure FROM b JOIN wk ON id = wid)""",
+ """SELECT query_id, id, nth FROM (SELECT top.query_id, top.id, row_number() OVER (PARTITION BY top.query_id ORDER BY rank) AS nth FROM top JOIN wk ON top.id = wid JOIN bw ON bw.query_id = top.query_id WHERE NOT sure OR (score >= 0.58 AND g <> bg)) WHERE nth <= 5"""))
+def search_close(spark, sf_dir):
+    """The next works of each query, at most five."""
+    _, cards, ranked = _search(spark, sf_dir)
+    return search.classify(ranked, cards).select("query_id", F.posexplode("close").alias("p", "id")).select("query_id", "id", (F.col("p") + 1).cast("long").alias("nth"))
+
+
+_LT = lambda x: f"list_filter(string_split({O.loose(x)}, ' '), lambda w: w <> '')"
+_HREC = _HOLD.replace(O.ctes("holdings_rows"), "holdings_rows AS (" + views.VIEWS["holdings_rows"] + ")").replace(", {RULES}", "")
+
+
+@query(O.with_(_Q + f""", {_HREC},
+fb AS (SELECT query_id, d FROM q1 WHERE len(d) >= 10 AND query_id NOT IN (SELECT query_id FROM only_)),
+fi AS (SELECT n, max(place) AS place FROM (SELECT isbn13 AS n, place FROM hrec UNION ALL SELECT {O.to10('isbn13')}, place FROM hrec) WHERE n <> '' GROUP BY n),
+fr AS (SELECT query_id, hrec.* FROM fb JOIN fi ON fb.d = n JOIN hrec ON hrec.place = fi.place),
+fa AS (SELECT query_id, arg_min(card.id, row(card.title, card.id)) AS a FROM fr JOIN ci ON ci.d = fr.isbn13 OR ci.d = {O.to10('fr.isbn13')} JOIN card ON card.gid = ci.gid GROUP BY query_id),
+ft AS (SELECT query_id, arg_min(card.id, row(card.title, card.id)) AS b FROM fr JOIN card ON {O.tk('fr.title')} <> '' AND {O.tk('fr.title')} = {O.tk('card.title')} JOIN ca ON ca.gid = card.gid
+ WHERE len(list_filter(authors, lambda x: len(list_filter(string_split_regex(fr.author, '\\s*;\\s*'), lambda y: len({_LT('x')}) > 0 AND len({_LT('y')}) > 0 AND (len(list_filter({_LT('x')}, lambda u: NOT list_contains({_LT('y')}, u))) = 0 OR len(list_filter({_LT('y')}, lambda u: NOT list_contains({_LT('x')}, u))) = 0))) > 0)) > 0 GROUP BY query_id)""",
+ "SELECT query_id, 'h:' || isbn13 AS id, coalesce(a, b) AS card FROM fr LEFT JOIN fa USING (query_id) LEFT JOIN ft USING (query_id)"))
+def isbn_fallback(spark, sf_dir):
+    cards = _cards(spark, sf_dir)
+    records = holdings.by_isbn(holdings.with_status(spark.table("holdings_rows"), spark.table("exclusion_rules")))
+    return search.isbn_fallback(spark.table("lookup_queries"), cards, stored(records.select(F.col("place").alias("row_id"), "isbn13", F.array().cast("array<string>").alias("extras"), "author", "title")))
 
 
 @query(O.with_(_Q + _SCORE.format(least=0.18, limit=5), "SELECT query_id, id, score, rank FROM top WHERE query_id NOT IN (SELECT query_id FROM hit WHERE score >= 0.42)"))
@@ -465,8 +542,9 @@ def empty_query(spark, sf_dir):
 @query(f"""WITH {O.ctes('listing_rows_big')}, k AS (SELECT {O.tk('title')} AS group_key, source_batch FROM listing_rows_big)
 SELECT source_batch AS value, count(DISTINCT group_key) AS titles FROM k GROUP BY source_batch""")
 def bulk_facets(spark, sf_dir):
-    rows = _v(spark, sf_dir, "listing_rows_big").select(T.title_key("title").alias("group_key"), "source_batch").distinct()
-    return rows.groupBy(F.col("source_batch").alias("value")).agg(F.count(F.lit(1)).alias("titles"))
+    """A whole catalogue build over the large listing, to the number of cards of each batch."""
+    made = build_catalogue(_v(spark, sf_dir, "listing_rows_big"))
+    return C.facets(stored(made.cards)).where("kind = 'batch'").select("value", "titles")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

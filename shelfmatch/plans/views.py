@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-TABLES = ("documents", "pages", "benchmark", "lineitem", "part", "supplier")
+TABLES = ("documents", "labels", "pages", "benchmark", "lineitem", "part", "supplier")
 VIEWS = {
     "listing_rows": r"""
 WITH h AS (
@@ -52,7 +52,7 @@ SELECT doc_id AS row_seq, 'report-a' AS source_label,
        CASE WHEN doc_id % 14 <= 7 THEN title ELSE '' END AS series_title, author, isbn,
        CASE WHEN doc_id % 5 = 0 THEN 'Book' WHEN doc_id % 5 = 1 THEN 'eBook' WHEN doc_id % 5 = 2 THEN 'Sound'
             WHEN doc_id % 5 = 3 THEN 'Recording' ELSE 'Video' END AS material_type
-FROM (SELECT row_seq AS doc_id, title, author, isbn FROM listing_rows WHERE row_seq % 3 = 1) d
+FROM (SELECT row_seq AS doc_id, title, author, isbn FROM listing_rows ) d
 UNION ALL
 SELECT 1000000000 + page_id, 'report-a', regexp_extract(html, '<title>([^<]*)</title>', 1), '', 'Page' || cast(page_id % 17 AS string) || ', Pat',
        '978' || cast(200000000 + page_id % 97 AS string) || '0',
@@ -61,13 +61,14 @@ FROM pages""",
     "exclusion_rules": r"""
 SELECT regexp_extract(text, '^[^.\n]{1,120}', 0) AS title, 'Ann Writer' || cast(n_chars % 13 AS string) AS author,
        n_chars % 4 <> 0 AS hide, doc_id % 3 = 0 AS match_author
-FROM documents WHERE doc_id % 40 = 7""",
+FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "lookup_queries": r"""
 SELECT doc_id AS query_id,
-       CASE WHEN doc_id % 4 = 0 THEN lower(head) WHEN doc_id % 4 = 1 THEN substr(head, 1, 9) || substr(head, 11, 200)
-            WHEN doc_id % 4 = 2 THEN substr(head, 1, 14) ELSE 'writer' || cast(n_chars % 13 AS string) END AS query
-FROM (SELECT doc_id, n_chars, regexp_extract(text, '^[^.\n]{1,120}', 0) AS head FROM documents WHERE doc_id % 25 = 3) q
-UNION ALL SELECT 1000000 + row_seq, isbn FROM listing_rows WHERE row_seq % 50 = 7 AND isbn <> ''
+       CASE WHEN doc_id % 80 = 0 THEN lower(head) WHEN doc_id % 80 = 20 THEN substr(head, 1, 9) || substr(head, 11, 200)
+            WHEN doc_id % 80 = 40 THEN substr(head, 1, 14) ELSE 'writer' || cast(n_chars % 13 AS string) END AS query
+FROM (SELECT doc_id, n_chars, regexp_extract(text, '^[^.\n]{1,120}', 0) AS head FROM documents WHERE doc_id % 20 = 0) q
+UNION ALL SELECT 1000000 + row_seq, isbn FROM listing_rows WHERE row_seq % 20 = 0 AND isbn <> ''
+UNION ALL SELECT 3000000 + page_id, '978' || cast(200000000 + page_id % 97 AS string) || '0' FROM pages WHERE page_id % 20 = 0
 UNION ALL SELECT 2000000 + item_id, regexp_extract(text, '^[^.\n]{1,120}', 0) FROM benchmark""",
     "listing_rows_big": r"""
 SELECT cast(l_linenumber AS int) AS source_seq, 'bulk-' || cast(l_linenumber AS string) AS source_label,

@@ -47,4 +47,4 @@ def lookup(queries: DataFrame, cards: DataFrame, batch: str = "all", level: str
     """Ranked hits and the verdict of every query, over the collapsed cards of a batch and level."""
     pool = stored(collapse.collapse_cards(C.browse(cards, batch, level)))
     ranked = stored(search.top_k(search.score(queries, pool), limit))
-    return ranked, search.verdicts(queries, search.classify(ranked), pool)
+    return ranked, search.verdicts(queries, search.classify(ranked, pool), pool)

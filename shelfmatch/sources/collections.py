@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell
+from ..operators.components import stored
 
 RULES = "title string, author string, hideFromDesk boolean, matchAuthor boolean, aliases array<string>"
 
@@ -20,15 +21,25 @@ def load_exclusions(spark: SparkSession, path: str) -> DataFrame:
     return rules.where("title <> '' and author <> ''")
 
 
-def write_collection(cards: DataFrame, facets: DataFrame, stats: DataFrame, path: str) -> None:
-    cards.write.mode("overwrite").parquet(f"{path}/cards")
+def write_collection(cards: DataFrame, facets: DataFrame, stats: DataFrame, path: str, shards: int = 16) -> None:
+    """Cards in ``shards`` folders by a hash of their key, so that a key is found by reading one; facets and counters beside them."""
+    cards.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/cards")
     facets.coalesce(1).write.mode("overwrite").parquet(f"{path}/facets")
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
+def read_cards(spark: SparkSession, path: str, keys: DataFrame | None = None, shards: int = 16) -> DataFrame:
+    """Stored cards; with ``keys`` (column key) only those, from their shards."""
+    cards = spark.read.parquet(f"{path}/cards")
+    if keys is not None:
+        cards = cards.join(keys.select("key", F.pmod(F.xxhash64("key"), F.lit(shards)).cast(cards.schema["shard"].dataType).alias("shard")).distinct(), ["key", "shard"], "left_semi")
+    return cards.drop("shard")
+
+
 def dense_index(values: DataFrame, column: str) -> DataFrame:
     """Adds ix from 0 in the order of a distinct column, without sorting everything in one task."""
-    parts = values.repartitionByRange(column).sortWithinPartitions(column).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    # stored, as it is read twice and a range partitioning samples anew each time
+    parts = stored(values.repartitionByRange(column).sortWithinPartitions(column).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     inside = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_i")))
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
@@ -36,7 +47,7 @@ def dense_index(values: DataFrame, column: str) -> DataFrame:
 
 
 def encode_holdings(holdings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Authors and labels (value, ix; ix 0 is empty) and rows (isbn13, isbn_number, author_ix, label_ix, format, extras)."""
+    """Authors and labels (value, ix; ix 0 is empty) and rows (isbn13, isbn_number, author_ix, label_ix, format, extras) in the order of their numbers."""
     label = F.coalesce(F.nullif(cell("title"), F.lit("")), cell("series"))
     h = holdings.select("isbn13", cell("author").alias("author"), label.alias("label"), "format", "extras")
     tables = []
@@ -45,7 +56,7 @@ def encode_holdings(holdings: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
         tables.append(dense_index(values, "value").select("value", (F.col("ix") + 1).alias("ix")).unionByName(h.sparkSession.createDataFrame([("", 0)], "value string, ix long")))
     a, s = tables
     coded = h.join(a.withColumnsRenamed({"value": "author", "ix": "author_ix"}), "author").join(s.withColumnsRenamed({"value": "label", "ix": "label_ix"}), "label")
-    return a, s, coded.select("isbn13", F.col("isbn13").try_cast("long").alias("isbn_number"), "author_ix", "label_ix", "format", "extras")
+    return a, s, coded.select("isbn13", F.col("isbn13").try_cast("long").alias("isbn_number"), "author_ix", "label_ix", "format", "extras").orderBy("isbn_number", "isbn13")
 
 
 def decode_holdings(authors: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
