@@ -35,7 +35,7 @@ from .runtime import join_small, ship, written
 SHINGLE, SIMILARITY, K = 4, 0.8, 48
 #: Words of a shingle where no contract names another size; SHINGLE is op7's.
 STAGE_SHINGLE = 5
-#: An estimate below this is five standard deviations under the similarity.
+#: An estimate below this (at SIMILARITY; it goes down with the similarity) is five standard deviations under it.
 NEED, ESTIMATE = K // 2, 0.5
 
 
@@ -89,7 +89,7 @@ def confirmed(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, size: int =
     of = lambda t, x: t.select(F.col("node").alias(x), F.col(t.columns[-1]).alias(f"{t.columns[-1]}_{x}"))
     both = pairs.join(of(sketch, "b"), "b").join(of(sketch, "a"), "a")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
-    near = both.withColumn("u", union).where(F.size(F.array_intersect("u", F.array_intersect("sketch_a", "sketch_b"))) >= ESTIMATE * F.size("u")).select("a", "b")
+    near = both.withColumn("u", union).where(F.size(F.array_intersect("u", F.array_intersect("sketch_a", "sketch_b"))) >= ESTIMATE * similarity / SIMILARITY * F.size("u")).select("a", "b")
     ready = near.join(of(texts, "b"), "b").join(of(texts, "a"), "a").select("a", "b", "text_a", "text_b")
     least, scale = int(round(similarity * 1000)), 1000
 
