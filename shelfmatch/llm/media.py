@@ -1,10 +1,11 @@
 """Matroska media columns: EBML writer and parser, packet tables with timestamps, tracks and byte ranges.
 
-``encode_media`` turns texts into Matroska files with one 8-bit PCM track; ``packets`` parses any
-Matroska bytes column into one row per frame; ``media_features`` reads stored files back.
+``encode_media`` turns texts into Matroska files with one 8-bit PCM track; ``packet_tables`` parses any
+Matroska bytes column into a packet table beside each file, ``packets`` makes that one row per frame;
+``media_features`` reads stored files through their packet tables.
 
 Defined cases: a null text counts as empty; an empty text gives one 576-byte frame of 255s; equal
-texts give equal files; damaged files raise ``ValueError`` in ``parse``, and ``packets`` gives them
+texts give equal files; damaged and foreign files raise ``ValueError`` in ``parse``, and ``packets`` gives them
 one row with a null track and the message in ``error``; extra columns are left out of the results.
 """
 
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .runtime import ship, written
 
@@ -171,16 +173,30 @@ def frames_of(b: bytes, p: int, q: int) -> tuple[int, int, int, list[tuple[int,
 
 
 def parse(b: bytes) -> dict:
-    """tracks, packets (track, time in ns, byte from, byte to, keyframe), cues (time, track, byte), clusters."""
-    out: dict = {"tracks": {}, "packets": [], "cues": [], "clusters": 0, "scale": 1_000_000}
-    for i, p, q in elements(b, 0, len(b)):
-        if i == SEGMENT:
-            _segment(b, p, q, out)
+    """tracks, packets (track, time in ns, byte from, byte to, keyframe), cues (time, track, byte), clusters, and starts (their first bytes).
+
+    ValueError where the bytes are no Matroska file, are damaged, or hold a cue whose cluster or packet isn't there.
+    """
+    out: dict = {"tracks": {}, "packets": [], "cues": [], "clusters": 0, "starts": [], "scale": 1_000_000}
+    if int.from_bytes(b[:4], "big") != EBML:
+        raise ValueError("no EBML header")
+    try:
+        for i, p, q in elements(b, 0, len(b)):
+            if i == SEGMENT:
+                _segment(b, p, q, out)
+    except (IndexError, struct.error) as e:
+        raise ValueError(f"a block is cut off: {e}") from e
+    starts, known = set(out["starts"]), {x[:2] for x in out["packets"]}
+    for time, track, at in out["cues"]:
+        if at not in starts or (track, time) not in known:
+            raise ValueError(f"the cue to byte {at} leads nowhere")
     return out
 
 
 def _segment(b: bytes, start: int, end: int, out: dict) -> None:
+    at, next_at = start, start
     for i, p, q in elements(b, start, end):
+        at, next_at = next_at, q  # where the element itself begins
         if i == INFO:
             for j, r, s in elements(b, p, q):
                 if j == TIMESTAMP_SCALE:
@@ -199,9 +215,10 @@ def _segment(b: bytes, start: int, end: int, out: dict) -> None:
                     elif k == CUE_TRACK_POSITIONS:
                         e = {x: _uint(b, y, z) for x, y, z in elements(b, u, v)}
                         found.append((e.get(CUE_TRACK, 0), start + e.get(CUE_CLUSTER_POSITION, 0)))
-                out["cues"] += [(time * out["scale"], t, at) for t, at in found]
+                out["cues"] += [(time * out["scale"], t, x) for t, x in found]
         elif i == CLUSTER:
             out["clusters"] += 1
+            out["starts"].append(at)
             base = 0
             for j, r, s in elements(b, p, q):
                 if j == TIMESTAMP:
@@ -243,26 +260,47 @@ def encode_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.selectExpr(f"cast(`{id_col}` as bigint) as id", f"cast(`{text_col}` as string) as text").mapInArrow(run, "id long, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def packets(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """One row for each frame: id, packet, track, time_ns, byte_from, byte_to, keyframe, error."""
+#: A packet table as a column: one entry for each frame, in order.
+PACKETS = "array<struct<track:bigint,time_ns:bigint,byte_from:bigint,byte_to:bigint,keyframe:boolean>>"
+
+
+def _packet_array(tables: list[list[tuple]]) -> pa.ListArray:
+    names = ["track", "time_ns", "byte_from", "byte_to", "keyframe"]
+    flat = list(zip(*(p for t in tables for p in t))) or [()] * 5
+    entries = pa.StructArray.from_arrays([pa.array(c, pa.bool_() if n == "keyframe" else pa.int64()) for n, c in zip(names, flat)], names)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tables])]), pa.int32()), entries)
+
+
+def packet_tables(df: DataFrame, id_col: str, media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, media, packets, clusters, cues (all checked against clusters and packets), error and the kept columns of every file; null: no bytes."""
     ship(df.sparkSession)
-    names = ["id", "packet", "track", "time_ns", "byte_from", "byte_to", "keyframe", "error"]
-    schema = pa.schema(zip(names, [pa.int64()] * 6 + [pa.bool_(), pa.string()]))
 
     def run(batches):
         for batch in batches:
-            for i, b in zip(batch.column(0), batch.column(1)):
+            tables, clusters, cues, errors = [], [], [], []
+            for b in batch.column(1):
                 try:
-                    rows = [(i.as_py(), k, *p, None) for k, p in enumerate(parse(b.as_py() or b"")["packets"])]
-                except (ValueError, IndexError, struct.error) as e:
-                    rows = [(i.as_py(), 0, None, None, None, None, None, str(e))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], names)
+                    found, error = parse(b.as_py() or b""), None
+                except ValueError as e:
+                    found, error = {"packets": [], "clusters": 0, "cues": []}, str(e)
+                tables.append(found["packets"])
+                clusters.append(found["clusters"])
+                cues.append(len(found["cues"]))
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packet_array(tables), pa.array(clusters, pa.int64()), pa.array(cues, pa.int64()), pa.array(errors, pa.string()), *(batch.column(2 + k) for k in range(len(keep)))], ["id", "media", "packets", "clusters", "cues", "error", *keep])
+
+    rows = df.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{media_col}` as media", *(f"`{c}`" for c in keep))
+    kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"id long, media binary, packets {PACKETS}, clusters long, cues long, error string{kept}").withColumnRenamed("id", id_col)
 
-    return df.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{media_col}` as media").mapInArrow(run, "id long, packet long, track long, time_ns long, byte_from long, byte_to long, keyframe boolean, error string").withColumnRenamed("id", id_col)
+
+def packets(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
+    """One row for each frame: id, packet, track, time_ns, byte_from, byte_to, keyframe, error; a damaged file is one row with its error."""
+    each = packet_tables(df, id_col, media_col).select(id_col, "error", F.posexplode_outer("packets").alias("packet", "p")).where("p is not null or error is not null")
+    return each.select(id_col, F.coalesce("packet", F.lit(0)).cast("long").alias("packet"), *(F.col(f"p.{c}").alias(c) for c in ("track", "time_ns", "byte_from", "byte_to", "keyframe")), "error")
 
 
-def features(payload: bytes, parsed: dict) -> str:
+def features(payload: bytes, times: np.ndarray, clusters: int, cues: int) -> str:
     """Sample statistics over all packets of the track, as text."""
     x = np.frombuffer(payload, np.uint8)
     n = np.bincount(x, minlength=256)
@@ -270,29 +308,31 @@ def features(payload: bytes, parsed: dict) -> str:
     mean, power = float(n @ v) / len(x), float(n @ (v * v)) / len(x)
     p = n[n > 0] / len(x)
     turns = int(np.count_nonzero((x[1:] < 128) != (x[:-1] < 128)))
-    last = parsed["packets"][-1]
-    return f"packets={len(parsed['packets'])};clusters={parsed['clusters']};cues={len(parsed['cues'])};ms={(last[1] + FRAME_NS) // 1_000_000};mean={mean:.4f};rms={power**0.5:.4f};entropy={float(-(p * np.log2(p)).sum()):.4f};crossings={turns}"
+    return f"packets={len(times)};clusters={clusters};cues={cues};ms={(int(times[-1]) + FRAME_NS) // 1_000_000};mean={mean:.4f};rms={power**0.5:.4f};entropy={float(-(p * np.log2(p)).sum()):.4f};crossings={turns}"
 
 
 def media_features(df: DataFrame, id_col: str) -> DataFrame:
-    """Parses stored files (columns id, n_bytes, media) and digests the payload that their packets hold."""
+    """Digests of the payload that the packet tables of stored files point to (columns of packet_tables, and n_bytes); damaged files are left out."""
     ship(df.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches):
         for batch in batches:
             rows = []
-            for i, n, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                b = m.as_py()
-                parsed = parse(b)
-                payload = b"".join([b[p[2] : p[3]] for p in parsed["packets"]])
-                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(b), hashlib.sha256(b).hexdigest(), features(payload, parsed)))
+            table = batch.column(2)
+            entry, cut = table.flatten(), table.offsets.to_numpy() - table.offsets[0].as_py()
+            time, start, end = (entry.field(c).to_numpy() for c in (1, 2, 3))
+            for k, (i, m, clusters, cues, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(c).to_pylist() for c in (3, 4, 5)))):
+                b, own = m.as_py(), slice(cut[k], cut[k + 1])
+                payload = b"".join([b[x:y] for x, y in zip(start[own].tolist(), end[own].tolist())])
+                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(b), hashlib.sha256(b).hexdigest(), features(payload, time[own], clusters, cues)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return df.selectExpr(f"`{id_col}` as id", "n_bytes", "media").mapInArrow(run, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    good = df.where("error is null").selectExpr(f"`{id_col}` as id", "media", "packets", "clusters", "cues", "n_bytes")
+    return good.mapInArrow(run, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Stores every text of documents as a Matroska file in a written table and reads the features back from it."""
-    return media_features(written(encode_media(docs, "doc_id", "text")), "doc_id")
+    """Stores every text of documents as a Matroska file in a written table, and reads the features back through its packet table."""
+    return media_features(packet_tables(written(encode_media(docs, "doc_id", "text")), "doc_id", keep=("n_bytes",)), "doc_id")

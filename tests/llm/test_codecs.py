@@ -76,6 +76,23 @@ def test_lacing(kind):
     assert (track, rel) == (1, 5) and [block[a:b] for a, b in ranges] == frames
 
 
+@pytest.mark.parametrize("data", [b"", b"RIFF1234WAVE", b"<html>", media.element(media.EBML, b"") + media._id(media.SEGMENT) + b"\x84\xa3\x82\x81\x00"])
+def test_foreign_and_cut_files_are_errors(data):
+    if data.startswith(media._id(media.EBML)):
+        data = media.element(media.EBML, b"") + media.element(media.SEGMENT, media.element(media.CLUSTER, media.element(media.SIMPLE_BLOCK, b"\x81\x00")))
+    with pytest.raises(ValueError):
+        media.parse(data)
+
+
+def test_cues_must_lead_to_their_packets():
+    b = media.write(random.Random(1).randbytes(576 * 600))
+    good = media.parse(b)
+    assert len(good["cues"]) == good["clusters"] == 3 and all(b[at : at + 4] == media._id(media.CLUSTER) for _, _, at in good["cues"])
+    at = b.rindex(media._id(media.CUE_CLUSTER_POSITION))
+    with pytest.raises(ValueError, match="cue"):
+        media.parse(b[: at + 3] + bytes([b[at + 3] ^ 1]) + b[at + 4 :])
+
+
 @pytest.mark.parametrize("n", [1, 8, 9, 257, 600])
 def test_matroska_round_trip(n):
     payload = random.Random(n).randbytes(576 * n)
