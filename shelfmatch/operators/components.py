@@ -7,11 +7,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import titles_related
-from ..functions.text import folded_key
+from ..functions.text import folded_key, significant_tokens
 
 _own: list[str] = []
 
@@ -29,20 +29,75 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shared_isbn_pairs(isbns: DataFrame, titles: DataFrame, both_titled: bool = False) -> DataFrame:
+#: Titled groups of an ISBN up to which all their pairs are compared.
+HOT = 50
+
+
+def _rarest(each: DataFrame, known: DataFrame, most: Column) -> DataFrame:
+    """Rows (isbn, key, g) of the ``most`` rarest g of each key of an ISBN, by the keys of the ISBN that have it."""
+    df = known.groupBy("isbn", "g").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("isbn", "key").orderBy("df", "g"))
+    return each.join(df, ["isbn", "g"]).withColumn("place", place).where(F.col("place") <= most).select("isbn", "key", "g")
+
+
+def _grams(c: Column, n: int) -> Column:
+    """All parts of n characters, or the whole where it is shorter."""
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array(c))
+
+
+def related_candidates(owners: DataFrame) -> DataFrame:
+    """Pairs a < b of keys of one ISBN, among them all related ones, without pairing all: owners: isbn, key, fk (folded title).
+
+    A title inside another, or the beginning of one (six characters or more without blanks), shares each of its
+    parts of five characters: it meets the others by its rarest part; shorter ones are related if equal.  A title whose words
+    (two or more, of three letters or more) are all in another meets it by its rarest word.  Where at least three and three quarters of the words
+    are alike but for one edit, one of any n - h + 1 words is; alike words share their first or last two letters.
+    """
+    o = owners.withColumns({"compact": F.regexp_replace("fk", " ", ""), "words": significant_tokens(F.col("fk"))})
+    parts = o.select("isbn", "key", F.explode(F.array_distinct(_grams(F.col("compact"), 5))).alias("g")).distinct()
+    pairs = [_rarest(parts, parts, F.lit(1)).join(parts.withColumnRenamed("key", "other"), ["isbn", "g"])]
+    ends = lambda w: F.array(F.concat(F.lit("<"), F.substring(w, 1, 2)), F.concat(F.lit(">"), F.right(w, F.lit(2))))
+    words = o.where(F.size("words") >= 2).select("isbn", "key", "fk", F.explode(F.array_distinct("words")).alias("w"))
+    known = o.select("isbn", "key", F.explode("words").alias("g")).distinct()
+    pairs.append(_rarest(words.select("isbn", "key", F.col("w").alias("g")).distinct(), known, F.lit(1)).join(known.withColumnRenamed("key", "other"), ["isbn", "g"]))
+    many = o.where(F.size("words") >= 3)
+    alike = many.select("isbn", "key", F.explode(F.flatten(F.transform("words", ends))).alias("g")).distinct()
+    pairs.append(_rarest_words(many, alike, ends).join(alike.withColumnRenamed("key", "other"), ["isbn", "g"]))
+    out = pairs[0].select("key", "other")
+    for d in pairs[1:]:
+        out = out.union(d.select("key", "other"))
+    return out.where("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
+def _rarest_words(many: DataFrame, alike: DataFrame, ends) -> DataFrame:
+    """(isbn, key, g): both ends of so many of a title's words that one of them must be alike."""
+    n = F.size("words")
+    df = alike.groupBy("isbn", "g").agg(F.count(F.lit(1)).alias("df"))
+    each = many.select("isbn", "key", (n - F.greatest(F.lit(3), F.ceil(0.75 * n - 1e-9)) + 1).alias("most"), F.posexplode("words").alias("p", "w")).select("isbn", "key", "most", "p", F.explode(ends(F.col("w"))).alias("g"))
+    both = each.join(df, ["isbn", "g"]).groupBy("isbn", "key", "p", "most").agg(F.sum("df").alias("df"), F.collect_set("g").alias("gs"))  # two ends of a word
+    place = F.row_number().over(Window.partitionBy("isbn", "key").orderBy("df", "p"))
+    return both.withColumn("place", place).where(F.col("place") <= F.col("most")).select("isbn", "key", F.explode("gs").alias("g")).distinct()
+
+
+def shared_isbn_pairs(isbns: DataFrame, titles: DataFrame, both_titled: bool = False, hot: int = HOT) -> DataFrame:
     """Pairs a < b of groups with a common ISBN whose titles look related.
 
     isbns: key, isbn; titles: key, title (none for untitled groups).  Untitled groups go with any
     owner of their ISBN; they are linked to one owner of each ISBN instead of to all of them, which
-    gives the same components.  With ``both_titled`` they are left alone.
+    gives the same components.  With ``both_titled`` they are left alone.  ISBNs with more than ``hot``
+    titled groups (placeholders) are compared by blocks (``related_candidates``) instead of all with all.
     """
     folded = titles.select("key", folded_key("title").alias("fk")).where("fk <> ''").distinct()
     titled = titles.select("key").distinct().withColumn("titled", F.lit(True))
     owners = isbns.select("key", "isbn").where("isbn <> ''").distinct()
     shared = owners.groupBy("isbn").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("isbn")
     owners = owners.join(shared, "isbn").join(titled, "key", "left").withColumn("titled", F.coalesce("titled", F.lit(False)))
-    a, b = owners.where("titled").select("isbn", F.col("key").alias("a")), owners.where("titled").select("isbn", F.col("key").alias("b"))
-    met = a.join(b, "isbn").where("a < b").select("a", "b").distinct()
+    named = owners.where("titled").select("isbn", "key")
+    crowd = named.groupBy("isbn").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("isbn")
+    few = named.join(crowd, "isbn", "left_anti")
+    met = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), "isbn").where("a < b").select("a", "b").distinct()
+    if not crowd.isEmpty():
+        met = met.union(related_candidates(stored(named.join(crowd, "isbn", "left_semi").join(folded, "key")))).distinct()
     related = met.join(folded.select(F.col("key").alias("a"), F.col("fk").alias("fa")), "a").join(folded.select(F.col("key").alias("b"), F.col("fk").alias("fb")), "b")
     pairs = related.where(titles_related(F.col("fa"), F.col("fb"))).select("a", "b").distinct()
     if both_titled:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import cards as C
+from .components import stored
 from .ingest import accepted
 
 
@@ -29,3 +31,12 @@ def incremental_import(stored_rows: DataFrame, arrived: DataFrame, rules: DataFr
     """All accepted rows after the import."""
     added = new_rows(stored_rows, arrived, rules)
     return stored_rows.unionByName(added, allowMissingColumns=True)
+
+
+def incremental_cards(stored_rows: DataFrame, stored_cards: DataFrame, arrived: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """All cards after the import: those of touched works are built again from their stored and added rows, the others stay as stored."""
+    added = stored(new_rows(stored_rows, arrived, rules))
+    touched = stored(touched_rows(stored_rows, C.card_labels(stored_rows), added))
+    before = C.build_cards(touched).select("id")
+    after = C.build_cards(touched.unionByName(added, allowMissingColumns=True))
+    return stored_cards.join(before, "id", "left_anti").unionByName(after)

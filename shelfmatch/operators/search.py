@@ -196,15 +196,20 @@ def search_index(holdings: DataFrame) -> tuple[DataFrame, DataFrame]:
 def token_search(queries: DataFrame, tokens: DataFrame, limit: int = 12) -> DataFrame:
     """query_id, row_id, rank: rows that have all the query's words; words of four characters or more also begin longer ones.
 
-    Rows with the exact word come first for one-word queries; then by row.
+    Rows with the exact word come first for one-word queries; then by row.  Rows are found by the query's
+    rarest word; the other words are looked for among the found rows' tokens.
     """
-    words = queries.select("query_id", tokenize("query").alias("words"))
-    need = words.select("query_id", F.size("words").alias("need"), F.explode("words").alias("w"))
+    words = stored(queries.select("query_id", tokenize("query").alias("words")).where(F.size("words") > 0))
     begun = F.when(F.length("token") >= 4, F.transform(F.sequence(F.lit(4), F.length("token")), lambda n: F.substring(F.col("token"), F.lit(1), n))).otherwise(F.array("token"))
-    index = tokens.select("row_id", "token", F.explode(begun).alias("w"))
-    met = need.join(index, "w").groupBy("query_id", "need", "row_id").agg(F.count_distinct("w").alias("got"), F.max(F.col("w") == F.col("token")).alias("exact"))
-    hits = met.where("got = need")
-    order = Window.partitionBy("query_id").orderBy(F.when(F.col("need") == 1, ~F.col("exact")).otherwise(F.lit(False)), "row_id")
+    asked = words.select(F.explode("words").alias("g")).distinct()
+    index = stored(tokens.select("row_id", F.explode(begun).alias("g")).join(asked, "g").distinct().select(F.col("row_id").alias("id"), "g"))
+    one = _rarest(words.select("query_id", F.explode("words").alias("g")), index, F.lit(1))
+    met = one.join(index, "g").select("query_id", F.col("id").alias("row_id")).join(words, "query_id")
+    held = tokens.join(met.select("row_id").distinct(), "row_id").groupBy("row_id").agg(F.collect_set("token").alias("tokens"))
+    begins = lambda w, t: (w == t) | ((F.length(w) >= 4) & t.startswith(w))
+    hits = met.join(held, "row_id").where(F.forall("words", lambda w: F.exists("tokens", lambda t: begins(w, t))))
+    later = (F.size("words") == 1) & ~F.array_contains("tokens", F.get("words", F.lit(0)))
+    order = Window.partitionBy("query_id").orderBy(later, "row_id")
     return hits.select("query_id", "row_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= limit)
 
 
