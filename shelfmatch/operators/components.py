@@ -20,6 +20,8 @@ def stored(df: DataFrame) -> DataFrame:
     """A table written to the shared folder (spark.checkpoint.dir) and read again, so that plans stay short."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not base:  # tests and local sessions
+        if df.sparkSession.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="shelfmatch-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

@@ -10,43 +10,61 @@ from pyspark.sql import functions as F
 
 from ..functions.text import access_level, cell, clean_digital_title, first_nonblank, normalize_level
 
-#: Header spellings (letters and digits in lower case) of each column.
-HEADERS = {
-    "title": "title booktitle titlesubtitle",
-    "author": "author authors authorname authorartist creator",
-    "source_batch": "sourcebatch batch posted posteddate dateposted period postingperiod postedperiod",
-    "level": "level campuslevel gradelevel elementarymiddleorhigh contentaccesslevels",
+#: The column of each header spelling (letters and digits in lower case).
+ALIASES = {
+    "title": "title",
+    "booktitle": "title",
+    "titlesubtitle": "title",
+    "author": "author",
+    "authors": "author",
+    "authorname": "author",
+    "authorartist": "author",
+    "creator": "author",
+    "sourcebatch": "source_batch",
+    "batch": "source_batch",
+    "posted": "source_batch",
+    "posteddate": "source_batch",
+    "dateposted": "source_batch",
+    "period": "source_batch",
+    "postingperiod": "source_batch",
+    "postedperiod": "source_batch",
+    "level": "level",
+    "campuslevel": "level",
+    "gradelevel": "level",
+    "elementarymiddleorhigh": "level",
+    "contentaccesslevels": "level",
     "book": "book",
     "ebook": "ebook",
     "audio": "audio",
     "isbn": "isbn",
-    "isbn_10": "isbn10",
-    "isbn_13": "isbn13",
-    "normalized_isbn": "normalizedisbn",
-    "isbn_hb": "isbnhb",
-    "isbn_pb": "isbnpb",
-    "isbn_other": "isbnother",
-    "possible_duplicate": "possibleduplicate duplicate",
-    "audience": "audience audiencerating",
+    "isbn10": "isbn_10",
+    "isbn13": "isbn_13",
+    "normalizedisbn": "normalized_isbn",
+    "isbnhb": "isbn_hb",
+    "isbnpb": "isbn_pb",
+    "isbnother": "isbn_other",
+    "possibleduplicate": "possible_duplicate",
+    "duplicate": "possible_duplicate",
+    "audience": "audience",
+    "audiencerating": "audience",
     "booklist": "booklist",
     "kirkus": "kirkus",
     "pw": "pw",
     "slj": "slj",
-    "horn_book": "hornbook",
-    "common_sense_media": "commonsensemedia",
-    "other_reviews": "otherreviews",
+    "hornbook": "horn_book",
+    "commonsensemedia": "common_sense_media",
+    "otherreviews": "other_reviews",
     "edition": "edition",
     "qty": "qty",
-    "material_type": "materialtype",
-    "series_title": "seriestitle",
-    "follett_ebook": "follettebook",
-    "title_id": "titleid",
+    "materialtype": "material_type",
+    "seriestitle": "series_title",
+    "follettebook": "follett_ebook",
+    "titleid": "title_id",
     "owned": "owned",
     "subscription": "subscription",
     "format": "format",
 }
-ALIASES = {h: name for name, spellings in HEADERS.items() for h in spellings.split()}
-COLUMNS = tuple(HEADERS)
+COLUMNS = tuple(dict.fromkeys(ALIASES.values()))
 REVIEWS = ("booklist", "kirkus", "pw", "slj", "horn_book", "common_sense_media", "other_reviews")
 #: Batch labels that a source without one gets. The curated list's name and label are a site's own.
 BATCHES = {"all-campuses": "All Campuses", "ebook-order": "eBook order", "follett": "Follett 9.16.26", "sora": "Sora 2026-09-16", "curated": "Curated list"}
