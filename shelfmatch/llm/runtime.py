@@ -57,6 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; a temporary one of our own only where the setting is absent (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="spark-shared-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
