@@ -6,13 +6,12 @@ values, so a document is listed only under the rarest values of which one must b
 too few of its values occur elsewhere).  Pairs from the lists pass an estimate on the union's sketch
 and are confirmed by the exact Jaccard similarity of the full sets.
 
-The documents that any list holds are then listed anew by their full sets, rarest shingles first, and a
-pair is made only where a common shingle stands as early in both as the pair's sizes call for.
-
-Only components are asked for, so the lists are worked off in rounds: first each list's pivot against
-its other members, then, after the components so far are known, every pair of a list that lies in two
-components.  A group of thousands of copies costs a few pairs for each of them, and no link between
-components is left out.  Identical sets are folded before.
+Only components are asked for, so the lists are worked off in rounds: each list's pivot is compared with
+its other members, twice with other pivots.  A group of thousands of copies costs a few pairs for each
+of them.  What is left are members of lists that still hold several components.  Their pairs would be
+quadratic in a list, so these members are listed anew by their full sets, rarest shingles first, and
+meet only where a common shingle stands as early in both as the pair's sizes call for; that loses no
+pair of them.  Identical sets are folded before.
 
 Defined cases: a document without words (or null) has 0 shingles and is linked with nothing; with
 fewer words than a shingle, the whole sequence is one; rows with the same doc_id each get the
@@ -75,13 +74,13 @@ def sketches(docs: DataFrame, size: int = SHINGLE, k: int = K) -> DataFrame:
 
 
 def postings(reps: DataFrame, k: int = K, need: int = NEED, similarity: float = SIMILARITY) -> DataFrame:
-    """(v, node): the values under which each node (node, n, sketch) is listed, each value at least twice."""
+    """(v, node, n, s): the values under which each node (node, n, sketch) is listed, each value at least twice; s: the share of its values that occur elsewhere."""
     values = reps.select("node", "n", F.explode("sketch").alias("v"))
     frequent = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = values.join(frequent, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by"))  # at most k values
     held = f"least(n, {k})"
     listed = f"{held} - least(cast(ceil({similarity} * n) as int), {need}) + 1 - ({held} - size(by))"
-    return shared.select("node", F.expr(f"explode(slice(by, 1, greatest(cast({listed} as int), 0)))").alias("p")).select("p.v", "node")
+    return shared.select("node", "n", F.expr(f"size(by) / {held}").alias("s"), F.expr(f"explode(slice(by, 1, greatest(cast({listed} as int), 0)))").alias("p")).select("p.v", "node", "n", "s")
 
 
 def confirmed(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, k: int = K) -> DataFrame:
@@ -145,30 +144,37 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     real = all_rows.where("n > 0 and doc_id is not null")
     sets = written(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("node")))
     reps = join_small(real, sets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "sketch")
-    listed = written(postings(reps, k, need, similarity).distinct())
+    listed = written(postings(reps, k, need, similarity))
     nodes = listed.select("node").distinct()
     sketch = written(join_small(reps.select("node", "sketch"), nodes, "node", "left_semi"))
     texts = written(join_small(docs.select(F.col("doc_id").alias("node"), "text"), nodes, "node", "left_semi"))
-    listed = written(prefix_lists(texts, size, similarity))
-    # of the pair's sizes follows how many values it must share, and so where in both orders a common one must stand
-    need_ = lambda o: similarity / (1 + similarity) * (F.col("n") + F.col(f"{o}n")) - 1e-6
-    may = lambda o: (F.least("s", f"{o}s") >= need_(o)) & (F.col("rank") <= F.col("n") - need_(o) + 1) & (F.col(f"{o}rank") <= F.col(f"{o}n") - need_(o) + 1)
     links, labels = None, None
-    for r in range(stars + 1):
-        q = listed.withColumn("label", F.col("node")) if labels is None else listed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if r < stars:
-            # first the member with the fewest shingles of its own, which copies are nearest to, then any
-            rank = -F.col("s") / F.col("n") if r == 0 else F.xxhash64("node", F.lit(r)).cast("double")
-            pivots = q.groupBy("v").agg(F.min(F.struct(rank.alias("h"), "node", "label", "n", "s", "rank")).alias("p")).select("v", "p", F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.rank").alias("prank"))
-            met = q.join(pivots, "v").where((F.col("label") != F.col("p.label")) & may("p")).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-        else:
-            several = q.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-            q = q.join(several, "v", "left_semi")
-            other = q.select("v", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("on"), F.col("s").alias("os"), F.col("rank").alias("orank"))
-            met = q.join(other, (q["v"] == other["v"]) & (F.col("label") < F.col("other")) & may("o")).select(F.col("node").alias("a"), "b")
+
+    def labelled(lists: DataFrame) -> DataFrame:
+        q = lists.withColumn("label", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = q.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
+        return q.join(several, "v", "left_semi")
+
+    for r in range(stars):
+        q = written(labelled(listed))
+        # first the member with the fewest values of its own, which copies are nearest to, then any
+        rank = -F.col("s") if r == 0 else F.xxhash64("node", F.lit(r)).cast("double")
+        pivots = q.groupBy("v").agg(F.min(F.struct(rank.alias("h"), "node", "label", "n")).alias("p"))
+        alike = F.least("n", "p.n") >= similarity * F.greatest("n", "p.n") - 1e-9
+        met = q.join(pivots, "v").where((F.col("label") != F.col("p.label")) & alike).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
         found = written(confirmed(written(met.distinct()), sketch, texts, size, similarity, k))
         links = found if links is None else links.union(found)
         labels = components(links)
+    rest = written(labelled(listed).select("node").distinct())
+    if not rest.isEmpty():
+        # of the pair's sizes follows how many values it must share, and so where in both orders a common one must stand
+        need_ = lambda o: similarity / (1 + similarity) * (F.col("n") + F.col(f"{o}n")) - 1e-6
+        may = lambda o: (F.least("s", f"{o}s") >= need_(o)) & (F.col("rank") <= F.col("n") - need_(o) + 1) & (F.col(f"{o}rank") <= F.col(f"{o}n") - need_(o) + 1)
+        q = written(labelled(written(prefix_lists(join_small(texts, rest, "node", "left_semi"), size, similarity))))
+        other = q.select("v", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("on"), F.col("s").alias("os"), F.col("rank").alias("orank"))
+        met = q.join(other, "v").where((F.col("label") < F.col("other")) & may("o")).select(F.col("node").alias("a"), "b")
+        links = links.union(written(confirmed(written(met.distinct()), sketch, texts, size, similarity, k)))
+        labels = components(links)
     every = join_small(all_rows.select("doc_id", "n", "f1", "f2"), sets, ["f1", "f2"], "left", width=48)
     every = join_small(every, labels, "node", "left", width=32)
     component = F.when(F.col("n") > 0, F.coalesce("label", "node", "doc_id")).otherwise(F.col("doc_id"))
