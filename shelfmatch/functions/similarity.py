@@ -63,23 +63,32 @@ def titles_related(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), False).when(cheap, True).when(subset, True).otherwise(greedy)
 
 
-def title_score(q: str, t: str) -> Column:
+def score_parts(q: str, t: str) -> dict[str, Column]:
+    """What ``title_score`` uses several times; as columns of their own they are worked out once and keep its code short."""
+    f = lambda s, n: F.col(f"{s}.{n}")
+    return {
+        "_overlap": token_overlap(f(q, "tokens"), f(t, "tokens")),
+        "_distance": lev_capped(f(q, "text"), f(t, "key")),
+        "_dice": dice(f(q, "text"), f(t, "key"), f(q, "grams"), f(t, "grams")),
+        "_isbn": (f(q, "isbn") != "") & F.exists(f(t, "isbns"), lambda x: (x == f(q, "isbn")) | ((F.length(f(q, "isbn")) >= 10) & (x.contains(f(q, "isbn")) | f(q, "isbn").contains(x)))),
+    }
+
+
+def title_score(q: str, t: str, staged: bool = False) -> Column:
     """Score and reason of a card for a query, from prepared structs (see ``operators.search``).
 
     Fields of the query: raw, key, loose, text (key, or loose where the key is blank), tokens, grams,
     isbn (digits, empty for other queries).  Fields of the card: key, loose, tokens, grams, authors
-    (loose blob), isbns.
+    (loose blob), isbns.  staged: the columns of ``score_parts`` are there.
     """
     f = lambda s, n: F.col(f"{s}.{n}")
-    key, loose, text, title, blob = f(q, "key"), f(q, "loose"), f(q, "text"), f(t, "key"), f(t, "authors")
-    digits = f(q, "isbn")
-    isbn = (digits != "") & F.exists(f(t, "isbns"), lambda x: (x == digits) | ((F.length(digits) >= 10) & (x.contains(digits) | digits.contains(x))))
+    key, loose, title, blob = f(q, "key"), f(q, "loose"), f(t, "key"), f(t, "authors")
+    parts = score_parts(q, t)
+    overlap, dist, same, isbn = (F.col(n) if staged else c for n, c in parts.items())
     both = (key != "") & (title != "")
-    overlap = token_overlap(f(q, "tokens"), f(t, "tokens"))
-    dist = lev_capped(text, title)
     longest = F.greatest(F.length(key), F.length(title), F.lit(1))
     near = F.when(both, 1 - dist / longest).otherwise(0.0)
-    fuzzy = F.greatest(overlap * 0.78, dice(text, title, f(q, "grams"), f(t, "grams")) * 0.86, F.when(near > 0.72, near * 0.9).otherwise(0.0), F.when(f(t, "loose").contains(loose) & (F.length(loose) >= 3), 0.8).otherwise(0.0), F.when((F.length(key) >= 5) & (F.length(title) >= 5) & (dist <= 2), 0.9).otherwise(0.0))
+    fuzzy = F.greatest(overlap * 0.78, same * 0.86, F.when(near > 0.72, near * 0.9).otherwise(0.0), F.when(f(t, "loose").contains(loose) & (F.length(loose) >= 3), 0.8).otherwise(0.0), F.when((F.length(key) >= 5) & (F.length(title) >= 5) & (dist <= 2), 0.9).otherwise(0.0))
     author = (blob != "") & (loose != "") & blob.contains(loose)
     by_author = F.greatest(F.when(blob == loose, AUTHOR_EXACT).otherwise(AUTHOR_PART), F.when(title != "", overlap * 0.7).otherwise(0.0))
     row = lambda s, r: F.struct(s.cast("double").alias("score"), r.alias("reason"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.isbn import isbn13_to_10, isbn_search_digits, looks_like_isbn
-from ..functions.similarity import bigrams, overlap_tokens, title_score
+from ..functions.similarity import bigrams, overlap_tokens, score_parts, title_score
 from ..functions.text import author_tokens, authors_compatible, cell, loose_key, title_key, tokenize
 from .components import stored
 
@@ -139,7 +139,7 @@ def isbn_fallback(queries: DataFrame, cards: DataFrame, holdings: DataFrame) ->
 def score(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """query_id, id, title, score, reason of all pairs from min_score on; ISBN queries with a card of theirs get that alone."""
     q, t = stored(prepare_queries(queries)), stored(prepare_cards(cards))  # each is read for every way and scored as stored
-    pairs = stored(candidates(q, t, min_score)).join(q, "query_id").join(t, "id").withColumn("s", title_score("q", "t"))
+    pairs = stored(candidates(q, t, min_score)).join(q, "query_id").join(t, "id").withColumns(score_parts("q", "t")).withColumn("s", title_score("q", "t", staged=True))
     hits = pairs.select("query_id", "id", "title", rounded(F.col("s.score")).alias("score"), F.col("s.reason").alias("reason"), (F.col("q.isbn") != "").alias("by_isbn")).where(F.col("score") >= min_score)
     return hits.join(_first(q, t).withColumnRenamed("id", "only"), "query_id", "left").where("not by_isbn or only is null or id = only").drop("by_isbn", "only")
 
@@ -226,7 +226,7 @@ def enrich(hits: DataFrame, found: DataFrame, queries: DataFrame, cards: DataFra
     folded = marks.join(known, ["query_id", "mark"], "left_semi").select("query_id", "row_id").distinct()
     new = mine.join(folded, ["query_id", "row_id"], "left_anti")
     q, t = prepare_queries(queries), prepare_cards(new.select("id", "title", "isbn_digits", "authors").dropDuplicates(["id"]))
-    s = new.select("query_id", "id").distinct().join(q, "query_id").join(t, "id").where("q.isbn = '' and length(q.raw) >= 3").withColumn("s", title_score("q", "t"))
+    s = new.select("query_id", "id").distinct().join(q, "query_id").join(t, "id").where("q.isbn = '' and length(q.raw) >= 3").withColumns(score_parts("q", "t")).withColumn("s", title_score("q", "t", staged=True))
     floor = F.greatest("s.score", F.when(F.col("title") != "", 0.55).otherwise(0.7))
     exact = (F.col("title") != "") & (F.col("s.reason") == "title") & (F.col("s.score") >= CONFIDENT)
     more = s.where(floor >= min_score).select("query_id", "id", "title", rounded(F.when(exact, F.col("s.score")).otherwise(F.least(floor, F.lit(0.9)))).alias("score"), F.when(F.col("s.reason") == "title", "title").otherwise("author").alias("reason"))
