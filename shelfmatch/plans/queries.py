@@ -318,12 +318,29 @@ tit AS (SELECT DISTINCT {O.tk('title')} AS ck FROM card WHERE title <> ''),
 first_i AS (SELECT * FROM byi WHERE linked)"""
 
 
-@query(O.with_(_LINKS, f"SELECT isbn13, linked AS by_isbn FROM byi"))
+_SUBSET = lambda x, y: f"len(list_filter({x}, lambda t: NOT list_contains({y}, t))) = 0"
+
+
+@query(O.with_(_LINKS, "SELECT isbn13, linked AS by_isbn FROM byi"))
 def holdings_isbn_links(spark, sf_dir):
     return _linked(spark, sf_dir).select("isbn13", (F.coalesce(F.col("how") == "isbn", F.lit(False))).alias("by_isbn"))
 
 
-@query()
+#: Which card each record links to; cards stand by title without regard to case and accents, which for these titles is the collation's order.
+_PICKED = f"""{_LINKS},
+co AS (SELECT card.gid, card.id, card.title, row(lower(strip_accents(CASE WHEN card.title <> '' THEN card.title ELSE coalesce(min(d), '') END)), card.id) AS ord FROM card LEFT JOIN ci USING (gid) GROUP BY card.gid, card.id, card.title),
+on_ AS (SELECT d, arg_max(id, ord) AS c FROM ci JOIN co USING (gid) GROUP BY d),
+li AS (SELECT byi.*, coalesce(a.c, b.c) AS icard FROM byi LEFT JOIN on_ a ON a.d = byi.isbn13 LEFT JOIN on_ b ON b.d = byi.isbn10 AND byi.isbn10 <> ''),
+nt2 AS (SELECT icard AS id, arg_min(CASE WHEN title <> '' THEN title ELSE series END, place) AS t FROM li WHERE icard IS NOT NULL AND (title <> '' OR series <> '') GROUP BY icard),
+fk2 AS (SELECT co.*, {O.tk("CASE WHEN co.title <> '' THEN co.title ELSE coalesce(t, '') END")} AS ck FROM co LEFT JOIN nt2 USING (id)),
+fa2 AS (SELECT gid, list_distinct({O.atoks('author')}) AS ctoks FROM (SELECT gid, unnest(authors) AS author FROM ca UNION SELECT gid, li.author FROM li JOIN co ON co.id = icard WHERE li.author <> '')),
+ti AS (SELECT ck, arg_min(id, ord) AS c FROM fk2 WHERE ck <> '' GROUP BY ck),
+sr AS (SELECT isbn13, {O.tk('series')} AS sk, list_distinct({O.atoks('author')}) AS rt FROM li WHERE icard IS NULL AND title = '' AND format & 4 > 0 AND author <> '' AND series <> ''),
+se AS (SELECT isbn13, arg_min(id, ord) AS c FROM sr JOIN fk2 ON sk <> '' AND sk = ck JOIN fa2 USING (gid) WHERE len(ctoks) > 0 AND len(rt) > 0 AND ({_SUBSET('ctoks', 'rt')} OR {_SUBSET('rt', 'ctoks')}) GROUP BY isbn13)"""
+
+
+@query(O.with_(_PICKED, f"""SELECT li.isbn13, coalesce(icard, ti.c, se.c) AS card, CASE WHEN icard IS NOT NULL THEN 'isbn' WHEN ti.c IS NOT NULL THEN 'title' WHEN se.c IS NOT NULL THEN 'series' END AS how
+FROM li LEFT JOIN ti ON icard IS NULL AND li.title <> '' AND {O.tk('li.title')} = ti.ck LEFT JOIN se ON se.isbn13 = li.isbn13"""))
 def holdings_links(spark, sf_dir):
     return _linked(spark, sf_dir).select("isbn13", "card", "how")
 
@@ -335,7 +352,26 @@ def holdings_attached(spark, sf_dir):
     return c.select("id", "title", "in_collection", "row_count", _joined("isbn_digits").alias("isbns"), _joined("batches").alias("batches"))
 
 
-@query()
+#: Records that no card takes by ISBN, title or series, and what is left of them by title.  How a card is picked among several doesn't matter here.
+_OWN = "(ci.d = r.isbn13 OR (r.isbn10 <> '' AND ci.d = r.isbn10))"
+_LEFT = f"""{_LINKS},
+ntt AS (SELECT gid, arg_min(CASE WHEN r.title <> '' THEN r.title ELSE r.series END, r.place) AS t FROM hrec r JOIN ci ON {_OWN} WHERE r.title <> '' OR r.series <> '' GROUP BY gid),
+fck AS (SELECT card.gid, {O.tk("CASE WHEN card.title <> '' THEN card.title ELSE coalesce(ntt.t, '') END")} AS ck FROM card LEFT JOIN ntt USING (gid)),
+fau AS (SELECT gid, list_distinct({O.atoks('author')}) AS ctoks FROM (SELECT gid, unnest(authors) AS author FROM ca UNION SELECT gid, r.author FROM hrec r JOIN ci ON {_OWN} WHERE r.author <> '')),
+lk AS (SELECT byi.*, {O.tk('byi.title')} AS k, {O.tk('byi.series')} AS sk, list_distinct({O.atoks('byi.author')}) AS rt FROM byi WHERE NOT linked),
+lr AS (SELECT * FROM lk WHERE NOT (title <> '' AND k <> '' AND k IN (SELECT ck FROM fck))
+  AND NOT (title = '' AND format & 4 > 0 AND author <> '' AND series <> '' AND sk <> '' AND EXISTS (SELECT 1 FROM fck JOIN fau USING (gid) WHERE ck = sk AND len(ctoks) > 0 AND len(rt) > 0 AND ({_SUBSET('ctoks', 'rt')} OR {_SUBSET('rt', 'ctoks')})))),
+lw AS (SELECT *, rows + CASE WHEN place = min(place) OVER (PARTITION BY k) THEN rows ELSE 0 END AS weight FROM lr WHERE k <> ''),
+ln AS (SELECT k, (list(title ORDER BY {O._BEST} DESC, n DESC, len(title) DESC, p))[1] AS title FROM (SELECT k, title, sum(weight) AS n, min(place) AS p FROM lw GROUP BY k, title) GROUP BY k),
+la0 AS (SELECT k, author, min(place) AS f FROM lw WHERE author <> '' GROUP BY k, author),
+la1 AS (SELECT *, regexp_replace(lower(author), '{O.W}+', ' ', 'g') AS c, row_number() OVER (PARTITION BY k, regexp_replace(lower(author), '{O.W}+', ' ', 'g') ORDER BY f) AS rn FROM la0),
+la2 AS (SELECT * FROM la1 WHERE rn = 1),
+la AS (SELECT k, string_agg(author, '; ' ORDER BY f) AS author FROM la2 x WHERE contains(author, ',') OR NOT contains(c, ' ') OR NOT EXISTS (SELECT 1 FROM la2 y WHERE y.k = x.k AND lower(y.author) = regexp_replace(x.c, '^(.*) ([^ ]+)$', '\\2, \\1')) GROUP BY k),
+lg AS (SELECT k, list(isbn13 ORDER BY CASE WHEN starts_with(isbn13, '978') THEN 0 ELSE 1 END, isbn13) AS n13, coalesce(arg_min(isbn10, place) FILTER (WHERE isbn10 <> ''), '') AS isbn10, coalesce(arg_min(series, place) FILTER (WHERE series <> ''), '') AS series, bit_or(format) AS format, sum(rows)::BIGINT AS rows FROM lw GROUP BY k)"""
+
+
+@query(O.with_(_LEFT, """SELECT n13[1] AS isbn13, isbn10, array_to_string(n13[2:], '|') AS extras, coalesce(author, '') AS author, title, series, format, rows FROM lg JOIN ln USING (k) LEFT JOIN la USING (k)
+UNION ALL SELECT isbn13, isbn10, '', author, title, series, format, rows FROM lr WHERE k = ''"""))
 def holdings_leftovers(spark, sf_dir):
     left = holdings.leftovers(_linked(spark, sf_dir))
     return left.select("isbn13", "isbn10", _joined("extras").alias("extras"), "author", "title", "series", "format", "rows")
@@ -542,7 +578,8 @@ def enriched_search(spark, sf_dir):
     return search.top_k(collapse.collapse_scored(hits.join(records, "id"))).drop("rank")
 
 
-@query()
+@query(O.with_(O.CARDS, """SELECT id, title, 0.0::DOUBLE AS score, 'title' AS reason FROM (SELECT card.id, card.title, coalesce((list(d ORDER BY CASE WHEN len(d) = 13 AND starts_with(d, '978') THEN 0 WHEN len(d) = 13 THEN 1 WHEN len(d) = 10 THEN 2 ELSE 3 END, d))[1], '') AS n FROM card LEFT JOIN ci USING (gid) GROUP BY card.id, card.title)
+ORDER BY lower(strip_accents(CASE WHEN title <> '' THEN title ELSE n END)), id LIMIT 50"""))
 def empty_query(spark, sf_dir):
     return search.empty_query(_cards(spark, sf_dir)).select("id", "title", "score", "reason")
 
