@@ -14,7 +14,7 @@ from ..operators import cards as C
 from ..operators import collapse, holdings, incremental, ingest, search
 from ..operators.components import components, shared_isbn_pairs, stored
 from ..sources import collections as S
-from ..sources.listings import canonicalize_columns, detect_source_kind, pick_holdings_sources, select_sheets
+from ..sources.listings import BATCHES, canonicalize_columns, detect_source_kind, pick_holdings_sources, select_sheets
 from . import oracle as O
 from . import views
 from .workloads import build_catalogue
@@ -339,13 +339,27 @@ sr AS (SELECT isbn13, {O.tk('series')} AS sk, list_distinct({O.atoks('author')})
 se AS (SELECT isbn13, arg_min(id, ord) AS c FROM sr JOIN fk2 ON sk <> '' AND sk = ck JOIN fa2 USING (gid) WHERE len(ctoks) > 0 AND len(rt) > 0 AND ({_SUBSET('ctoks', 'rt')} OR {_SUBSET('rt', 'ctoks')}) GROUP BY isbn13)"""
 
 
-@query(O.with_(_PICKED, f"""SELECT li.isbn13, coalesce(icard, ti.c, se.c) AS card, CASE WHEN icard IS NOT NULL THEN 'isbn' WHEN ti.c IS NOT NULL THEN 'title' WHEN se.c IS NOT NULL THEN 'series' END AS how
-FROM li LEFT JOIN ti ON icard IS NULL AND li.title <> '' AND {O.tk('li.title')} = ti.ck LEFT JOIN se ON se.isbn13 = li.isbn13"""))
+_LINKED = f"""{_PICKED},
+lnk AS (SELECT li.*, coalesce(icard, ti.c, se.c) AS card, CASE WHEN icard IS NOT NULL THEN 'isbn' WHEN ti.c IS NOT NULL THEN 'title' WHEN se.c IS NOT NULL THEN 'series' END AS how
+ FROM li LEFT JOIN ti ON icard IS NULL AND li.title <> '' AND {O.tk('li.title')} = ti.ck LEFT JOIN se ON se.isbn13 = li.isbn13)"""
+
+
+@query(O.with_(_LINKED, "SELECT isbn13, card, how FROM lnk"))
 def holdings_links(spark, sf_dir):
     return _linked(spark, sf_dir).select("isbn13", "card", "how")
 
 
-@query()
+_ATTACHED = f"""{_LINKED},
+pc AS (SELECT card AS id, sum(rows)::BIGINT AS more, arg_min(CASE WHEN title <> '' THEN title ELSE series END, place) FILTER (WHERE title <> '' OR series <> '') AS t FROM lnk WHERE card IS NOT NULL GROUP BY card),
+di AS (SELECT card.id, d FROM ci JOIN card USING (gid) UNION SELECT card, isbn13 FROM lnk WHERE card IS NOT NULL UNION SELECT card, isbn10 FROM lnk WHERE card IS NOT NULL AND isbn10 <> ''),
+ds AS (SELECT id, string_agg(d, '|' ORDER BY CASE WHEN len(d) = 13 AND starts_with(d, '978') THEN 0 WHEN len(d) = 13 THEN 1 WHEN len(d) = 10 THEN 2 ELSE 3 END, d) AS isbns FROM di GROUP BY id),
+ba AS (SELECT card.id, v FROM cb JOIN card USING (gid) UNION SELECT id, '{BATCHES["follett"]}' FROM pc),
+bk AS (SELECT id, v, regexp_extract(v, '^(\\d{{4}})\\s*[-–]\\s*\\d{{4}}$', 1) AS school, {O.month_rank('v')} AS m, regexp_extract(v, '^[A-Za-z]+\\s+(\\d{{4}})$', 1) AS y FROM ba),
+bs AS (SELECT id, string_agg(v, '|' ORDER BY CASE WHEN school <> '' THEN 1 WHEN m > 0 THEN 0 ELSE 2 END, CASE WHEN school <> '' THEN cast(school AS INT) WHEN m > 0 THEN cast(y AS INT) ELSE 0 END, CASE WHEN school <> '' THEN 0 WHEN m > 0 THEN m ELSE 0 END, v) AS batches FROM bk GROUP BY id)"""
+
+
+@query(O.with_(_ATTACHED, """SELECT card.id, CASE WHEN card.title <> '' THEN card.title ELSE coalesce(t, '') END AS title, in_collection OR pc.id IS NOT NULL AS in_collection, (row_count + coalesce(more, 0))::BIGINT AS row_count, coalesce(isbns, '') AS isbns, coalesce(batches, '') AS batches
+FROM card LEFT JOIN pc ON pc.id = card.id LEFT JOIN ds ON ds.id = card.id LEFT JOIN bs ON bs.id = card.id"""))
 def holdings_attached(spark, sf_dir):
     cards = _cards(spark, sf_dir)
     c = holdings.apply(cards, _linked(spark, sf_dir))
