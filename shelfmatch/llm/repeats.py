@@ -428,8 +428,8 @@ def contents(docs: DataFrame, requests: DataFrame, unit) -> DataFrame:
                 yield _content_batch(out)
         released()
 
-    lists = written(requests.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(group, "doc_id long, k long, n int, places binary"))
-    found = join_by_size(docs, lists, ["doc_id", "k"], "inner", "length(places)")
+    lists = requests.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(group, "doc_id long, k long, n int, places binary")
+    found = docs.join(lists, ["doc_id", "k"])  # the lists grow with the input, so they are never broadcast
     return found.select("doc_id", "k", "text", "n", "places").mapInArrow(run, "gram long, doc_id long, k long, at int, shift int, content binary")
 
 
