@@ -233,6 +233,25 @@ def enrich(hits: DataFrame, found: DataFrame, queries: DataFrame, cards: DataFra
     return hits.select("query_id", "id", "title", "score", "reason").union(more)
 
 
+def leftover_cards(leftovers: DataFrame) -> DataFrame:
+    """What holdings left over (``holdings.leftovers``) with the columns that search asks of cards and of an index; ids are ISBNs."""
+    named = F.col("title") != ""
+    return leftovers.select(F.xxhash64("isbn13").alias("row_id"), F.col("isbn13").alias("id"), "isbn13", "extras", F.when(named, F.col("title")).otherwise("").alias("title"), F.array("author").alias("authors"), F.concat(F.array("isbn13"), "extras").alias("isbn_digits"), "author", F.when(named, F.col("title")).otherwise(F.col("series")).alias("label"), F.lit(False).alias("posted"), F.lit(True).alias("in_collection"))
+
+
+def enriched(queries: DataFrame, cards: DataFrame, left: DataFrame) -> DataFrame:
+    """query_id, id, title, score, reason: scored works of each query together with holdings that linked nowhere, one hit for each work.
+
+    All hits are enriched and then collapsed, so cut them last (``top_k``).  left: of ``leftover_cards``, stored.
+    """
+    from .collapse import collapse_scored
+
+    found = token_search(queries, search_index(left)[1])
+    hits = stored(enrich(stored(score(queries, cards)), found.select("query_id", "row_id"), queries, cards, left))
+    columns = ("id", "isbn_digits", "posted", "in_collection")
+    return collapse_scored(hits.join(cards.select(*columns).union(left.select(*columns)), "id"))
+
+
 def empty_query(cards: DataFrame, limit: int = LIMIT) -> DataFrame:
     """What a blank query shows: the first cards by title."""
     from .cards import sorted_cards

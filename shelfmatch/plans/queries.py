@@ -584,12 +584,8 @@ def enriched_search(spark, sf_dir):
     """Scored works of each query together with the holdings that linked nowhere: all hits are enriched, then collapsed, then cut."""
     cards = stored(collapse.collapse_cards(_cards(spark, sf_dir)))
     queries = spark.table("lookup_queries")
-    left = holdings.leftovers(_linked(spark, sf_dir)).select(F.xxhash64("isbn13").alias("row_id"), F.col("isbn13").alias("id"), "isbn13", "extras", F.when(F.col("title") != "", F.col("title")).otherwise("").alias("title"), F.array("author").alias("authors"), F.concat(F.array("isbn13"), "extras").alias("isbn_digits"), "author", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("series")).alias("label"))
-    left = stored(left)
-    found = search.token_search(queries, search.search_index(left)[1])
-    hits = stored(search.enrich(stored(search.score(queries, cards)), found.select("query_id", "row_id"), queries, cards, left))
-    records = cards.select("id", "isbn_digits", "posted", "in_collection").union(left.select("id", "isbn_digits", F.lit(False), F.lit(True)))
-    return search.top_k(collapse.collapse_scored(hits.join(records, "id"))).drop("rank")
+    left = stored(search.leftover_cards(holdings.leftovers(_linked(spark, sf_dir))))
+    return search.top_k(search.enriched(queries, cards, left)).drop("rank")
 
 
 @query(O.with_(O.CARDS, """SELECT id, title, 0.0::DOUBLE AS score, 'title' AS reason FROM (SELECT card.id, card.title, coalesce((list(d ORDER BY CASE WHEN len(d) = 13 AND starts_with(d, '978') THEN 0 WHEN len(d) = 13 THEN 1 WHEN len(d) = 10 THEN 2 ELSE 3 END, d))[1], '') AS n FROM card LEFT JOIN ci USING (gid) GROUP BY card.id, card.title)

@@ -43,8 +43,18 @@ def attach_holdings(cards: DataFrame, rows: DataFrame, rules: DataFrame | None =
     return Holdings(holdings.apply(cards, linked), linked, holdings.leftovers(linked), marked.groupBy("status").count().withColumnRenamed("count", "n"))
 
 
-def lookup(queries: DataFrame, cards: DataFrame, batch: str = "all", level: str = "all", limit: int = search.LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Ranked hits and the verdict of every query, over the collapsed cards of a batch and level."""
+def lookup(queries: DataFrame, cards: DataFrame, batch: str = "all", level: str = "all", limit: int = search.LIMIT, leftovers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ranked hits and the verdict of every query, over the collapsed cards of a batch and level.
+
+    With leftovers (of ``Holdings``), and neither batch nor level asked for, holdings that linked nowhere are found, too.
+    """
     pool = stored(collapse.collapse_cards(C.browse(cards, batch, level)))
-    ranked = stored(search.top_k(search.score(queries, pool), limit))
-    return ranked, search.verdicts(queries, search.classify(ranked, pool), pool)
+    works = pool.select("id", "title", "isbn_digits", "posted", "in_collection")
+    if leftovers is None or batch != "all" or level != "all":
+        hits = search.score(queries, pool)
+    else:
+        left = stored(search.leftover_cards(leftovers))
+        hits = search.enriched(queries, pool, left)
+        works = works.union(left.select(*works.columns))
+    ranked = stored(search.top_k(hits, limit))
+    return ranked, search.verdicts(queries, search.classify(ranked, works), works)

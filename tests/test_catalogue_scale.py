@@ -94,3 +94,17 @@ def test_token_search_by_rarest_word(spark, limit):
     queries = spark.createDataFrame([(1, "moon"), (2, "tale moon"), (3, "tal"), (4, "!"), (5, "tale")], "query_id long, query string")
     want = {(1, 2, 1), (1, 1, 2), (1, 4, 3), (2, 1, 1), (2, 2, 2), (5, 1, 1), (5, 2, 2), (5, 3, 3)}
     assert {tuple(r) for r in search.token_search(queries, tokens, limit).collect()} == {w for w in want if w[2] <= limit}
+
+
+def test_lookup_finds_holdings_that_linked_nowhere(spark):
+    from shelfmatch.plans.workloads import attach_holdings, build_catalogue, lookup
+
+    listed = spark.createDataFrame([(0, 1, "master", "Quiet rivers", "Ann Poe", "Sep 2025", "High", "9780028653785")], "source_seq int, row_seq long, kind string, title string, author string, source_batch string, level string, isbn string")
+    rows = [(1, "r", "Moonlit gardens", "", "Bo Lee", "9781516080236", "Book"), (2, "r", "Quiet rivers", "", "Ann Poe", "9780028653785", "Book")]
+    held = attach_holdings(build_catalogue(listed).cards, spark.createDataFrame(rows, "row_seq long, source_label string, title string, series_title string, author string, isbn string, material_type string"))
+    queries = spark.createDataFrame([(1, "moonlit gardens"), (2, "quiet rivers"), (3, "nothing such")], "query_id long, query string")
+    hits, verdicts = lookup(queries, held.cards, leftovers=held.leftovers)
+    assert {(r.query_id, r.id) for r in hits.collect() if r.score > 0.9} >= {(1, "9781516080236")}
+    assert {r.query_id: r.verdict for r in verdicts.collect()} == {1: "have_collection", 2: "have_both", 3: "dont_have"}
+    hits, verdicts = lookup(queries, held.cards)
+    assert {r.query_id: r.verdict for r in verdicts.collect()} == {1: "dont_have", 2: "have_both", 3: "dont_have"}
