@@ -64,9 +64,12 @@ def candidates(q: DataFrame, t: DataFrame, min_score: float = MIN_SCORE) -> Data
     na, la = F.size("q.grams"), F.length("q.text")
     need_edit = F.greatest(F.lit(1), F.least(na - 4, F.ceil(na - 0.778 * la)))  # an edit changes two bigrams at most
     need_dice = F.greatest(F.lit(1), F.ceil(dice / (2 - dice) * na - 1e-6))
-    grams = t.select("id", F.size("t.grams").alias("nb"), F.length("t.key").alias("lb"), F.explode("t.grams").alias("g"))
-    mine = asked.select("query_id", na.alias("na"), la.alias("la"), need_edit.alias("need"), (na - F.least(need_edit, need_dice) + 1).alias("most"), F.explode("q.grams").alias("g"))
-    shared = _rarest(mine, grams, F.col("most")).join(grams, "g").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in ("na", "la", "need", "most", "nb", "lb")))
+    grams = t.select("id", F.explode("t.grams").alias("g"))
+    limits = asked.select("query_id", na.alias("na"), la.alias("la"), need_edit.alias("need"), (na - F.least(need_edit, need_dice) + 1).alias("most"))
+    mine = asked.select("query_id", (na - F.least(need_edit, need_dice) + 1).alias("most"), F.explode("q.grams").alias("g"))
+    # counts alone are aggregated; sizes are joined to them
+    shared = _rarest(mine, grams, F.col("most")).select("query_id", "g").join(grams, "g").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("c"))
+    shared = shared.join(limits, "query_id").join(t.select("id", F.size("t.grams").alias("nb"), F.length("t.key").alias("lb")), "id")
     total = F.col("c") + F.col("na") - F.col("most")
     enough = total >= dice / 2 * (F.col("na") + F.col("nb")) - 1e-6
     edits = (total >= F.col("need")) & (F.abs(F.col("la") - F.col("lb")) <= 0.389 * F.col("la") + 2)
