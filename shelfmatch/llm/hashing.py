@@ -66,12 +66,12 @@ def windows(c: np.ndarray, width: int) -> np.ndarray:
     return mix((c[width:] - c[:n]) * down[:n] + np.array([width], U64) * _GRAM[63])
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of all white-space words, and for each document its first word's index (+ total)."""
+def words(buf: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of all words (white space is ``between`` them), and for each document its first word's index (+ total)."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    space = SPACE[buf]
+    space = between[buf]
     head = ~space
     head[1:] &= space[:-1]
     tail = ~space

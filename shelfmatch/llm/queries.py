@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmlmain, media, neardup, packing, phrases, quality, suffixdedup, tokenfiles, tokens, toxicity
+from . import decontaminate, htmlmain, media, neardup, packing, phrases, quality, ranked, suffixdedup, tokenfiles, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,11 @@ def op10_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrase_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska_media, op2_quality_attention, op3_winnowing_decontamination, op4_boosted_html_extraction, op5_best_fit_packing, op6_token_files, op7_bottom_k_near_dedup, op8_suffix_radix_dedup, op9_toxicity_subwords, op10_phrase_automata_dedup)}
+def op13_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_matroska_media, op2_quality_attention, op3_winnowing_decontamination, op4_boosted_html_extraction, op5_best_fit_packing, op6_token_files, op7_bottom_k_near_dedup, op8_suffix_radix_dedup, op9_toxicity_subwords, op10_phrase_automata_dedup, op13_best_position_search)}
 #: The same rows by brute force: every window of every document against every window of the items.
 OP3_SQL = r"""
 WITH up AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -106,4 +110,16 @@ kept AS (SELECT word.doc_id, string_agg(v, ' ' ORDER BY word.p) AS k FROM word L
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_winnowing_decontamination": OP3_SQL, "op7_bottom_k_near_dedup": OP7_SQL, "op8_suffix_radix_dedup": OP8_SQL, "op10_phrase_automata_dedup": OP10_SQL}
+#: Every document's score for every item.
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*) AS nn, sum(len(w)) AS ll FROM d WHERE len(w) > 0),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM b) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+i AS (SELECT doc_id, p.t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + CAST((50 * n * nn) // ll AS BIGINT)))) AS s FROM p JOIN f USING (t) CROSS JOIN c),
+x AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM b JOIN i USING (t) GROUP BY item_id, doc_id HAVING sum(s) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_winnowing_decontamination": OP3_SQL, "op7_bottom_k_near_dedup": OP7_SQL, "op8_suffix_radix_dedup": OP8_SQL, "op10_phrase_automata_dedup": OP10_SQL, "op13_best_position_search": OP13_SQL}
