@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmlmain, media, neardup, packing, phrases, quality, ranked, suffixdedup, tokenfiles, tokens, toxicity
+from . import decontaminate, dialogue, htmlmain, media, neardup, packing, phrases, quality, ranked, suffixdedup, tokenfiles, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +51,15 @@ def op10_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrase_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_glr_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska_media, op2_quality_attention, op3_winnowing_decontamination, op4_boosted_html_extraction, op5_best_fit_packing, op6_token_files, op7_bottom_k_near_dedup, op8_suffix_radix_dedup, op9_toxicity_subwords, op10_phrase_automata_dedup, op13_best_position_search)}
+QUERIES = {f.__name__: f for f in (op1_matroska_media, op2_quality_attention, op3_winnowing_decontamination, op4_boosted_html_extraction, op5_best_fit_packing, op6_token_files, op7_bottom_k_near_dedup, op8_suffix_radix_dedup, op9_toxicity_subwords, op10_phrase_automata_dedup, op11_glr_conversation_repair, op13_best_position_search)}
 #: The same rows by brute force: every window of every document against every window of the items.
 OP3_SQL = r"""
 WITH up AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -110,6 +114,31 @@ kept AS (SELECT word.doc_id, string_agg(v, ' ' ORDER BY word.p) AS k FROM word L
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: Damage by a bitwise CRC-32, faults by windows, the cheapest edits row by row for the four places of the grammar.
+OP11_SQL = r"""
+WITH RECURSIVE z AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS b FROM conversations),
+y AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, v: list_reduce(list_prepend(xor(c, v), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, u: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS d FROM z),
+x AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS again FROM y WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS e, substr(role, 1, 1) AS ini FROM x),
+f AS (SELECT conv_id, turn, role, text, i, ini, CASE WHEN e = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(e, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM o),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (p IS NOT NULL AND p || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ins(s1, s2, ic, il) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 3, 3, 'I'), (3, 2, 3, 'I')),
+g(t, q1, q2) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+edit AS (SELECT s1, s2 AS q, ic + 4 AS cost, il || 'D' AS l, 'D' AS act, '' AS t FROM ins UNION ALL SELECT s1, q2, ic, il || 'K', 'K', t FROM ins JOIN g ON q1 = s2 UNION ALL SELECT s1, q2, ic + 3, il || 'R', 'R', '' FROM ins JOIN g ON q1 = s2 WHERE t <> 's'),
+dp AS (SELECT conv_id, 0 AS at, 0 AS q, '0000000000' AS best FROM n UNION ALL
+  SELECT f.conv_id, dp.at + 1, edit.q, min(printf('%010d', CAST(left(best, 10) AS BIGINT) + edit.cost + CASE WHEN fault = 't' AND act <> 'D' THEN 3 ELSE 0 END) || substr(best, 11) || l)
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.at + 1 JOIN edit ON edit.s1 = dp.q AND (act = 'D' OR (fault NOT IN ('b', 'd') AND (act = 'R' OR edit.t = ini))) GROUP BY f.conv_id, dp.at, edit.q),
+fin AS (SELECT dp.conv_id, min(printf('%010d', CAST(left(best, 10) AS BIGINT) + ic) || substr(best, 11) || il) AS best FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.at JOIN ins ON s1 = q AND s2 IN (0, 3) GROUP BY dp.conv_id),
+aud AS (SELECT conv_id, CAST(left(best, 10) AS BIGINT) AS cost, substr(best, 11) AS audit FROM fin),
+le AS (SELECT conv_id, len(replace(audit, 'D', '')) % 2 AS sys, j, substr(audit, j, 1) AS l FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS j FROM aud)),
+lo AS (SELECT *, count(*) FILTER (l <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, count(*) FILTER (l <> 'D') OVER (PARTITION BY conv_id ORDER BY j) - 1 - sys AS k FROM le),
+line AS (SELECT lo.conv_id, j, CASE WHEN l = 'K' THEN f.role WHEN k % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE f.text END AS v FROM lo LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM lo.conv_id AND f.i = lo.i WHERE l <> 'D'),
+said AS (SELECT conv_id, string_agg(v, chr(10) ORDER BY j) AS v FROM line GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(v, '')) AS repaired_sha256
+FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN aud ON aud.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
 #: Every document's score for every item.
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -122,4 +151,4 @@ x AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM b JOIN i USIN
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 50
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_winnowing_decontamination": OP3_SQL, "op7_bottom_k_near_dedup": OP7_SQL, "op8_suffix_radix_dedup": OP8_SQL, "op10_phrase_automata_dedup": OP10_SQL, "op13_best_position_search": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_winnowing_decontamination": OP3_SQL, "op7_bottom_k_near_dedup": OP7_SQL, "op8_suffix_radix_dedup": OP8_SQL, "op10_phrase_automata_dedup": OP10_SQL, "op11_glr_conversation_repair": OP11_SQL, "op13_best_position_search": OP13_SQL}
