@@ -55,14 +55,15 @@ class Machine:
     def __init__(self) -> None:
         self.states: list[frozenset] = []
         self.root: Stack = (self._number(self._closed(frozenset((r, 0) for r, (left, _) in enumerate(GRAMMAR) if left == "dialogue"))), None)
-        #: One stack for each top that can be met between rows.
-        self.tops: dict[int, Stack] = {self.root[0]: self.root}
-        work = [self.root]
-        while work:
-            stack = work.pop()
+        #: One stack for each top that can be met between rows.  All stacks are walked here, always in the same order,
+        #: so that every worker numbers the states alike.
+        self.tops: dict[int, Stack] = {}
+        work, met = [self.root], {self.root}
+        for stack in work:
+            self.tops.setdefault(stack[0], stack)
             for nxt in (s for c in "sua" for s in self.shifted(stack, c)):
-                if nxt[0] not in self.tops:
-                    self.tops[nxt[0]] = nxt
+                if nxt not in met:
+                    met.add(nxt)
                     work.append(nxt)
 
     @staticmethod
@@ -87,7 +88,7 @@ class Machine:
             top = work.pop()
             if self.accepts(top) or any(self._goto(top[0], c) is not None for c in "sua"):
                 out.append(top)
-            for rule, dot in self.states[top[0]]:
+            for rule, dot in sorted(self.states[top[0]]):
                 left, right = GRAMMAR[rule]
                 if dot == len(right) and left != "dialogue":
                     below = top
