@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, dialogue, htmlmain, media, neardup, packing, phrases, quality, ranked, suffixdedup, tokenfiles, tokens, toxicity
+from . import decontaminate, dialogue, htmlmain, media, neardup, ngramjoin, packing, phrases, quality, ranked, suffixdedup, tokenfiles, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +55,15 @@ def op11_glr_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(_table(spark, sf_dir, "conversations"))
 
 
+def op12_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.ngram_components(_table(spark, sf_dir, "documents"))
+
+
 def op13_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska_media, op2_quality_attention, op3_winnowing_decontamination, op4_boosted_html_extraction, op5_best_fit_packing, op6_token_files, op7_bottom_k_near_dedup, op8_suffix_radix_dedup, op9_toxicity_subwords, op10_phrase_automata_dedup, op11_glr_conversation_repair, op13_best_position_search)}
+QUERIES = {f.__name__: f for f in (op1_matroska_media, op2_quality_attention, op3_winnowing_decontamination, op4_boosted_html_extraction, op5_best_fit_packing, op6_token_files, op7_bottom_k_near_dedup, op8_suffix_radix_dedup, op9_toxicity_subwords, op10_phrase_automata_dedup, op11_glr_conversation_repair, op12_adaptive_prefix_join, op13_best_position_search)}
 #: The same rows by brute force: every window of every document against every window of the items.
 OP3_SQL = r"""
 WITH up AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -114,6 +118,9 @@ kept AS (SELECT word.doc_id, string_agg(v, ' ' ORDER BY word.p) AS k FROM word L
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: As OP7_SQL, with shingles of three words and a similarity of 0.9.
+OP12_SQL = OP7_SQL.replace("k + 4", "k + 3").replace("len(w) - 4", "len(w) - 3").replace(">= 80 *", ">= 90 *").replace(", coalesce(component_id, w.doc_id) = w.doc_id AS kept", "")
+
 #: Damage by a bitwise CRC-32, faults by windows, the cheapest edits row by row for the four places of the grammar.
 OP11_SQL = r"""
 WITH RECURSIVE z AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS b FROM conversations),
@@ -151,4 +158,4 @@ x AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM b JOIN i USIN
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 50
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_winnowing_decontamination": OP3_SQL, "op7_bottom_k_near_dedup": OP7_SQL, "op8_suffix_radix_dedup": OP8_SQL, "op10_phrase_automata_dedup": OP10_SQL, "op11_glr_conversation_repair": OP11_SQL, "op13_best_position_search": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_winnowing_decontamination": OP3_SQL, "op7_bottom_k_near_dedup": OP7_SQL, "op8_suffix_radix_dedup": OP8_SQL, "op10_phrase_automata_dedup": OP10_SQL, "op11_glr_conversation_repair": OP11_SQL, "op12_adaptive_prefix_join": OP12_SQL, "op13_best_position_search": OP13_SQL}
