@@ -38,7 +38,7 @@ from .runtime import join_small, ship, written
 #: Words of a shingle and percent of similarity where no contract names others; SHINGLE and SIMILARITY are op12's.
 SHINGLE, SIMILARITY = 3, 90
 #: Shares of t - 1 that the levels ask for beyond one value.
-LEVELS = (0.0, 0.12, 0.4, 1.0)
+LEVELS = (0.0, 0.12, 1.0)
 #: Candidates of a document above which it goes on to the next level.
 COST = 64
 #: Lists of a document whose pivots it is compared with at first.
@@ -194,9 +194,10 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, similarity: int = SIM
 
     def linked(pairs: DataFrame, prefixes: DataFrame, level: int) -> None:
         nonlocal links, labels
-        found = written(verified(written(pairs), prefixes, texts, level, size, similarity))
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        found = written(verified(pairs, prefixes, texts, level, size, similarity))
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links)
 
     first = F.row_number().over(Window.partitionBy("node").orderBy("v"))
     few = written(listed.withColumn("at", first).where(F.col("at") <= STAR_LISTS).drop("at"))
@@ -213,7 +214,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, similarity: int = SIM
         last = level == len(LEVELS) - 1
         dear = written(costs(q).where(F.lit(not last) & (F.col("cost") > cost)).select("node"))
         q = q.join(dear.withColumn("dear", F.lit(True)), "node", "left").select("v", "node", "n", "label", F.col("dear").isNull().alias("remains"))
-        linked(met(written(q), similarity), prefixes, level)
+        linked(met(q, similarity), prefixes, level)
         if last or dear.isEmpty():
             break
         if level + 1 < len(LEVELS) - 1:
