@@ -11,8 +11,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: flo
     """Newton boosting on the logistic loss; each tree is complete to its depth, a level at a time."""
     n, f = x.shape
     weight = np.ones(n) if weight is None else weight
-    edges = np.stack([np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1]) for j in range(f)])
-    b = np.stack([np.searchsorted(edges[j], x[:, j], "right") for j in range(f)], 1)
+    # columns of 0 and 1 are summed by one product; the others by their bins
+    flags = np.flatnonzero(((x == 0) | (x == 1)).all(0))
+    others = np.setdiff1d(np.arange(f), flags)
+    edges = {j: np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1]) for j in others}
+    b = {j: np.searchsorted(edges[j], x[:, j], "right") for j in others}
+    ones = np.ascontiguousarray(x[:, flags].T, np.float64)
+    rows = np.arange(n)
     base = np.log((weight @ y + 1) / (weight @ (1 - y) + 1))
     s = np.full(n, base)
     out_feature, out_cut, out_leaf = [], [], []
@@ -24,24 +29,29 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: flo
         for level in range(depth):
             k, start = 2**level, 2**level - 1
             best = np.full(k, 1e-6)
-            choice = np.zeros((k, 2), np.int64) - 1
-            for j in range(f):
-                key = node * BINS + b[:, j]
-                gs = np.bincount(key, g, k * BINS).reshape(k, BINS).cumsum(1)
-                hs = np.bincount(key, h, k * BINS).reshape(k, BINS).cumsum(1)
-                gt, ht = gs[:, -1:], hs[:, -1:]
-                gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
-                gain[(hs < 1) | (ht - hs < 1)] = 0
-                at = gain[:, :-1].argmax(1)
-                better = gain[np.arange(k), at] > best
-                best[better] = gain[np.arange(k), at][better]
-                choice[better] = np.stack([np.full(k, j), at], 1)[better]
-            for q in range(k):
-                if choice[q, 0] >= 0:
-                    feature[start + q], cut[start + q] = choice[q, 0], edges[choice[q, 0], choice[q, 1]]
-            split = choice[node]
-            right = (split[:, 0] >= 0) & (b[np.arange(n), np.maximum(split[:, 0], 0)] > split[:, 1])
-            node = node * 2 + right
+            gt, ht = np.bincount(node, g, k)[:, None], np.bincount(node, h, k)[:, None]
+
+            def offer(gain, hs, which, cuts):
+                gain[(hs < 1) | (ht - hs < 1)] = 0  # noqa: B023
+                at = gain.argmax(1)
+                high = gain[np.arange(k), at]  # noqa: B023
+                for q in np.flatnonzero(high > best):  # noqa: B023
+                    best[q], feature[start + q], cut[start + q] = high[q], which[at[q]], cuts[at[q]]  # noqa: B023
+
+            def gains(gs, hs):
+                return gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)  # noqa: B023
+
+            if len(flags):
+                sums = np.zeros((n, 2 * k))
+                sums[rows, node], sums[rows, k + node] = g, h
+                sums = (ones @ sums).T
+                offer(gains(sums[:k], sums[k:]), sums[k:], flags, np.ones(len(flags)))
+            for j in others:
+                key = node * BINS + b[j]
+                gs = np.bincount(key, g, k * BINS).reshape(k, BINS).cumsum(1)[:, :-1]
+                hs = np.bincount(key, h, k * BINS).reshape(k, BINS).cumsum(1)[:, :-1]
+                offer(gains(gs, hs), hs, np.full(BINS, j), edges[j])
+            node = node * 2 + (x[rows, feature[start + node]] >= cut[start + node])
         leaves = 2**depth
         leaf = -rate * np.bincount(node, g, leaves) / (np.bincount(node, h, leaves) + 1)
         s += leaf[node]

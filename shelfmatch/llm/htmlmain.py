@@ -21,11 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .dom import N_FEATURES, Tree, decode, features
+from .dom import N_FEATURES, Tree, decode, feature_rows, features
 from .runtime import ship
 
 #: Bound of training: pages, each whole.
 SAMPLE = 240
+#: Random layouts that are trained on at least.
+LAYOUTS = 600
+#: Weight of a page in its own layout against a random one.
+OWN = 4
 
 
 def _spoken(rng: random.Random, n: int) -> str:
@@ -38,8 +42,7 @@ def layout(rng: random.Random, heading: str, paragraphs: list[str], other: list[
     e, pick = _html.escape, rng.choice
 
     def few() -> str:
-        t = pick(other) if other and rng.random() < 0.7 else _spoken(rng, rng.randint(3, 14))
-        return e(t[: rng.randint(20, 300)])
+        return e(pick(other) if other and rng.random() < 0.7 else _spoken(rng, rng.randint(3, 14)))
 
     def links(n: int, box: str = "ul") -> str:
         return f"<{box}>" + "".join(f'<li><a href="/{k}">{few()[:24]}</a></li>' for k in range(n)) + f"</{box}>"
@@ -99,11 +102,11 @@ def _inherited(tree: Tree, mark: list[bool | None]) -> np.ndarray:
 
 
 def training(pages: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and weights of nodes of the pages themselves and of two random layouts for each."""
+    """Features, labels and weights of nodes of the pages themselves and of random layouts, two for each page and LAYOUTS at least."""
     rng = random.Random(seed)
     xs, ys, ws = [np.zeros((0, N_FEATURES), np.float32)], [np.zeros(0)], [np.zeros(0)]
 
-    def learn(tree: Tree, mark: list[bool | None]) -> None:
+    def learn(tree: Tree, mark: list[bool | None], times: int = 1) -> None:
         y = _inherited(tree, mark)
         known = y >= 0
         size = np.zeros(len(y))
@@ -111,7 +114,7 @@ def training(pages: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray, n
             size[node] += len(text)
         xs.append(features(tree)[known])
         ys.append(y[known])
-        ws.append(1 + np.log1p(size[known]) / 4)
+        ws.append(times * (1 + np.log1p(size[known]) / 4))
 
     told = []
     for page in pages:
@@ -119,25 +122,25 @@ def training(pages: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray, n
         core = [i for i, t in enumerate(tree.tag) if t in ("article", "main")]
         if len(core) == 1:
             mark: list[bool | None] = [None] * len(tree.tag)
+            ends = tree.ends()
+            holds = lambda a, b: a <= b < ends[a]  # noqa: B023, E731
             for i in range(1, len(mark)):
-                mark[i] = True if i == core[0] else None if i < core[0] and _holds(tree, i, core[0]) else False if not _holds(tree, core[0], i) and tree.tag[i] != "body" else None
-            learn(tree, mark)
-            inside = [t for n, t, _ in tree.blocks if _holds(tree, core[0], n)]
-            told.append((inside[0] if inside else "", inside[1:], [t for n, t, _ in tree.blocks if not _holds(tree, core[0], n)]))
+                mark[i] = True if i == core[0] else None if i < core[0] and holds(i, core[0]) else False if not holds(core[0], i) and tree.tag[i] != "body" else None
+            learn(tree, mark, OWN)
+            inside = [t for n, t, _ in tree.blocks if holds(core[0], n)]
+            told.append((inside[0] if inside else "", inside[1:], [t for n, t, _ in tree.blocks if not holds(core[0], n)]))
     while len(told) < 60:
         told.append((_spoken(rng, 6), [_spoken(rng, rng.randint(5, 120)) for _ in range(rng.randint(1, 9))], []))
-    for heading, inside, other in told * 2:
-        tree = Tree(layout(rng, heading[:80], inside[: rng.randint(1, 12)], other))
-        learn(tree, tree.mark)
+    for k in range(max(2 * len(told), LAYOUTS)):
+        heading, inside, other = told[k % len(told)]
+        # a whole article, or each of its parts in turn, so that all lengths are met
+        parts = rng.choice((1, 1, 2, 3))
+        for cut in range(parts):
+            tree = Tree(layout(rng, heading, inside[cut::parts], other))
+            learn(tree, tree.mark)
     return np.concatenate(xs), np.concatenate(ys), np.concatenate(ws)
 
 
-def _holds(tree: Tree, a: int, b: int) -> bool:
-    while b > a:
-        b = tree.parent[b]
-    return a == b
-
-
 def fit(pages: DataFrame, sample: int = SAMPLE) -> dict:
     """Trains on at most ``sample`` pages, the first by a hash of their url and id; equal keys give one page."""
     rows = pages.where("html is not null").select(F.xxhash64("url", "page_id").alias("h"), "html")
@@ -147,6 +150,11 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> dict:
     return boosting.fit(x, y, weight=w)
 
 
+def _text(page: str, model: dict) -> str:
+    tree = Tree(page)
+    return "\n".join(decode(tree, np.concatenate([boosting.predict(model, x) for x in feature_rows(tree)])))
+
+
 def main_text(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     ship(pages.sparkSession)
@@ -157,13 +165,7 @@ def main_text(pages: DataFrame, model: dict | None = None) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                trees = [Tree(h.as_py() or "") for h in part.column(2)]
-                xs = [features(t) for t in trees]
-                p = boosting.predict(model, np.concatenate(xs))
-                at, out = 0, []
-                for t, x in zip(trees, xs):
-                    out.append("\n".join(decode(t, p[at : at + len(x)])))
-                    at += len(x)
+                out = [_text(h.as_py() or "", model) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")

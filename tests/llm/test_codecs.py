@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -184,3 +185,42 @@ def test_held_out_layouts():
         got = set(dom.decode(t, boosting.predict(model, dom.features(t))))
         hit, n, extra = hit + len(want & got), n + len(want), extra + len(got - want)
     assert hit / n > 0.95 and extra / n < 0.1
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '\"", "<", "<!", "<!--", "<div>", "<p>", "<h1>", "<blockquote>", "<svg>", "<li><td>", "<header><li>", "</p>", "</div>", "<script", "<a href='x'>y</b>"])
+def test_damaged_pages_are_read_in_linear_time(piece):
+    for page in (piece * (2**20 // len(piece)), "<div>" * 100_000 + piece * (2**19 // len(piece)) + "</p>" * 100_000):
+        at = time.process_time()
+        dom.Tree(page)
+        assert time.process_time() - at < 8
+
+
+def test_damaged_markup():
+    blocks = lambda page: [b for _, b, _ in dom.Tree(page).blocks]
+    assert blocks('<p title="a>b</p><p>c</p>') == ["b", "c"]  # the quote never closes
+    assert blocks("<p>a</i></div></p>b<p>c") == ["a", "b", "c"]
+    assert blocks("<p>a<svg>x<p>b<svg>y</svg>c") == ["ac"]
+    assert blocks("a<!-- b") == ["a"] and blocks("a < b <3 <") == ["a < b <3 <"] and blocks("a<script>b") == ["a"]
+    t = dom.Tree("<blockquote><p>a<div><p>b<p>c</div><p>d</blockquote>")
+    assert [t.tag[k] for k, _, _ in t.blocks] == ["p"] * 4 and t.ends()[1] == len(t.tag)
+
+
+def test_features_come_in_blocks():
+    t = dom.Tree(htmlmain.layout(random.Random(1), "a b", ["c d e"] * 5, []))
+    assert (np.concatenate(list(dom.feature_rows(t, 3))) == dom.features(t)).all()
+
+
+def test_unmarked_pages_to_the_letter():
+    """The whole text of pages without article or main: nearly all are exactly right."""
+    rng = random.Random(31)
+    x, y, w = htmlmain.training([])
+    model, right, n = boosting.fit(x, y, weight=w), 0, 0
+    while n < 60:
+        page = htmlmain.layout(rng, htmlmain._spoken(rng, 5), [htmlmain._spoken(rng, rng.randint(20, 60)) for _ in range(rng.randint(2, 6))], [])
+        if "<article" in page or "<main" in page:
+            continue
+        t = dom.Tree(page)
+        mark = htmlmain._inherited(t, t.mark)
+        n += 1
+        right += htmlmain._text(page, model) == "\n".join(b for k, b, _ in t.blocks if mark[k] == 1)
+    assert right / n > 0.8
