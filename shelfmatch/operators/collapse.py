@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.isbn import sort_isbns
 from ..functions.text import loose_key, title_key
 from ..sources.listings import REVIEWS
+from .cards import browse
 from .components import components, shared_isbn_pairs
 
 
@@ -18,41 +19,65 @@ def title_group_key() -> Column:
     return F.when(key != "", F.concat(F.lit("title:"), key)).otherwise(F.concat(F.lit("isbn:"), isbn))
 
 
+def _titled(c: DataFrame, key: str = "group_key") -> DataFrame:
+    """key, title of the groups that have a title's letters or digits; the others go with any owner of their ISBNs."""
+    return c.where(title_key("title") != "").select(F.col(key).alias("key"), "title").distinct()
+
+
 def collapse_labels(cards: DataFrame) -> DataFrame:
-    """id, group_key and group (label of the component) of every card."""
+    """id, group_key and group (label of the component) of every card; an untitled card joins all that share an ISBN with it."""
     c = cards.withColumn("group_key", title_group_key())
     isbns = c.select(F.col("group_key").alias("key"), F.explode("isbn_digits").alias("isbn"))
-    titles = c.where("title <> ''").select(F.col("group_key").alias("key"), "title").distinct()
-    labels = components(shared_isbn_pairs(isbns, titles, both_titled=True)).select(F.col("key").alias("group_key"), "label")
+    labels = components(shared_isbn_pairs(isbns, _titled(c))).select(F.col("key").alias("group_key"), "label")
     return c.select("id", "group_key").join(labels, "group_key", "left").select("id", "group_key", F.coalesce("label", "group_key").alias("group"))
 
 
 def merge_records(cards: DataFrame, by: str = "group") -> DataFrame:
-    """One card for each value of ``by``: the best base first, lists and reviews joined in that order, flags or-ed, rows added."""
-    known = (F.col("title") != "") & ~F.coalesce("title_unknown", F.lit(False))
-    score = F.when(known, 4).otherwise(0) + F.when(F.coalesce("posted", F.lit(True)), 2).otherwise(0) + F.when(F.coalesce("in_collection", F.lit(False)), 1).otherwise(0)
-    lists = ("authors", "batches", "posted_batches", "holdings_batches", "levels", "audiences", "editions")
-    sources = REVIEWS if "reviews" in cards.columns else ()
-    noted = [F.coalesce(F.col("reviews")[c], F.array().cast("array<string>")).alias(f"review_{c}") for c in sources]
-    g = cards.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-score).alias("s"), "id", "key", "title", "isbn_digits", *lists, *noted))).alias("m"), F.struct(*(F.max(f"formats.{f}").alias(f) for f in ("book", "ebook", "audio"))).alias("formats"), F.max(F.coalesce("posted", F.lit(True))).alias("posted"), F.max(F.coalesce("in_collection", F.lit(False))).alias("in_collection"), F.max("possible_duplicate").alias("flagged"), F.sum("row_count").alias("row_count"))
-    values = lambda c: F.flatten(F.transform("m", lambda r: r[c]))
-
-    def distinct(c: str, fold) -> Column:
-        v = values(c)
-        keys = F.transform(v, fold)
-        return F.filter(F.transform(v, lambda x, i: F.when(F.array_position(keys, fold(x)) == i + 1, x)), lambda x: x.isNotNull())
-
-    titles = F.filter(F.transform("m", lambda r: r["title"]), lambda t: t != "")
-    title = F.coalesce(F.get(titles, F.lit(0)), F.lit(""))
-    base = F.get("m", F.lit(0))
-    reviews = [F.map_filter(F.map_from_arrays(F.array(*map(F.lit, sources)), F.array(*(distinct(f"review_{c}", F.lower) for c in sources))), lambda k, v: F.size(v) > 0).alias("reviews")] if sources else []
-    return g.select(base["id"].alias("id"), base["key"].alias("key"), title.alias("title"), (title == "").alias("title_unknown"), distinct("authors", loose_key).alias("authors"), sort_isbns(values("isbn_digits")).alias("isbn_digits"), *(distinct(c, F.lower).alias(c) for c in lists[1:]), "formats", "posted", "in_collection", (F.col("flagged") | (F.size(F.array_distinct(titles)) > 1)).alias("possible_duplicate"), *reviews, "row_count")
+    """One card for each value of ``by``: the best base first, lists and reviews joined in that order, flags or-ed, rows added.
+
+    Values of lists are aggregated each with its first place, so what is gathered is as long as the result, not as the group.
+    """
+    score = _base_score((F.col("title") != "") & ~F.coalesce("title_unknown", F.lit(False)))
+    empty = F.array().cast("array<string>")
+    place = F.struct((-score).alias("s"), "id")
+    lists = {"authors": loose_key, "isbn_digits": lambda v: v, **dict.fromkeys(("batches", "posted_batches", "holdings_batches", "levels", "audiences", "editions"), F.lower)}
+    columns = {c: (F.coalesce(c, empty), fold) for c, fold in lists.items()}
+    if "reviews" in cards.columns:
+        columns |= {f"review_{c}": (F.coalesce(F.col("reviews")[c], empty), F.lower) for c in REVIEWS}
+
+    def told(name: str, values: Column, fold) -> Column:
+        return F.transform(values, lambda v, at: F.struct(F.lit(name).alias("kind"), fold(v).alias("fold"), at.alias("at"), v.alias("value")))
+
+    each = cards.select(by, place.alias("place"), F.explode(F.concat(*(told(n, v, f) for n, (v, f) in columns.items()))).alias("e"))
+    firsts = each.groupBy(by, "e.kind", "e.fold").agg(F.min(F.struct("place", "e.at", "e.value")).alias("f"))
+    values = firsts.groupBy(by).agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == n, F.col("f")))), lambda s: s["value"]).alias(n) for n in columns))
+    title = F.coalesce(F.min_by(F.nullif("title", F.lit("")), F.when(F.col("title") != "", place)), F.lit(""))
+    g = cards.groupBy(by).agg(
+        F.min_by(F.struct("id", "key"), place).alias("base"), title.alias("title"), F.count_distinct(F.nullif("title", F.lit(""))).alias("titles"),
+        F.struct(*(F.max(f"formats.{f}").alias(f) for f in ("book", "ebook", "audio"))).alias("formats"),
+        F.max(F.coalesce("posted", F.lit(True))).alias("posted"), F.max(F.coalesce("in_collection", F.lit(False))).alias("in_collection"),
+        F.max("possible_duplicate").alias("flagged"), F.sum("row_count").alias("row_count"),
+    ).withColumnRenamed(by, "_by")
+    g = g.join(values, F.col("_by").eqNullSafe(F.col(by)), "left")
+    of = lambda c: F.coalesce(c, empty)
+    reviews = [F.map_filter(F.map_from_arrays(F.array(*map(F.lit, REVIEWS)), F.array(*(of(f"review_{c}") for c in REVIEWS))), lambda k, v: F.size(v) > 0).alias("reviews")] if "reviews" in cards.columns else []
+    return g.select(F.col("base.id").alias("id"), F.col("base.key").alias("key"), "title", (F.col("title") == "").alias("title_unknown"), of("authors").alias("authors"), sort_isbns(of("isbn_digits")).alias("isbn_digits"), *(of(c).alias(c) for c in list(lists)[2:]), "formats", "posted", "in_collection", (F.col("flagged") | (F.col("titles") > 1)).alias("possible_duplicate"), *reviews, "row_count")
+
+
+def _base_score(known: Column) -> Column:
+    """How good a card is as the base of a work: a known title, then posted, then held."""
+    return F.when(known, 4).otherwise(0) + F.when(F.coalesce("posted", F.lit(True)), 2).otherwise(0) + F.when(F.coalesce("in_collection", F.lit(False)), 1).otherwise(0)
 
 
 def collapse_cards(cards: DataFrame) -> DataFrame:
     return merge_records(cards.join(collapse_labels(cards).select("id", "group"), "id"))
 
 
+def browse_works(cards: DataFrame, batch: str = "all", level: str = "all") -> DataFrame:
+    """The works of a batch and level: cards are chosen first and collapsed among themselves."""
+    return collapse_cards(browse(cards, batch, level))
+
+
 def collapse_scored(hits: DataFrame) -> DataFrame:
     """query_id, id, title, score, reason: each query's hits with one for each work, at its best score and that one's reason.
 
@@ -61,7 +86,7 @@ def collapse_scored(hits: DataFrame) -> DataFrame:
     """
     h = hits.withColumn("key", F.concat_ws("\x01", "query_id", title_group_key()))
     isbns = h.select("key", F.explode("isbn_digits").alias("d")).where("d <> ''").select("key", F.concat_ws("\x01", F.substring_index("key", "\x01", 1), "d").alias("isbn"))
-    labels = components(shared_isbn_pairs(isbns, h.where("title <> ''").select("key", "title").distinct()))
-    base = F.struct((-(F.when(F.col("title") != "", 4).otherwise(0) + F.when(F.col("posted"), 2).otherwise(0) + F.when(F.col("in_collection"), 1).otherwise(0))).alias("s"), "id")
+    labels = components(shared_isbn_pairs(isbns, _titled(h, "key")))
+    base = F.struct((-_base_score(F.col("title") != "")).alias("s"), "id")
     g = h.join(labels, "key", "left").groupBy("query_id", F.coalesce("label", "key").alias("group")).agg(F.min_by("id", base).alias("id"), F.coalesce(F.min_by(F.nullif("title", F.lit("")), F.when(F.col("title") != "", base)), F.lit("")).alias("title"), F.min_by(F.struct("score", "reason"), F.struct(-F.col("score"), "id")).alias("best"))
     return g.select("query_id", "id", "title", "best.score", "best.reason")

@@ -81,12 +81,12 @@ def _rarest_words(many: DataFrame, alike: DataFrame, ends) -> DataFrame:
     return both.withColumn("place", place).where(F.col("place") <= F.col("most")).select("isbn", "key", F.explode("gs").alias("g")).distinct()
 
 
-def shared_isbn_pairs(isbns: DataFrame, titles: DataFrame, both_titled: bool = False, hot: int = HOT) -> DataFrame:
+def shared_isbn_pairs(isbns: DataFrame, titles: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs a < b of groups with a common ISBN whose titles look related.
 
     isbns: key, isbn; titles: key, title (none for untitled groups).  Untitled groups go with any
     owner of their ISBN; they are linked to one owner of each ISBN instead of to all of them, which
-    gives the same components.  With ``both_titled`` they are left alone.  ISBNs with more than ``hot``
+    gives the same components.  ISBNs with more than ``hot``
     titled groups (placeholders) are compared by blocks (``related_candidates``) instead of all with all.
     """
     folded = titles.select("key", folded_key("title").alias("fk")).where("fk <> ''").distinct()
@@ -102,8 +102,6 @@ def shared_isbn_pairs(isbns: DataFrame, titles: DataFrame, both_titled: bool = F
         met = met.union(related_candidates(stored(named.join(crowd, "isbn", "left_semi").join(folded, "key")))).distinct()
     related = met.join(folded.select(F.col("key").alias("a"), F.col("fk").alias("fa")), "a").join(folded.select(F.col("key").alias("b"), F.col("fk").alias("fb")), "b")
     pairs = related.where(titles_related(F.col("fa"), F.col("fb"))).select("a", "b").distinct()
-    if both_titled:
-        return pairs
     hub = owners.groupBy("isbn").agg(F.min("key").alias("hub"), F.min(F.when(~F.col("titled"), F.col("key"))).alias("open")).where("open is not null")
     stars = owners.join(hub, "isbn").where("key <> open").select(F.least("key", "open").alias("a"), F.greatest("key", "open").alias("b"))
     return pairs.union(stars).distinct()

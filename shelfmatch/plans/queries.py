@@ -246,12 +246,23 @@ def browse(spark, sf_dir):
 
 
 _TGK = f"CASE WHEN {O.tk('title')} <> '' THEN 'title:' || {O.tk('title')} ELSE 'isbn:' || coalesce((SELECT d FROM ci WHERE ci.gid = card.gid ORDER BY CASE WHEN len(d) = 13 AND starts_with(d, '978') THEN 0 WHEN len(d) = 13 THEN 1 WHEN len(d) = 10 THEN 2 ELSE 3 END, d LIMIT 1), id) END"
-_COLLAPSED = f"""{O.CARDS}, tg AS (SELECT gid, id, {_TGK} AS g, CASE WHEN title <> '' THEN {O.fk('title')} END AS f FROM card),
+
+
+def _collapsed(pool: str = "card") -> str:
+    """Works of a pool of cards: pairs over ISBNs of related titles, or of any two of which one has no title, and a recursive walk."""
+    return f"""{O.CARDS}, tg AS (SELECT gid, id, {_TGK} AS g, CASE WHEN {O.tk('title')} <> '' THEN {O.fk('title')} END AS f FROM {pool} card),
 tgi AS (SELECT DISTINCT g, d FROM tg JOIN ci USING (gid)),
 tpair AS (SELECT DISTINCT x.g AS a, y.g AS b FROM tgi x JOIN tgi y ON x.d = y.d AND x.g < y.g),
-trel AS (SELECT a, b FROM tpair WHERE EXISTS (SELECT 1 FROM tg p, tg q WHERE p.g = a AND q.g = b AND p.f IS NOT NULL AND q.f IS NOT NULL AND {O.simple_related('p.f', 'q.f')})),
+trel AS (SELECT a, b FROM tpair WHERE NOT starts_with(a, 'title:') OR NOT starts_with(b, 'title:') OR EXISTS (SELECT 1 FROM tg p, tg q WHERE p.g = a AND q.g = b AND {O.simple_related('p.f', 'q.f')})),
 tboth AS (SELECT a, b FROM trel UNION SELECT b, a FROM trel), twalk AS (SELECT a AS k, a AS l FROM tboth UNION SELECT w.k, e.b FROM twalk w JOIN tboth e ON e.a = w.l),
-tlab AS (SELECT k, min(l) AS label FROM twalk GROUP BY k)"""
+tlab AS (SELECT k, min(l) AS label FROM twalk GROUP BY k),
+z AS (SELECT coalesce(label, g) AS grp, card.*, row_number() OVER (PARTITION BY coalesce(label, g) ORDER BY -(CASE WHEN title <> '' THEN 4 ELSE 0 END + CASE WHEN posted THEN 2 ELSE 0 END + CASE WHEN in_collection THEN 1 ELSE 0 END), card.id) AS o FROM tg JOIN card USING (gid) LEFT JOIN tlab ON g = k),
+zm AS (SELECT grp, arg_min(id, o) AS id, coalesce(arg_min(title, o) FILTER (WHERE title <> ''), '') AS title, sum(row_count)::BIGINT AS row_count, bool_or(posted) AS posted, bool_or(in_collection) AS in_collection FROM z GROUP BY grp),
+za AS (SELECT grp, string_agg(author, '|' ORDER BY o, p) AS v FROM (SELECT grp, o, p, author, row_number() OVER (PARTITION BY grp, {O.loose('author')} ORDER BY o, p) AS rn FROM z JOIN (SELECT gid, unnest(authors) AS author, unnest(range(1, len(authors) + 1)) AS p FROM ca) USING (gid)) WHERE rn = 1 GROUP BY grp),
+zi AS (SELECT grp, string_agg(d, '|' ORDER BY d) AS v FROM (SELECT DISTINCT grp, d FROM z JOIN ci USING (gid)) GROUP BY grp)"""
+
+
+_COLLAPSED = _collapsed()
 
 
 @query(O.with_(_COLLAPSED, "SELECT id, g AS group_key, coalesce(label, g) AS \"group\" FROM tg LEFT JOIN tlab ON g = k"))
@@ -259,11 +270,22 @@ def collapse_groups(spark, sf_dir):
     return collapse.collapse_labels(_cards(spark, sf_dir))
 
 
-@query(O.with_(_COLLAPSED + ", z AS (SELECT coalesce(label, g) AS grp, card.* FROM tg JOIN card USING (gid) LEFT JOIN tlab ON g = k)", """SELECT arg_min(id, row(-(CASE WHEN title <> '' THEN 4 ELSE 0 END + CASE WHEN posted THEN 2 ELSE 0 END + CASE WHEN in_collection THEN 1 ELSE 0 END), id)) AS id, sum(row_count)::BIGINT AS row_count, bool_or(posted) AS posted, bool_or(in_collection) AS in_collection FROM z GROUP BY grp"""))
+@query(O.with_(_COLLAPSED, "SELECT id, row_count, posted, in_collection FROM zm"))
 def collapse_cards(spark, sf_dir):
     return collapse.collapse_cards(_cards(spark, sf_dir)).select("id", "row_count", "posted", "in_collection")
 
 
+@query(O.with_(_COLLAPSED, "SELECT id, title, coalesce(za.v, '') AS authors, coalesce(zi.v, '') AS isbns FROM zm LEFT JOIN za USING (grp) LEFT JOIN zi USING (grp)"))
+def collapse_lists(spark, sf_dir):
+    """Titles, authors in their order and ISBNs of works."""
+    return collapse.collapse_cards(_cards(spark, sf_dir)).select("id", "title", _joined("authors").alias("authors"), _joined(F.array_sort("isbn_digits")).alias("isbns"))
+
+
+@query(O.with_(_collapsed("(SELECT * FROM card WHERE gid IN (SELECT gid FROM cb WHERE v = 'Sep 2025') AND gid IN (SELECT gid FROM cl WHERE v = 'Middle'))"), "SELECT id, title, row_count, coalesce(za.v, '') AS authors FROM zm LEFT JOIN za USING (grp)"))
+def browse_works(spark, sf_dir):
+    return collapse.browse_works(_cards(spark, sf_dir), "Sep 2025", "Middle").select("id", "title", "row_count", _joined("authors").alias("authors"))
+
+
 @query(f"WITH {O.PREP} SELECT rid AS row_seq FROM acc")
 def incremental_import(spark, sf_dir):
     """Half of the lists are stored; then all of them arrive, the stored half for the second time."""
