@@ -5,13 +5,15 @@ in one order for all documents (that of their hashes).  A document of n values s
 t = ceil(SIMILARITY * n) of them with any partner, so the first n - t + l values of both hold l common
 ones, for every l from 1 to t.
 
-* Level 0 takes l = 1.  How many values of other works stand in a document's lists is what it would
+* Level 0 takes a small l.  How many values of other works stand in a document's lists is what it would
   cost to look at its candidates; a document that costs over COST goes on to the next level, where its
   prefix is longer and more common values are asked for, up to the whole set.  What remains at a
   level meets all that got as far, so a pair meets at the level where the first of the two remains.
 * Of a prefix that must share l values the l - 1 commonest needn't be listed: one of the others is shared.
   So a longer prefix keeps the frequent values out of the lists, and many documents have none left.
-* A pair is verified only if its prefixes share as many values as its level asks for, then by full sets.
+* The sizes of a pair say more: it must share c values in all, so its prefixes share c less what the
+  longer set's prefix leaves out.  That bounds how far down the first common value may stand in both,
+  and a pair is verified only if its prefixes share that many, then by full sets.
 
 Components alone are asked for.  Identical sets are folded.  Then the lists' pivots are compared with
 their members, which takes a few pairs for each of thousands of near copies; after that, only pairs of
@@ -38,7 +40,7 @@ from .runtime import join_small, ship, written
 #: Words of a shingle and percent of similarity where no contract names others; SHINGLE and SIMILARITY are op12's.
 SHINGLE, SIMILARITY = 3, 90
 #: Shares of t - 1 that the levels ask for beyond one value.
-LEVELS = (0.0, 0.12, 1.0)
+LEVELS = (0.05, 0.25, 1.0)
 #: Candidates of a document above which it goes on to the next level.
 COST = 64
 #: Lists of a document whose pivots it is compared with at first.
@@ -52,13 +54,26 @@ def least_shared(n: Column | int, similarity: int):
     return (n * similarity + 99) // 100
 
 
-def asked(n: Column, level: int, similarity: int) -> Column:
-    """Common values that a level asks of the prefixes of a set of n."""
-    return (F.floor((least_shared(n, similarity) - 1) * LEVELS[level] + 1e-9) + 1).cast("int")
+def left_out(n: Column, level: int, similarity: int) -> Column:
+    """Values of a set of n that its prefix of a level lacks: t - l."""
+    t = least_shared(n, similarity)
+    return (t - 1 - F.floor((t - 1) * LEVELS[level] + 1e-9)).cast("int")
+
+
+def common(n: Column, m: Column, level: int, similarity: int) -> Column:
+    """Values that the prefixes of similar sets of n and m share."""
+    whole = F.floor((similarity * (n + m) + 99 + similarity) / (100 + similarity))
+    return (whole - F.greatest(left_out(n, level, similarity), left_out(m, level, similarity))).cast("int")
+
+
+def cut_off(n: int, level: int, similarity: int) -> int:
+    """Length of the prefix of a level."""
+    t = least_shared(n, similarity)
+    return n - (t - 1 - int((t - 1) * LEVELS[level] + 1e-9))
 
 
 def sets(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n, f1 and f2 (a 128-bit print of the set), k (a print of the text) and head: the values of the last level but one, ascending."""
+    """doc_id, n, f1 and f2 (a 128-bit print of the set), k (a print of the text) and head: the prefix of the first level, ascending."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -70,36 +85,41 @@ def sets(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) ->
                     n.append(len(s))
                     f1.append(m.sum(dtype=U64))
                     f2.append(np.bitwise_xor.reduce(mix(m ^ U64(0x9E3779B97F4A7C15))) if len(s) else U64(0))
-                    t = least_shared(len(s), similarity)
-                    head.append(s[: len(s) - t + int((t - 1) * LEVELS[-2] + 1e-9) + 1] if len(s) else s)
+                    head.append(s[: cut_off(len(s), 0, similarity)] if len(s) else s)
                 cut = np.concatenate([[0], np.cumsum([len(h) for h in head])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(np.array(f1, U64).view(np.int64)), pa.array(np.array(f2, U64).view(np.int64)), batch.column(2).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(head)))], ["doc_id", "n", "f1", "f2", "k", "head"])
 
     return docs.select("doc_id", "text", "k").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, k long, head array<long>")
 
 
-def whole_sets(texts: DataFrame, size: int) -> DataFrame:
-    """node, n and values (ascending) of texts (node, text)."""
+def prefixes_of(texts: DataFrame, level: int, size: int, similarity: int) -> DataFrame:
+    """node, n and values (the prefix of a level, ascending) of texts (node, text)."""
 
     def run(batches):
         for batch in batches:
             for i, j, buf, off in chunks(batch, "text"):
                 each = list(shingle_sets(buf, off, size))
+                n = [len(s) for s in each]
+                each = [s[: cut_off(len(s), level, similarity)] for s in each]
                 cut = np.concatenate([[0], np.cumsum([len(s) for s in each])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in each], pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(each)))], ["node", "n", "values"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(each)))], ["node", "n", "values"])
 
     return texts.mapInArrow(run, "node long, n long, values array<long>")
 
 
 def lists(prefixes: DataFrame, level: int, similarity: int) -> DataFrame:
-    """(v, node, n): the rarest values of each prefix (node, n, values) that one must be shared of, each held by two at least."""
-    each = prefixes.select("node", "n", F.size("values").alias("p"), F.explode("values").alias("v"))
+    """(v, node, n, rank): the rarest values of each prefix (node, n, values) that one must be shared of, each held by two at least.
+
+    rank: place in the prefix, rarest first.
+    """
+    each = prefixes.select("node", F.explode("values").alias("v"))
     again = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # a partner may be smaller, and then asks for less
-    least = asked(least_shared(F.col("n"), similarity).cast("long"), level, similarity)
-    by = each.join(again, "v").groupBy("node", "n", "p").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by"))  # a set's own values
-    most = F.greatest(F.lit(0), F.col("p") - least + 1 - (F.col("p") - F.size("by")))
-    return by.select("node", "n", F.explode(F.slice("by", F.lit(1), most)).alias("b")).select("b.v", "node", "n")
+    by = each.join(again, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by"))  # a set's own values
+    by = by.join(prefixes.select("node", "n", F.size("values").alias("p")), "node").withColumn("alone", F.col("p") - F.size("by"))
+    # any partner shares at least as many as this set's level asks for
+    most = F.greatest(F.lit(0), (F.col("n") - least_shared(F.col("n"), similarity) + 1 - F.col("alone")).cast("int"))
+    placed = by.select("node", "n", "alone", F.posexplode(F.slice("by", F.lit(1), most)).alias("at", "b"))
+    return placed.select("b.v", "node", "n", (F.col("alone") + F.col("at") + 1).cast("int").alias("rank"))
 
 
 def _near(n: Column, m: Column, similarity: int) -> Column:
@@ -110,8 +130,7 @@ def verified(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame, level: int
     """The pairs (a, b) whose prefixes share what the level asks for and whose full sets are similar enough."""
     of = lambda x: prefixes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"v{x}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
-    least = F.least(asked(F.col("na"), level, similarity), asked(F.col("nb"), level, similarity))
-    enough = both.where((least <= 1) | (F.size(F.array_intersect("va", "vb")) >= least)).select("a", "b")
+    enough = both.where(F.size(F.array_intersect("va", "vb")) >= common(F.col("na"), F.col("nb"), level, similarity)).select("a", "b")
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     ready = enough.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
 
@@ -142,7 +161,7 @@ def labelled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def open_lists(listed: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The lists that hold several components: v, node, n, label."""
+    """The lists that hold several components: v, node, n, rank, label."""
     q = labelled(listed, labels)
     several = q.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
     return q.join(several, "v", "left_semi")
@@ -155,18 +174,21 @@ def costs(q: DataFrame) -> DataFrame:
     return q.join(own, ["v", "label"]).join(df, "v").groupBy("node").agg(F.sum(F.col("df") - F.col("own")).alias("cost"))
 
 
-def met(q: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of different components of a list, one of them remaining at this level; q: v, node, n, label, remains.
+def met(q: DataFrame, level: int, similarity: int) -> DataFrame:
+    """Pairs (a, b) of different components of a list, one of them remaining at this level; q: v, node, n, rank, label, remains.
 
     In each list the largest component is only met by the others, so its members' pairs are never formed.
     """
     sizes = q.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m"))
     large = sizes.groupBy("v").agg(F.max_by("label", F.struct("m", "label")).alias("large"))
-    q = q.join(large, "v")
-    other = q.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("remains").alias("rb"), (F.col("label") == F.col("large")).alias("in_large"))
-    small = q.where("label <> large").select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("remains").alias("ra"))
-    pairs = small.join(other, "v").where((F.col("in_large") | (F.col("la") < F.col("lb"))) & (F.col("ra") | F.col("rb")) & _near(F.col("na"), F.col("nb"), similarity))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    last = F.col("n") - left_out(F.col("n"), level, similarity) + 1 - F.col("rank")  # that many values follow, with this one
+    q = q.join(large, "v").select("v", "node", "n", "label", "remains", "large", last.cast("int").alias("follow"))
+    side = lambda d, x: d.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "label", "remains", "follow")), (F.col("label") == F.col("large")).alias(f"large_{x}"))
+    a, b = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
+    other = b("large") | (a("label") < b("label"))
+    enough = F.least(a("follow"), b("follow")) >= common(a("n"), b("n"), level, similarity)
+    pairs = side(q.where("label <> large"), "a").join(side(q, "b"), "v").where(other & (a("remains") | b("remains")) & _near(a("n"), b("n"), similarity) & enough)
+    return pairs.select(F.least(a("node"), b("node")).alias("a"), F.greatest(a("node"), b("node")).alias("b")).distinct()
 
 
 def ngram_components(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, cost: int = COST, stars: int = 2) -> DataFrame:
@@ -183,10 +205,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, similarity: int = SIM
     able = folded.where(f"n >= {smallest}" if smallest else "false").select(F.col("node").alias("doc_id"), "k")
     heads = join_small(all_rows.select("doc_id", "k", "n", "head"), able, ["doc_id", "k"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n", F.col("head").alias("values"))
 
-    def cut(level: int) -> Column:
-        return F.slice("values", F.lit(1), (F.col("n") - least_shared(F.col("n"), similarity) + asked(F.col("n"), level, similarity)).cast("int"))
-
-    listed = written(lists(heads.select("node", "n", cut(0).alias("values")), 0, similarity))
+    listed = written(lists(heads, 0, similarity))
     alive = written(listed.select(F.col("node").alias("doc_id")).distinct().join(able, "doc_id"))
     heads = written(join_small(heads, alive.select(F.col("doc_id").alias("node")), "node", "left_semi"))
     texts = written(join_small(docs, alive, ["doc_id", "k"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text"))
@@ -201,7 +220,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, similarity: int = SIM
 
     first = F.row_number().over(Window.partitionBy("node").orderBy("v"))
     few = written(listed.withColumn("at", first).where(F.col("at") <= STAR_LISTS).drop("at"))
-    prefixes = heads.select("node", "n", cut(0).alias("values"))
+    prefixes = heads
     for r in range(stars):
         q = written(open_lists(few, labels))
         pivots = q.groupBy("v").agg(F.min_by(F.struct("node", "label", "n"), F.xxhash64("node", F.lit(r))).alias("p"))
@@ -213,15 +232,11 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, similarity: int = SIM
             break
         last = level == len(LEVELS) - 1
         dear = written(costs(q).where(F.lit(not last) & (F.col("cost") > cost)).select("node"))
-        q = q.join(dear.withColumn("dear", F.lit(True)), "node", "left").select("v", "node", "n", "label", F.col("dear").isNull().alias("remains"))
-        linked(met(q, similarity), prefixes, level)
+        q = join_small(q, dear.withColumn("dear", F.lit(True)), "node").select("v", "node", "n", "rank", "label", F.col("dear").isNull().alias("remains"))
+        linked(met(q, level, similarity), prefixes, level)
         if last or dear.isEmpty():
             break
-        if level + 1 < len(LEVELS) - 1:
-            prefixes = heads.join(dear, "node", "left_semi").select("node", "n", cut(level + 1).alias("values"))
-        else:
-            prefixes = whole_sets(texts.join(dear, "node", "left_semi"), size)
-        prefixes = written(prefixes)
+        prefixes = written(prefixes_of(join_small(texts, dear, "node", "left_semi"), level + 1, size, similarity))
         listed = written(lists(prefixes, level + 1, similarity))
     found = join_small(chosen.select("doc_id", "n", "f1", "f2"), folded.select("f1", "f2", "node"), ["f1", "f2"], "left", width=48)
     found = found if labels is None else join_small(found, labels, "node", "left", width=32).withColumn("node", F.coalesce("label", "node"))

@@ -207,13 +207,15 @@ def test_prefixes_hold_what_levels_ask_for(spark):
             b = set(a) ^ set(rng.sample(a, rng.randint(0, n // 18))) | set(rng.sample(range(10**6), rng.randint(0, n // 18)))
             if 100 * len(set(a) & b) >= 90 * len(set(a) | b):
                 pairs.append((sorted(a), sorted(b)))
-    for level, share in enumerate(ngramjoin.LEVELS):
-        asked = lambda n: math.floor((ngramjoin.least_shared(n, 90) - 1) * share + 1e-9) + 1  # noqa: B023, E731
-        cut = lambda s: set(s[: len(s) - ngramjoin.least_shared(len(s), 90) + asked(len(s))])  # noqa: B023, E731
-        for a, b in pairs:
-            assert len(cut(a) & cut(b)) >= min(asked(len(a)), asked(len(b)))
-        sizes = spark.range(1, 400).select("id", ngramjoin.asked(F.col("id"), level, 90).alias("l")).collect()
-        assert all(r.l == asked(r.id) for r in sizes)
+    sizes = [(len(a), len(b)) for a, b in pairs]
+    frame = spark.createDataFrame(sizes, "n long, m long")
+    for level in range(len(ngramjoin.LEVELS)):
+        cut = lambda s: set(s[: ngramjoin.cut_off(len(s), level, 90)])  # noqa: B023, E731
+        rows = frame.select(ngramjoin.common(F.col("n"), F.col("m"), level, 90).alias("c"), ngramjoin.left_out(F.col("n"), level, 90).alias("x")).collect()
+        for (a, b), r in zip(pairs, rows):
+            assert len(cut(a) & cut(b)) >= r.c and len(cut(a)) == len(a) - r.x
+            asked = max(ngramjoin.least_shared(len(s), 90) - (len(s) - len(cut(s))) for s in (a, b))
+            assert r.c >= asked  # what the lists of either rely on
 
 
 def test_ngram_join_odd(spark):
