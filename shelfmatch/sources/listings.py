@@ -70,7 +70,11 @@ REVIEWS = ("booklist", "kirkus", "pw", "slj", "horn_book", "common_sense_media",
 BATCHES = {"all-campuses": "All Campuses", "ebook-order": "eBook order", "follett": "Follett 9.16.26", "sora": "Sora 2026-09-16", "curated": "Curated list"}
 CURATED = r"curated[- ]?list"
 HOLDINGS, IGNORED = "follett", "(?i)summary|evidence|notes|instruction"
-EXTENSIONS = ("csv", "json", "parquet", "tsv")
+EXTENSIONS = ("csv", "json", "parquet", "tsv", "xlsx")
+#: Order in which inputs of each role are read.
+ROLES = ("master", "incoming", "extra")
+#: Files up to which the sheets that count are broadcast.
+FILES_BROADCAST = 200_000
 
 
 def header_key(name: str) -> str:
@@ -124,25 +128,101 @@ def select_sheets(sheets: DataFrame, curated: str = CURATED) -> DataFrame:
 
 
 def list_inputs(files: DataFrame, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
-    """Paths (column path) of listings: known extensions, no lock files, each path once."""
+    """path and source_seq of listings: known extensions, no lock files, each path once.
+
+    files: path, and role where there is one (master, incoming or extra; incoming without), place for the order given.
+    The master list comes first, then what came in by file name, then extra files as they are given.
+    """
     name = F.regexp_extract("path", r"([^/\\]*)$", 1)
-    return files.where(F.lower(name).rlike(rf"\.({'|'.join(extensions)})$") & ~name.startswith("~$")).dropDuplicates(["path"])
-
-
-def read_listings(spark: SparkSession, paths: Sequence[str], labels: Sequence[str] | None = None) -> DataFrame:
-    """The union of listing files (one for each sheet that counts) in the order given: canonical columns, source_seq, source_label, kind and row_seq."""
-    out: DataFrame | None = None
-    for k, path in enumerate(paths):
-        kind = path.rsplit(".", 1)[-1].lower()
-        read = spark.read.option("header", True).option("sep", "\t" if kind == "tsv" else ",")
-        df = read.csv(path) if kind in ("csv", "tsv") else getattr(spark.read, kind)(path)
-        keys = [header_key(c) for c in df.columns]
-        one = with_all_columns(canonicalize_columns(df, keep_unknown=False).select([F.col(c).cast("string") for c in dict.fromkeys(ALIASES[h] for h in keys if h in ALIASES)]))
-        one = one.select(F.lit(k).alias("source_seq"), F.lit(labels[k] if labels else path).alias("source_label"), detect_source_kind(F.lit(path), F.lit(""), F.array(*map(F.lit, keys))).alias("kind"), F.monotonically_increasing_id().alias("row_seq"), *COLUMNS)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    f = files.select("path", F.col("role") if "role" in files.columns else F.lit("incoming").alias("role"), F.col("place").cast("long") if "place" in files.columns else F.lit(0).cast("long").alias("place"))
+    f = f.where(F.lower(name).rlike(rf"\.({'|'.join(extensions)})$") & ~name.startswith("~$"))
+    rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
+    order = F.struct(F.when(rank > 0, rank).otherwise(len(ROLES) + 1).alias("rank"), F.when(F.col("role") == "incoming", F.collate(name, "en_CI")).alias("name"), "place", "path")
+    once = f.groupBy("path").agg(F.min(order).alias("order"))
+    # one row a file: the numbering is as long as the list of files
+    return once.select("path", (F.row_number().over(Window.orderBy("order")) - 1).cast("int").alias("source_seq"))
+
+
+def _bare(path: Column | str) -> Column:
+    """A path without the scheme of local files, as it is given and as Spark names it."""
+    return F.regexp_replace(path, "^file:(//)?(?=/)", "")
+
+
+def _named_sheets(files: DataFrame) -> DataFrame:
+    """path, sheet and sheet_no of all sheets."""
+    import pyarrow as pa
+
+    from .workbooks import sheet_names
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                names = sheet_names(path, content.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(range(len(names)), pa.int32())], ["path", "sheet", "sheet_no"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, sheet string, sheet_no int")
+
+
+def _read_sheets(files: DataFrame) -> DataFrame:
+    """files: source_seq, source_label, path, content, sheets (array, in order); one row for each row of a sheet."""
+    import pyarrow as pa
+
+    from .workbooks import records
+
+    head = ["source_seq", "source_label", "path", "sheet", "headers", "row_seq"]
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), *[pa.string()] * len(COLUMNS)]
+
+    def rows_of(path: str, content: bytes, sheets: list[str]):
+        first, n = None, 0
+        for sheet in sheets:
+            names, rows = records(path, content, sheet)
+            keys = [header_key(h) for h in names]
+            first = keys if first is None else first
+            plan = {c: [i for i, k in enumerate(keys) if ALIASES.get(k) == c] for c in COLUMNS}
+            for row in rows:
+                cells = [next((row[i] for i in at if (row[i] or "").strip()), row[at[0]]) if at else None for at in plan.values()]
+                yield first, n, cells
+                n += 1
+
+    def batch_of(seq, label, path, sheet, got):
+        columns = [[seq] * len(got), [label] * len(got), [path] * len(got), [sheet] * len(got), [g[0] for g in got], [g[1] for g in got], *zip(*(g[2] for g in got))]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [*head, *COLUMNS])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                seq, label, path, content, sheets = (c[at].as_py() for c in batch.columns)
+                got = []
+                for row in rows_of(path, content, sheets):
+                    got.append(row)
+                    if len(got) == 4096:
+                        yield batch_of(seq, label, path, ", ".join(sheets), got)
+                        got = []
+                if got:
+                    yield batch_of(seq, label, path, ", ".join(sheets), got)
+
+    schema = f"source_seq int, source_label string, path string, sheet string, headers array<string>, row_seq long, {', '.join(f'{c} string' for c in COLUMNS)}"
+    return files.select("source_seq", "source_label", "path", "content", "sheets").mapInArrow(run, schema)
+
+
+def read_listings(spark: SparkSession, paths: Sequence[str], labels: Sequence[str] | None = None, curated: str = CURATED) -> DataFrame:
+    """All rows of listing files in the order given: canonical columns, source_seq, source_label, kind, sheet and row_seq.
+
+    Spark reads the files' bytes, many small ones to a task and any number of them in one scan; headers, sheets and
+    formats are resolved where a file is read.  Of a workbook the sheets count that ``select_sheets`` chooses;
+    its kind follows from its name and the first of them.  A file is parsed whole by one task, so one over 2 GB is an error.
+    """
+    if not paths:
         raise ValueError("no listings given")
-    return out
+    order = spark.createDataFrame([(k, labels[k] if labels else p, p) for k, p in enumerate(paths)], "source_seq int, source_label string, given string")
+    once = order.withColumn("bare", _bare("given")).groupBy("bare").agg(F.min(F.struct("source_seq", "source_label")).alias("o")).select("bare", "o.*")
+    files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select("path", "content", _bare("path").alias("bare"))
+    chosen = select_sheets(_named_sheets(files), curated).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("sheet_no", "sheet"))), lambda s: s["sheet"]).alias("sheets"))
+    few = len(paths) <= FILES_BROADCAST
+    small = lambda d: F.broadcast(d) if few else d
+    ready = files.join(small(once), "bare").join(small(chosen), "path")
+    kind = detect_source_kind(F.col("path"), F.substring_index("sheet", ", ", 1), F.col("headers"), curated)
+    return _read_sheets(ready).select("source_seq", "source_label", kind.alias("kind"), "sheet", "row_seq", *COLUMNS)
 
 
 def apply_source_hints(df: DataFrame, batches: dict[str, str] | None = None) -> DataFrame:
