@@ -53,9 +53,12 @@ def card_labels(rows: DataFrame) -> DataFrame:
     return components(shared_isbn_pairs(isbns, titles)).withColumnRenamed("key", "group_key")
 
 
-def build_cards(rows: DataFrame, levels: Sequence[str] | None = None) -> DataFrame:
-    """Cards of accepted rows. Member rows are aggregated once by their component; groups are never merged as objects."""
-    r = rows.where("group_key <> ''").join(card_labels(rows), "group_key", "left").withColumn("gid", F.coalesce("label", "group_key"))
+def build_cards(rows: DataFrame, levels: Sequence[str] | None = None, labels: DataFrame | None = None, with_group: bool = False) -> DataFrame:
+    """Cards of accepted rows. Member rows are aggregated once by their component; groups are never merged as objects.
+
+    labels: group_key, label where components are known; with_group: keeps gid, the component.
+    """
+    r = rows.where("group_key <> ''").join(card_labels(rows) if labels is None else labels, "group_key", "left").withColumn("gid", F.coalesce("label", "group_key"))
     r = stored(r.withColumns({"batch": cell("source_batch"), "held": _held(), "holdings_batch": is_holdings_batch("source_batch") | (F.col("presence") == "holdings"), "audience_v": audience_value("audience"), "level_v": normalize_level("level"), "edition_v": cell("edition"), **{f"{c}_v": review_value(c) for c in REVIEWS}}))
     some = lambda c: F.collect_set(F.nullif(c, F.lit("")))
     agg = r.groupBy("gid").agg(
@@ -82,7 +85,7 @@ def build_cards(rows: DataFrame, levels: Sequence[str] | None = None) -> DataFra
     order = (lambda c: sort_levels(c, levels)) if levels else sort_levels
     reviews = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, REVIEWS)), F.array(*(F.col(f"review_lists.{c}") for c in REVIEWS))), lambda k, v: F.size(v) > 0)
     return cards.select(
-        F.substring(F.sha1(key), 1, 12).alias("id"), key.alias("key"), title.alias("title"), (title == "").alias("title_unknown"),
+        *(["gid"] if with_group else []), F.substring(F.sha1(key), 1, 12).alias("id"), key.alias("key"), title.alias("title"), (title == "").alias("title_unknown"),
         canonical_authors(F.coalesce("names", F.array().cast("array<string>"))).alias("authors"), sort_isbns("isbns").alias("isbn_digits"),
         sort_batches("batches").alias("batches"), sort_batches("posted_batches").alias("posted_batches"), sort_batches("holdings_batches").alias("holdings_batches"),
         order("levels").alias("levels"), "audiences", "editions", "formats", "posted", "in_collection",

@@ -299,7 +299,7 @@ def incremental_cards(spark, sf_dir):
     """The cards of half of the lists are stored; then all lists arrive, and only touched works are built again."""
     rows, rules = _v(spark, sf_dir, "listing_rows"), spark.table("exclusion_rules")
     first = stored(ingest.accepted(rows.where("source_seq < 4"), rules))
-    return incremental.incremental_cards(first, stored(C.build_cards(first)), rows, rules).select("id", "key", "title", "row_count", "posted", "in_collection")
+    return incremental.add_listings(incremental.begin(first), rows, rules).cards.select("id", "key", "title", "row_count", "posted", "in_collection")
 
 
 # --- holdings -----------------------------------------------------------------------------------

@@ -59,8 +59,50 @@ def test_incremental_equals_rebuild(spark):
     stored = ingest.accepted(first)
     assert {r.title for r in incremental.incremental_import(stored, both).collect()} == {"Dog Man", "Heidi", "Dogman"}
     added = incremental.new_rows(stored, both)
-    touched = incremental.touched_rows(stored, C.card_labels(stored), added)
-    assert [r.title for r in touched.collect()] == ["Dog Man"]
+    assert [r.title for r in added.collect()] == ["Dogman"]
+
+
+def test_imports_in_parts_equal_one_import(spark, tmp_path):
+    """Whatever the order of arrival: works join over later rows, untitled rows find owners, seen rows change nothing."""
+    import random
+
+    rng = random.Random(5)
+    numbers = [f"97800286{k:04}5" for k in range(12)]
+    names = ["Dog Man", "Dogman", "Dog Man returns", "Heidi", "Quiet rivers", "Rivers quiet", "", "", "The sea", "Sea, the"]
+    cells = [{"title": rng.choice(names) + rng.choice(["", "", " 2"]), "author": rng.choice(["Ann Lee", "Bo"]), "isbn": rng.choice([*numbers, ""]), "batch": rng.choice(["Sep 2025", "Jan 2026"])} for _ in range(60)]
+    every = rows(spark, *cells)
+    state = None
+    for part in (F.col("row_seq") % 3 == 0, F.col("row_seq") % 3 == 1, F.col("row_seq") >= 0):
+        arrived = every.where(part)
+        state = incremental.begin(ingest.accepted(arrived).cache()) if state is None else incremental.add_listings(state, arrived)
+    whole = C.build_cards(ingest.accepted(every))
+    # an import keeps the row that it saw first, so cards are compared by what doesn't hang on that
+    key = lambda d: sorted((r.title.lower() if r.title else "", sorted(r.isbn_digits), sorted(r.batches), r.row_count) for r in d.collect())
+    assert [x[1:] for x in key(state.cards)] == [x[1:] for x in key(whole)]
+    incremental.save(state, str(tmp_path / "state"))
+    again = incremental.add_listings(incremental.load(spark, str(tmp_path / "state")), every)
+    assert again.rows.count() == state.rows.count() and key(again.cards) == key(state.cards)
+
+
+def test_imports_read_what_they_touch(spark):
+    d = rows(spark, *({"title": f"Title number {k}", "isbn": f"97800286{k:04}5"} for k in range(40)))
+    state = incremental.begin(ingest.accepted(d))
+    after = incremental.add_listings(state, rows(spark, {"title": "Title number 7 more", "isbn": "9780028600075", "s": 1}, {"title": "Title number 3", "author": "new", "s": 1}))
+    changed = after.cards.join(state.cards, ["gid", "row_count"], "left_anti")
+    assert {r.gid for r in changed.collect()} == {"title number 7", "title number 3"}
+    assert after.cards.count() == 40
+
+
+def test_untitled_cards_join_their_owners(spark):
+    shape = "id string, key string, title string, isbn_digits array<string>, authors array<string>, batches array<string>, posted_batches array<string>, holdings_batches array<string>, levels array<string>, audiences array<string>, editions array<string>, formats struct<book:boolean,ebook:boolean,audio:boolean>, posted boolean, in_collection boolean, possible_duplicate boolean, reviews map<string,array<string>>, row_count long, title_unknown boolean"
+    card = lambda i, title, isbns, authors, held=False: (i, i, title, isbns, authors, ["b", "B"], [], None, [], [], [], (True, False, held), not held, held, False, {"pw": ["good", "Good", f"r{i}"]}, 1, title == "")
+    cards = spark.createDataFrame([card("c1", "Dog Man", [A], ["Pilkey, Dav"]), card("c2", "", [A, B], ["pilkey dav", "Bo"], True), card("c3", "Quiet rivers", [B], ["Cy"]), card("c4", "!?", [A], []), card("c5", "Heidi", [], ["Spyri"])], shape)
+    assert {frozenset(r.ids) for r in collapse.collapse_labels(cards).groupBy("group").agg(F.collect_set("id").alias("ids")).collect()} == {frozenset({"c1", "c2", "c3", "c4"}), frozenset({"c5"})}
+    got = {r.id: r for r in collapse.collapse_cards(cards).collect()}
+    one = got["c1"]
+    assert set(got) == {"c1", "c5"} and one.title == "Dog Man" and one.authors == ["Pilkey, Dav", "Cy", "Bo"] and one.isbn_digits == [A, B] and one.row_count == 4
+    assert one.reviews == {"pw": ["good", "rc1", "rc3", "rc4", "rc2"]} and one.batches == ["b"] and one.holdings_batches == [] and one.formats.audio and one.in_collection and one.possible_duplicate
+    assert {(r.title, r.score) for r in collapse.collapse_scored(cards.where("id <> 'c3'").select(F.lit(1).alias("query_id"), "id", "title", "isbn_digits", "posted", "in_collection", F.lit(0.5).alias("score"), F.lit("title").alias("reason"))).collect()} == {("Dog Man", 0.5), ("Heidi", 0.5)}
 
 
 def test_holdings_link_and_leftovers(spark):
