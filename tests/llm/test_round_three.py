@@ -187,7 +187,7 @@ def plain_components(rows, size, similarity):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-@pytest.mark.parametrize(("similarity", "cost", "stars"), [(90, 64, 2), (90, 0, 0), (80, 2, 1), (100, 64, 1)])
+@pytest.mark.parametrize(("similarity", "cost", "stars"), [(90, 64, True), (90, 0, False), (80, 2, True), (100, 64, True)])
 def test_ngram_join(spark, similarity, cost, stars):
     rows = texts()
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n int, k string").repartition(3)
