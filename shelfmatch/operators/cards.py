@@ -105,6 +105,14 @@ def facets(cards: DataFrame) -> DataFrame:
     return each.groupBy("f.kind", "f.value").agg(F.count(F.lit(1)).alias("titles"))
 
 
+def row_facets(rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``facets`` of the cards of accepted rows, counted from the rows and their components: nothing else of a card is built."""
+    r = rows.where("group_key <> ''").join(card_labels(rows) if labels is None else labels, "group_key", "left")
+    values = F.array(F.struct(F.lit("batch").alias("kind"), cell("source_batch").alias("value")), F.struct(F.lit("level").alias("kind"), normalize_level("level").alias("value")))
+    each = r.select(F.coalesce("label", "group_key").alias("gid"), F.explode(values).alias("f")).select("gid", "f.*").where("value <> ''").distinct()
+    return each.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("titles"))
+
+
 def catalog_stats(status: DataFrame, cards: DataFrame) -> DataFrame:
     """name, value: accepted rows, cards and skipped rows by cause; status: status, n."""
     of = lambda *names: F.coalesce(F.sum(F.when(F.col("status").isin(*names), F.col("n"))), F.lit(0))

@@ -108,17 +108,21 @@ def shared_isbn_pairs(isbns: DataFrame, titles: DataFrame, hot: int = HOT) -> Da
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """key, label (the smallest key of the component) of every key in a pair; large and small stars until nothing changes."""
+    """key, label (the smallest key of the component) of every key in a pair; large and small stars until all edges lead to labels.
+
+    A node with very many neighbours holds nothing up: minima are combined before they are shuffled, and its part of
+    the joins is split by the adaptive skew join, as the other side has one row for each node.
+    """
     e = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
-    while True:
+    while not e.isEmpty():
         both = e.union(e.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         ends: Column = F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m")))
         e = stored(large.join(low, "u").select(ends.alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            return e.select(F.col("u").alias("key"), F.col("v").alias("label")).union(e.select("v", "v").distinct())
-        seen = now
+        # done when each node has one edge, to a label that has none
+        lasting = e.join(e.select(F.col("u").alias("v")), "v", "left_semi").select("v").union(e.groupBy("u").count().where("count > 1").select("u"))
+        if lasting.isEmpty():
+            break
+    return e.select(F.col("u").alias("key"), F.col("v").alias("label")).union(e.select("v", "v").distinct())

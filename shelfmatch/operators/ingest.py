@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.isbn import ISBN_COLUMNS, collect_isbns, primary_isbn
 from ..functions.text import MATERIALS, author_tokens, authors_match, cell, collapse, is_junk_title, is_staff_only, title_key
 from ..sources.listings import apply_source_hints
+from .components import stored
 
 ROW = ["source_seq", "row_seq"]
 #: Rules are a curated list; beyond this many keys they are joined by a shuffle.
@@ -27,9 +28,9 @@ def matching_rows(rows: DataFrame, rules: DataFrame, posted: Column | None = Non
     A hide rule hits its key and every key that goes on after it at a word's end; so rows are joined by
     the beginnings of their keys, as many words long as the longest rule.
     """
-    keys = rule_keys(rules)
-    fits = keys.limit(RULES_BROADCAST + 1).count() <= RULES_BROADCAST
-    longest = keys.agg(F.max(F.size(F.split("rule_key", " ")))).first()[0] or 0
+    keys = stored(rule_keys(rules))
+    n, longest = keys.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(F.split("rule_key", " "))), F.lit(0))).first()
+    fits = n <= RULES_BROADCAST
     words = F.split("key", " ")
     begun = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(max(longest, 1)))), lambda n: F.array_join(F.slice(words, 1, n), " "))
     each = rows.where("key <> ''").select("id", "key", author_tokens("author").alias("tokens"), (posted if posted is not None else F.lit(False)).alias("posted"), F.explode_outer(begun).alias("rule_key"))
@@ -63,7 +64,8 @@ def with_status(prepared: DataFrame, rules: DataFrame | None = None) -> DataFram
         .when((material != "") & ~material.isin(*MATERIALS), "material")
         .when(is_junk_title("title") | ((F.col("title") == "") & (F.size("isbns") == 0)), "empty")
     )
-    r = prepared.withColumn("status", early)
+    # stored, as keys and numbers of every row are read up to three times
+    r = stored(prepared.withColumn("status", early))
     if rules is not None:
         hits = matching_rows(r.where("status is null").select(F.struct(*ROW).alias("id"), "key", "author", "presence"), rules, F.col("presence") != "holdings")
         hits = hits.select(*(F.col(f"id.{c}").alias(c) for c in ROW), F.lit(True).alias("_hit"))

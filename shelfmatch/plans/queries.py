@@ -220,12 +220,12 @@ def card_isbns(spark, sf_dir):
 
 @query(O.with_(O.CARDS, "SELECT v AS value, count(*) AS titles FROM cb GROUP BY v"))
 def facet_batches(spark, sf_dir):
-    return C.facets(_cards(spark, sf_dir)).where("kind = 'batch'").select("value", "titles")
+    return C.row_facets(_accepted(spark, sf_dir)).where("kind = 'batch'").select("value", "titles")
 
 
 @query(O.with_(O.CARDS, "SELECT v AS value, count(*) AS titles FROM cl GROUP BY v"))
 def facet_levels(spark, sf_dir):
-    return C.facets(_cards(spark, sf_dir)).where("kind = 'level'").select("value", "titles")
+    return C.row_facets(_accepted(spark, sf_dir)).where("kind = 'level'").select("value", "titles")
 
 
 @query(O.with_(O.CARDS, """SELECT 'rows' AS name, (SELECT count(*) FROM acc) AS value UNION ALL SELECT 'skipped_duplicate', count(*) FROM st WHERE status = 'duplicate' UNION ALL SELECT 'skipped_excluded', count(*) FROM st WHERE status = 'excluded' UNION ALL SELECT 'skipped_empty', count(*) FROM st WHERE status = 'empty'
@@ -619,11 +619,20 @@ def empty_query(spark, sf_dir):
 @query(f"""WITH {O.ctes('listing_rows_big')}, k AS (SELECT {O.tk('title')} AS group_key, source_batch FROM listing_rows_big)
 SELECT source_batch AS value, count(DISTINCT group_key) AS titles FROM k GROUP BY source_batch""")
 def bulk_facets(spark, sf_dir):
-    """A whole catalogue build over the large listing, to the number of cards of each batch."""
+    """The components of the large listing, to the number of cards of each batch."""
     made = build_catalogue(_v(spark, sf_dir, "listing_rows_big"))
-    return C.facets(stored(made.cards)).where("kind = 'batch'").select("value", "titles")
+    return C.row_facets(made.rows).where("kind = 'batch'").select("value", "titles")
+
+
+@query(f"""WITH {O.ctes('listing_rows_big')}, k AS (SELECT {O.tk('title')} AS group_key, title, author, source_batch, isbn FROM listing_rows_big),
+u AS (SELECT group_key, count(*) AS n FROM (SELECT DISTINCT group_key, lower(author), source_batch, isbn FROM k) GROUP BY group_key)
+SELECT count(*) AS cards, sum(n)::BIGINT AS accepted FROM u""")
+def bulk_cards(spark, sf_dir):
+    """A whole catalogue build over the large listing: its cards and their rows."""
+    made = build_catalogue(_v(spark, sf_dir, "listing_rows_big"))
+    return stored(made.cards).agg(F.count(F.lit(1)).alias("cards"), F.sum("row_count").alias("accepted"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards per batch and level of a whole catalogue build."""
-    return C.facets(_cards(spark, sf_dir))
+    """Cards per batch and level of a whole catalogue."""
+    return C.row_facets(_accepted(spark, sf_dir))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from shelfmatch.functions import isbn as I
 from shelfmatch.functions import text as T
-from shelfmatch.operators import collapse, search
-from shelfmatch.operators.components import shared_isbn_pairs
+from shelfmatch.operators import cards as C
+from shelfmatch.operators import collapse, ingest, search
+from shelfmatch.operators.components import components, shared_isbn_pairs
 from shelfmatch.sources import collections as S
 from shelfmatch.sources.listings import split_sources
 
@@ -108,3 +109,27 @@ def test_lookup_finds_holdings_that_linked_nowhere(spark):
     assert {r.query_id: r.verdict for r in verdicts.collect()} == {1: "have_collection", 2: "have_both", 3: "dont_have"}
     hits, verdicts = lookup(queries, held.cards)
     assert {r.query_id: r.verdict for r in verdicts.collect()} == {1: "dont_have", 2: "have_both", 3: "dont_have"}
+
+
+def test_components_of_hubs_chains_and_nothing(spark):
+    rng = random.Random(3)
+    pairs = [(f"n{i:04}", "hub") for i in range(700)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)] + [(f"r{rng.randrange(90)}", f"r{rng.randrange(90)}") for _ in range(70)]
+    label = {n: n for p in pairs for n in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    got = {r.key: r.label for r in components(frame).collect()}
+    assert got == {n: label[n] for a, b in pairs if a != b for n in (a, b)}
+    assert components(frame.limit(0)).count() == 0 and components(frame.where("a = b")).count() == 0
+
+
+def test_row_facets_are_those_of_the_cards(spark):
+    rng = random.Random(7)
+    rows = [(k % 3, k, "master", rng.choice(["Dog Man", "Dogman", "Heidi", "", "Moon tale"]), rng.choice(["A", "B"]), rng.choice(["Sep 2025", "Jan 2026", ""]), rng.choice(["high", "Middle", None]), rng.choice(["9780028653785", "9781516080236", ""])) for k in range(60)]
+    accepted = ingest.accepted(spark.createDataFrame(rows, "source_seq int, row_seq long, kind string, title string, author string, source_batch string, level string, isbn string"))
+    assert {tuple(r) for r in C.row_facets(accepted).collect()} == {tuple(r) for r in C.facets(C.build_cards(accepted)).collect()}
