@@ -56,8 +56,7 @@ def candidates(q: DataFrame, t: DataFrame, min_score: float = MIN_SCORE) -> Data
     * Shared tokens: an overlap asks for some of any n - h + 1 tokens, so the rarest are joined.
     * Containment: title, loose title or authors hold the whole query, so its rarest pair of characters is joined.
     * ISBNs.
-
-    For titles of up to 350 characters; beyond, the edit score's fixed distance of unlike lengths would count for any query.
+    * Very long titles or queries (``far_pairs``).
     """
     dice, overlap = min_score / 0.86, min_score / 0.78
     asked = q.where("q.text <> ''")
@@ -89,12 +88,33 @@ def candidates(q: DataFrame, t: DataFrame, min_score: float = MIN_SCORE) -> Data
     letters = t.select("id", F.explode(F.array_distinct(F.split(F.concat("t.key", "t.loose", "t.authors"), ""))).alias("g"))
     pairs.append(single.join(letters, "g").select("query_id", "id"))
     pairs.append(lookup_pairs(q, t))
+    pairs.append(far_pairs(q, t))
     out = pairs[0]
     for d in pairs[1:]:
         out = out.union(d)
     return out.distinct()
 
 
+#: Characters from which the fixed distance of unlike lengths (99) is less than 0.28 of the longer text.
+FAR = 354
+#: Blocks of queries that a very long title meets one after another.
+FAR_BLOCKS = 64
+
+
+def far_pairs(q: DataFrame, t: DataFrame) -> DataFrame:
+    """Pairs (query_id, id) that score by their lengths alone: FAR characters in one and over eight fewer in the other.
+
+    Each such pair is a hit, whatever its words, so they are as many as the hits; queries are dealt to blocks.
+    """
+    asked = q.where("q.key <> ''").select("query_id", F.length("q.text").alias("la"), F.pmod(F.xxhash64("query_id"), F.lit(FAR_BLOCKS)).alias("block"))
+    titled = t.where("t.key <> ''").select("id", F.length("t.key").alias("lb"), F.pmod(F.xxhash64("id"), F.lit(FAR_BLOCKS)).alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(FAR_BLOCKS - 1))).alias("block")
+    apart = F.abs(F.col("la") - F.col("lb")) > 8
+    long_titles = titled.where(F.col("lb") >= FAR).select("id", "lb", every).join(asked, "block").where(apart)
+    long_queries = asked.where(F.col("la") >= FAR).select("query_id", "la", every).join(titled.where(F.col("lb") < FAR), "block").where(apart)
+    return long_titles.select("query_id", "id").union(long_queries.select("query_id", "id"))
+
+
 def _parts(d: Column) -> Column:
     """A number and its parts of 10 to 13 characters."""
     n = F.length(d)

@@ -32,7 +32,9 @@ def test_candidates_hold_every_scored_pair(spark):
     words = ["river", "rivers", "stone", "garden", "gardan", "moon", "light", "a", "of", "12", "tale", "x"]
     make = lambda: " ".join(rng.choices(words, k=rng.randint(1, 5)))
     cards = spark.createDataFrame([(f"c{i}", make(), [f"Writer {make()}"], [f"97800000000{i:02d}"]) for i in range(60)], "id string, title string, authors array<string>, isbn_digits array<string>")
-    queries = spark.createDataFrame([(i, make() if i % 3 else rng.choice(["rivr ston", "x", "9780000000012", "garden moon lihgt", "", "writer"])) for i in range(40)], "query_id long, query string")
+    far = [(" ".join(rng.choices(words, k=90)) + " " * 0)[:n] for n in (349, 350, 353, 354, 357, 360, 362, 370)]
+    cards = cards.union(spark.createDataFrame([(f"f{i}", t, ["Far"], []) for i, t in enumerate(far)], cards.schema))
+    queries = spark.createDataFrame([(900, far[5][:-3] + "zz"), (901, far[7][9:]), (902, far[0])] + [(i, make() if i % 3 else rng.choice(["rivr ston", "x", "9780000000012", "garden moon lihgt", "", "writer"])) for i in range(40)], "query_id long, query string")
     for least in (0.42, 0.18):
         q, t = search.prepare_queries(queries), search.prepare_cards(cards)
         every = q.crossJoin(t).withColumn("s", search.title_score("q", "t")).where(F.col("s.score") >= least).select("query_id", "id")
