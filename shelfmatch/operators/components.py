@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import titles_related
@@ -16,17 +16,22 @@ from ..functions.text import folded_key, significant_tokens
 _own: list[str] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A table written to the shared folder (spark.checkpoint.dir) and read again, so that plans stay short."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def workspace(spark: SparkSession) -> str:
+    """A new folder in the shared folder (spark.checkpoint.dir)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # tests and local sessions
-        if df.sparkSession.sparkContext.master.split("[")[0] != "local":
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="shelfmatch-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         base = f"file://{_own[0]}"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again, so that plans stay short."""
+    path = workspace(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

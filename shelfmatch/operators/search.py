@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.isbn import isbn13_to_10, isbn_search_digits, looks_like_isbn
-from ..functions.similarity import bigrams, overlap_tokens, score_parts, title_score
+from ..functions.similarity import EXACT, bigrams, overlap_tokens, score_parts, title_score
 from ..functions.text import author_tokens, authors_compatible, cell, loose_key, title_key, tokenize
 from .components import stored
 
@@ -159,6 +159,17 @@ def isbn_fallback(queries: DataFrame, cards: DataFrame, holdings: DataFrame) ->
     return out.select("query_id", "id", F.coalesce("a.id", "b.id").alias("card"))
 
 
+def with_fallback(hits: DataFrame, queries: DataFrame, cards: DataFrame, left: DataFrame) -> DataFrame:
+    """Hits in which an ISBN query that no card answers has one: the card that the holdings record of its number belongs to, or the record.
+
+    left: of ``leftover_cards``; hits: query_id, id, title, score, reason.
+    """
+    found = stored(isbn_fallback(queries, cards, left).select("query_id", F.coalesce("card", F.substring("id", 3, 20)).alias("id")))
+    named = cards.select("id", "title").union(left.select("id", "title"))
+    new = found.join(named, "id").select("query_id", "id", "title", F.lit(EXACT).alias("score"), F.lit("isbn").alias("reason"))
+    return hits.select("query_id", "id", "title", "score", "reason").join(found.select("query_id"), "query_id", "left_anti").union(new)
+
+
 def score(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """query_id, id, title, score, reason of all pairs from min_score on; ISBN queries with a card of theirs get that alone."""
     q, t = stored(prepare_queries(queries)), stored(prepare_cards(cards))  # each is read for every way and scored as stored

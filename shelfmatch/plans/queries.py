@@ -11,8 +11,8 @@ from ..functions import isbn as I
 from ..functions import similarity as M
 from ..functions import text as T
 from ..operators import cards as C
-from ..operators import collapse, holdings, incremental, ingest, search
-from ..operators.components import components, shared_isbn_pairs, stored
+from ..operators import collapse, holdings, incremental, ingest, search, tokenindex
+from ..operators.components import components, shared_isbn_pairs, stored, workspace
 from ..sources import collections as S
 from ..sources.listings import BATCHES, canonicalize_columns, detect_source_kind, pick_holdings_sources, select_sheets
 from . import oracle as O
@@ -601,6 +601,24 @@ def token_search(spark, sf_dir):
     return search.token_search(spark.table("lookup_queries"), tokens)
 
 
+@query(ORACLE_SQL["token_search"])
+def stored_token_search(spark, sf_dir):
+    """The same from an index that is stored and read again."""
+    path = workspace(spark)
+    tokenindex.save(tokenindex.build(search.search_index(_indexed(spark, sf_dir))[1]), path)
+    return tokenindex.search(spark.table("lookup_queries"), tokenindex.load(spark, path))
+
+
+@query(O.with_(O.CARDS, "SELECT id, key, title, row_count FROM card"))
+def stored_collection(spark, sf_dir):
+    """Cards stored in shards with half of them outdated, then put right shard by shard."""
+    cards, path, none = _cards(spark, sf_dir), workspace(spark), spark.createDataFrame([], "key string")
+    counts = cards.agg(F.count(F.lit(1)).alias("n"))
+    S.write_collection(cards.withColumn("title", F.when(F.col("row_count") > 1, "old").otherwise(F.col("title"))), counts, counts, path, shards=8)
+    S.update_collection(cards.where("row_count > 1"), none, counts, counts, path)
+    return S.read_cards(spark, path).select("id", "key", "title", "row_count")
+
+
 @query()
 def enriched_search(spark, sf_dir):
     """Scored works of each query together with the holdings that linked nowhere: all hits are enriched, then collapsed, then cut."""

@@ -46,15 +46,18 @@ def attach_holdings(cards: DataFrame, rows: DataFrame, rules: DataFrame | None =
 def lookup(queries: DataFrame, cards: DataFrame, batch: str = "all", level: str = "all", limit: int = search.LIMIT, leftovers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Ranked hits and the verdict of every query, over the collapsed cards of a batch and level.
 
-    With leftovers (of ``Holdings``), and neither batch nor level asked for, holdings that linked nowhere are found, too.
+    With leftovers (of ``Holdings``) holdings that linked nowhere are found, too: by their words where neither batch nor level is asked
+    for, and always by an ISBN that no work has.
     """
-    pool = stored(collapse.collapse_cards(C.browse(cards, batch, level)))
+    pool = stored(collapse.browse_works(cards, batch, level))
     works = pool.select("id", "title", "isbn_digits", "posted", "in_collection")
-    if leftovers is None or batch != "all" or level != "all":
+    left = None if leftovers is None else stored(search.leftover_cards(leftovers))
+    if left is None or batch != "all" or level != "all":
         hits = search.score(queries, pool)
     else:
-        left = stored(search.leftover_cards(leftovers))
         hits = search.enriched(queries, pool, left)
+    if left is not None:
         works = works.union(left.select(*works.columns))
+        hits = search.with_fallback(stored(hits), queries, pool, left)
     ranked = stored(search.top_k(hits, limit))
     return ranked, search.verdicts(queries, search.classify(ranked, works), works)

@@ -21,18 +21,66 @@ def load_exclusions(spark: SparkSession, path: str) -> DataFrame:
     return rules.where("title <> '' and author <> ''")
 
 
-def write_collection(cards: DataFrame, facets: DataFrame, stats: DataFrame, path: str, shards: int = 16) -> None:
-    """Cards in ``shards`` folders by a hash of their key, so that a key is found by reading one; facets and counters beside them."""
-    cards.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/cards")
+#: Cards of a shard where no number of shards is given.
+SHARD_ROWS = 50_000
+
+
+def _shard(key: str, shards: int):
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+
+
+def write_collection(cards: DataFrame, facets: DataFrame, stats: DataFrame, path: str, shards: int | None = None) -> None:
+    """Cards in folders by a hash of their key, so that a key is found by reading one; facets and counters beside them.
+
+    The number of shards follows the number of cards and is kept with them.
+    """
+    spark = cards.sparkSession
+    shards = shards or max(1, -(-cards.count() // SHARD_ROWS))
+    cards.withColumn("shard", _shard("key", shards)).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/cards")
+    spark.createDataFrame([(shards,)], "shards int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
+    _beside(facets, stats, path)
+
+
+def _beside(facets: DataFrame, stats: DataFrame, path: str) -> None:
     facets.coalesce(1).write.mode("overwrite").parquet(f"{path}/facets")
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def read_cards(spark: SparkSession, path: str, keys: DataFrame | None = None, shards: int = 16) -> DataFrame:
+def shards_of(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/layout").first()["shards"]
+
+
+def _pruned(cards: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
+    """Stored cards of the shards that hold the keys; their numbers are in the plan, so other folders aren't listed or read."""
+    wanted = [r[0] for r in keys.select(_shard("key", shards)).distinct().collect()]  # shards at most
+    return cards.where(F.col("shard").isin(wanted))
+
+
+def update_collection(changed: DataFrame, gone: DataFrame, facets: DataFrame, stats: DataFrame, path: str) -> None:
+    """Puts changed cards in place of those with their keys and takes out the keys of gone (column key); only touched shards are written.
+
+    A shard that loses its last card stays as an empty folder.
+    """
+    spark = changed.sparkSession
+    shards = shards_of(spark, path)
+    keys = stored(changed.select("key").union(gone.select("key")).distinct())
+    old = _pruned(spark.read.parquet(f"{path}/cards"), keys, shards)
+    kept = old.join(keys, "key", "left_anti")
+    # written elsewhere first: a table can't be overwritten while it is read
+    now = stored(kept.unionByName(changed.withColumn("shard", _shard("key", shards))))
+    now.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{path}/cards")
+    left = {r["shard"] for r in now.select("shard").distinct().collect()}
+    emptied = [r["shard"] for r in old.select("shard").distinct().where(~F.col("shard").isin(list(left))).collect()] if left else [r["shard"] for r in old.select("shard").distinct().collect()]
+    for shard in emptied:  # dynamic overwriting leaves a shard alone that nothing is written to
+        now.limit(0).drop("shard").write.mode("overwrite").parquet(f"{path}/cards/shard={shard}")
+    _beside(facets, stats, path)
+
+
+def read_cards(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
     """Stored cards; with ``keys`` (column key) only those, from their shards."""
     cards = spark.read.parquet(f"{path}/cards")
     if keys is not None:
-        cards = cards.join(keys.select("key", F.pmod(F.xxhash64("key"), F.lit(shards)).cast(cards.schema["shard"].dataType).alias("shard")).distinct(), ["key", "shard"], "left_semi")
+        cards = _pruned(cards, keys, shards_of(spark, path)).join(keys.select("key").distinct(), "key", "left_semi")
     return cards.drop("shard")
 
 

@@ -1,6 +1,7 @@
 """Ways for hot keys, incremental builds, stored cards and merged lists, on small tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 from shelfmatch.functions import isbn as I
 from shelfmatch.functions import text as T
 from shelfmatch.operators import cards as C
-from shelfmatch.operators import collapse, ingest, search
-from shelfmatch.operators.components import components, shared_isbn_pairs
+from shelfmatch.operators import collapse, ingest, search, tokenindex
+from shelfmatch.operators.components import components, shared_isbn_pairs, stored
 from shelfmatch.sources import collections as S
 from shelfmatch.sources.listings import split_sources
 
@@ -73,7 +74,7 @@ def test_stored_cards_are_found_by_shard(spark, tmp_path):
     S.write_collection(cards, counts, counts, str(tmp_path), shards=4)
     assert S.read_cards(spark, str(tmp_path)).count() == 50
     wanted = spark.createDataFrame([("k7",), ("k7",), ("none",)], "key string")
-    assert [tuple(r) for r in S.read_cards(spark, str(tmp_path), wanted, shards=4).collect()] == [("k7", 7)]
+    assert [tuple(r) for r in S.read_cards(spark, str(tmp_path), wanted).collect()] == [("k7", 7)]
 
 
 def test_holdings_rows_are_stored_by_number(spark):
@@ -135,3 +136,37 @@ def test_row_facets_are_those_of_the_cards(spark):
     rows = [(k % 3, k, "master", rng.choice(["Dog Man", "Dogman", "Heidi", "", "Moon tale"]), rng.choice(["A", "B"]), rng.choice(["Sep 2025", "Jan 2026", ""]), rng.choice(["high", "Middle", None]), rng.choice(["9780028653785", "9781516080236", ""])) for k in range(60)]
     accepted = ingest.accepted(spark.createDataFrame(rows, "source_seq int, row_seq long, kind string, title string, author string, source_batch string, level string, isbn string"))
     assert {tuple(r) for r in C.row_facets(accepted).collect()} == {tuple(r) for r in C.facets(C.build_cards(accepted)).collect()}
+
+
+def test_only_touched_shards_are_written_and_read(spark, tmp_path):
+    cards = spark.range(300).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+    counts = cards.agg(F.count("*").alias("n"))
+    path = str(tmp_path)
+    S.write_collection(cards, counts, counts, path, shards=32)
+    files = lambda: {p: p.stat().st_mtime_ns for p in tmp_path.glob("cards/shard=*/*.parquet")}
+    before = files()
+    changed = spark.createDataFrame([("k7", -7), ("new", -1)], "key string, id long")
+    S.update_collection(changed, spark.createDataFrame([("k9",)], "key string"), counts, counts, path)
+    got = {r.key: r.id for r in S.read_cards(spark, path).collect()}
+    assert got == {f"k{i}": i for i in range(300) if i != 9} | {"k7": -7, "new": -1}
+    after = files()
+    assert len({p.parent for p in before.items() ^ after.items() for p in [p[0]]}) <= 3
+    one = S.read_cards(spark, path, spark.createDataFrame([("k7",)], "key string"))
+    assert [r.id for r in one.collect()] == [-7]
+    assert re.search(r"PartitionFilters: \[[^\]]*shard#\d+ (=|IN)", one._jdf.queryExecution().executedPlan().toString())
+    gone = S.read_cards(spark, path).select("key")
+    S.update_collection(changed.limit(0), stored(gone), counts, counts, path)
+    assert S.read_cards(spark, path).count() == 0
+
+
+def test_stored_index_finds_what_plain_search_finds(spark, tmp_path):
+    rng = random.Random(9)
+    words = ["ocean", "oceans", "oceanic", "sea", "deep", "deeper", "dee", "blue", "bl", "sun", "sunny", "river"]
+    tokens = spark.createDataFrame(sorted({(i, w) for i in range(150) for w in rng.choices(words, k=4)}) + [(1000 + i, "common") for i in range(3000)], "row_id long, token string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices([*words, "ocea", "de", "sunn", "none", "comm"], k=rng.randint(1, 3)))) for i in range(60)] + [(99, ""), (98, None)], "query_id long, query string")
+    index = tokenindex.build(tokens)
+    tokenindex.save(index, str(tmp_path / "ix"))
+    found = lambda d: sorted(map(tuple, d.select("query_id", "row_id", "rank").collect()))
+    assert found(tokenindex.search(queries, tokenindex.load(spark, str(tmp_path / "ix")))) == found(search.token_search(queries, tokens))
+    assert index.postings.agg(F.max(F.size("row_ids"))).first()[0] < 2 * tokenindex.BLOCK
+    assert tokenindex.search(queries, tokenindex.build(tokens.limit(0))).count() == 0
