@@ -150,9 +150,33 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> dict:
     return boosting.fit(x, y, weight=w)
 
 
-def _text(page: str, model: dict) -> str:
-    tree = Tree(page)
-    return "\n".join(decode(tree, np.concatenate([boosting.predict(model, x) for x in feature_rows(tree)])))
+#: Nodes that are scored at once.
+NODES = 20_000
+
+
+def _texts(pages, model: dict):
+    """The main text of each page in turn; small pages are scored together, a large one in blocks."""
+    held, n = [], 0
+    for page in pages:
+        held.append(Tree(page))
+        n += len(held[-1].tag)
+        if n >= NODES:
+            yield from _decoded(held, model)
+            held, n = [], 0
+    yield from _decoded(held, model)
+
+
+def _decoded(trees: list[Tree], model: dict):
+    if len(trees) > 1:
+        last = trees.pop()  # the one that may be large
+        p = boosting.predict(model, np.concatenate([features(t) for t in trees]))
+        at = 0
+        for t in trees:
+            yield "\n".join(decode(t, p[at : at + len(t.tag)]))
+            at += len(t.tag)
+        trees = [last]
+    for t in trees:
+        yield "\n".join(decode(t, np.concatenate([boosting.predict(model, x) for x in feature_rows(t)])))
 
 
 def main_text(pages: DataFrame, model: dict | None = None) -> DataFrame:
@@ -165,7 +189,7 @@ def main_text(pages: DataFrame, model: dict | None = None) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                out = [_text(h.as_py() or "", model) for h in part.column(2)]
+                out = list(_texts((h.as_py() or "" for h in part.column(2)), model))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -210,6 +210,14 @@ def test_features_come_in_blocks():
     assert (np.concatenate(list(dom.feature_rows(t, 3))) == dom.features(t)).all()
 
 
+def test_pages_scored_together_or_alone():
+    rng = random.Random(2)
+    pages = [htmlmain.layout(rng, "a b", [htmlmain._spoken(rng, 20)] * 3, []) for _ in range(7)] + ["", "<p>x"]
+    x, y, w = htmlmain.training(pages)
+    model = boosting.fit(x, y, trees=5, weight=w)
+    assert list(htmlmain._texts(pages, model)) == [next(htmlmain._texts([p], model)) for p in pages]
+
+
 def test_unmarked_pages_to_the_letter():
     """The whole text of pages without article or main; some of their nameless headings could be of either part."""
     rng = random.Random(31)
@@ -222,5 +230,5 @@ def test_unmarked_pages_to_the_letter():
         t = dom.Tree(page)
         mark = htmlmain._inherited(t, t.mark)
         n += 1
-        right += htmlmain._text(page, model) == "\n".join(b for k, b, _ in t.blocks if mark[k] == 1)
+        right += next(htmlmain._texts([page], model)) == "\n".join(b for k, b, _ in t.blocks if mark[k] == 1)
     assert right / n > 0.6
