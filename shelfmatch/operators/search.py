@@ -164,7 +164,7 @@ def with_fallback(hits: DataFrame, queries: DataFrame, cards: DataFrame, left: D
 
     left: of ``leftover_cards``; hits: query_id, id, title, score, reason.
     """
-    found = stored(isbn_fallback(queries, cards, left).select("query_id", F.coalesce("card", F.substring("id", 3, 20)).alias("id")))
+    found = stored(isbn_fallback(queries, cards, left.select("row_id", "isbn13", "extras", "author", "title")).select("query_id", F.coalesce("card", F.substring("id", 3, 20)).alias("id")))
     named = cards.select("id", "title").union(left.select("id", "title"))
     new = found.join(named, "id").select("query_id", "id", "title", F.lit(EXACT).alias("score"), F.lit("isbn").alias("reason"))
     return hits.select("query_id", "id", "title", "score", "reason").join(found.select("query_id"), "query_id", "left_anti").union(new)

@@ -14,7 +14,7 @@ from ..operators import cards as C
 from ..operators import collapse, holdings, incremental, ingest, search, tokenindex
 from ..operators.components import components, shared_isbn_pairs, stored, workspace
 from ..sources import collections as S
-from ..sources.listings import BATCHES, canonicalize_columns, detect_source_kind, pick_holdings_sources, select_sheets
+from ..sources.listings import BATCHES, canonicalize_columns, detect_source_kind, pick_holdings_sources, read_listings, select_sheets
 from . import oracle as O
 from . import views
 from .workloads import build_catalogue
@@ -101,6 +101,32 @@ def batch_order(spark, sf_dir):
     return one.select(F.posexplode("all").alias("p", "batch")).select("batch", (F.col("p") + 1).cast("long").alias("place"))
 
 
+@query(f"""WITH {O.ctes('listing_rows')}, l AS (SELECT DISTINCT {O.level('level')} AS v FROM listing_rows)
+SELECT v AS level, row_number() OVER (ORDER BY coalesce(list_position(['Elementary', 'Middle', 'High'], v), 1000), v) AS place FROM l WHERE v <> ''""")
+def level_order(spark, sf_dir):
+    """The distinct levels of all rows in the order of the desk."""
+    v = _v(spark, sf_dir, "listing_rows").select(T.normalize_level("level").alias("v")).where("v <> ''").distinct()
+    return v.agg(T.sort_levels(F.collect_list("v")).alias("all")).select(F.posexplode("all").alias("p", "level")).select("level", (F.col("p") + 1).cast("long").alias("place"))
+
+
+@query(f"WITH {O.ctes('listing_rows')} SELECT row_seq, source_seq, title, author, level, isbn FROM listing_rows")
+def listing_files(spark, sf_dir):
+    """All listing rows written as files, each list with headers and a format of its own, and read again in their order."""
+    rows, path = _v(spark, sf_dir, "listing_rows"), workspace(spark)
+    texts = rows.select("source_seq", F.col("row_seq").cast("string").alias("Title ID"), F.col("title").alias("Book Title"), F.col("author").alias("Author Name"), F.col("level").alias("Grade-Level"), F.col("isbn").alias("ISBN"))
+    paths, labels = [], []
+    for k in range(7):  # the seven lists
+        one, form = texts.where(F.col("source_seq") == k).drop("source_seq"), ("csv", "json", "parquet")[k % 3]
+        one = one if k % 2 else one.withColumnsRenamed({"Book Title": "Title/Subtitle", "ISBN": "isbn", "Author Name": "Creator"})
+        w = one.write.option("header", True).option("escape", '"').option("ignoreNullFields", False).option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False)
+        getattr(w, form)(f"{path}/{k}")
+        files = sorted(r.path for r in spark.read.format("binaryFile").load(f"{path}/{k}/*.{form}").select("path").collect())
+        paths, labels = [*paths, *files], [*labels, *[str(k)] * len(files)]
+    got = read_listings(spark, paths, labels)
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return got.select(F.col("title_id").cast("long").alias("row_seq"), F.col("source_label").cast("int").alias("source_seq"), *map(blank, ("title", "author", "level", "isbn")))
+
+
 #: File names, sheets and headers drawn by a row's number and length: SQL text for both engines.
 _FILE = """'in/' || CASE row_seq % 9 WHEN 0 THEN 'District-Report-' WHEN 1 THEN 'SORA export ' WHEN 2 THEN 'eBook-list ' WHEN 3 THEN 'my ebook-list ' WHEN 4 THEN 'All-Campuses ' WHEN 5 THEN 'Curated List ' WHEN 6 THEN 'curated-list/' ELSE 'list ' END || cast(row_seq AS string) || '.xlsx'"""
 _SHEET = "CASE row_seq % 7 WHEN 0 THEN 'District Report 1' WHEN 1 THEN 'Title Status' WHEN 2 THEN 'MS Books' WHEN 3 THEN 'curated list' ELSE 'Sheet' || cast(row_seq AS string) END"
@@ -413,6 +439,14 @@ def holdings_leftovers(spark, sf_dir):
     return left.select("isbn13", "isbn10", _joined("extras").alias("extras"), "author", "title", "series", "format", "rows")
 
 
+@query(O.with_(_LINKED, f"""SELECT 'holdings_linked' AS name, count(*) AS value FROM lnk WHERE card IS NOT NULL UNION ALL SELECT 'holdings_only_isbns', count(*) FROM lnk WHERE card IS NULL UNION ALL SELECT 'holdings_only', count(DISTINCT nullif({O.tk('title')}, '')) + count(*) FILTER (WHERE {O.tk('title')} = '') FROM lnk WHERE card IS NULL"""))
+def holdings_linked_counters(spark, sf_dir):
+    """The counters of records that link to the cards of all lists."""
+    linked = _linked(spark, sf_dir)
+    marked = holdings.with_status(_v(spark, sf_dir, "holdings_rows"), spark.table("exclusion_rules"))
+    return holdings.counters(marked, linked, holdings.leftovers(linked)).where("name in ('holdings_linked', 'holdings_only_isbns', 'holdings_only')")
+
+
 @query(f"""WITH {HOLDINGS}, g AS (SELECT *, {O.tk('title')} AS k FROM hrec),
 t AS (SELECT k, string_agg(isbn13, '|' ORDER BY CASE WHEN starts_with(isbn13, '978') THEN 0 ELSE 1 END, isbn13) AS isbns, bit_or(format) AS format, sum(rows)::BIGINT AS rows FROM g WHERE k <> '' GROUP BY k)
 SELECT isbns, format, rows FROM t UNION ALL SELECT isbn13, format, rows FROM g WHERE k = ''""")

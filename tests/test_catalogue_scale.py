@@ -106,12 +106,15 @@ def test_lookup_finds_holdings_that_linked_nowhere(spark):
     listed = spark.createDataFrame([(0, 1, "master", "Quiet rivers", "Ann Poe", "Sep 2025", "High", "9780028653785")], "source_seq int, row_seq long, kind string, title string, author string, source_batch string, level string, isbn string")
     rows = [(1, "r", "Moonlit gardens", "", "Bo Lee", "9781516080236", "Book"), (2, "r", "Quiet rivers", "", "Ann Poe", "9780028653785", "Book")]
     held = attach_holdings(build_catalogue(listed).cards, spark.createDataFrame(rows, "row_seq long, source_label string, title string, series_title string, author string, isbn string, material_type string"))
-    queries = spark.createDataFrame([(1, "moonlit gardens"), (2, "quiet rivers"), (3, "nothing such")], "query_id long, query string")
+    queries = spark.createDataFrame([(1, "moonlit gardens"), (2, "quiet rivers"), (3, "nothing such"), (4, "978-1-5160-8023-6")], "query_id long, query string")
     hits, verdicts = lookup(queries, held.cards, leftovers=held.leftovers)
     assert {(r.query_id, r.id) for r in hits.collect() if r.score > 0.9} >= {(1, "9781516080236")}
-    assert {r.query_id: r.verdict for r in verdicts.collect()} == {1: "have_collection", 2: "have_both", 3: "dont_have"}
+    assert {r.query_id: r.verdict for r in verdicts.collect()} == {1: "have_collection", 2: "have_both", 3: "dont_have", 4: "have_collection"}
+    assert [(r.id, r.score, r.reason) for r in hits.where("query_id = 4").collect()] == [("9781516080236", 1.0, "isbn")]
+    far = lookup(queries, held.cards, level="Middle", leftovers=held.leftovers)[1]
+    assert {r.query_id: r.verdict for r in far.collect()} == {1: "dont_have", 2: "dont_have", 3: "dont_have", 4: "have_collection"}
     hits, verdicts = lookup(queries, held.cards)
-    assert {r.query_id: r.verdict for r in verdicts.collect()} == {1: "dont_have", 2: "have_both", 3: "dont_have"}
+    assert {r.query_id: r.verdict for r in verdicts.collect()} == {1: "dont_have", 2: "have_both", 3: "dont_have", 4: "dont_have"}
 
 
 def test_components_of_hubs_chains_and_nothing(spark):
