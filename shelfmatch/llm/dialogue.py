@@ -245,6 +245,7 @@ def with_faults(rows: DataFrame) -> DataFrame:
     said = rows.where(~F.col("gone") & (_last("text") != ""))
     open_ = F.max(F.col("turn").isNull()).alias("open")  # a null turn is before all others
     again = said.groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("h").alias("g")).agg(open_, F.min("turn").alias("first"), F.max("turn").alias("last")).where("first < last or (open and first is not null)").drop("last")
+    again = written(again)  # read for the ranges, for the pieces and for the digests
     r = rows.join(again, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("h") == F.col("g")), "left")
     fault = F.when(F.col("gone"), GONE).when(_last("text") == "", BLANK).when((F.col("turn") > F.col("first")) | (F.col("open") & F.col("turn").isNotNull()), DUPLICATE).when(~_last("text").isin(".", "!", "?"), TRUNCATED)
     return r.select(*ORDER, "text", fault.alias("fault"))
