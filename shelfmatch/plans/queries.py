@@ -462,6 +462,15 @@ def compact_roundtrip(spark, sf_dir):
     return S.decode_holdings(*(stored(d) for d in S.encode_holdings(records))).select("isbn13", "author", "label", "format")
 
 
+@query(ORACLE_SQL["compact_roundtrip"])
+def compact_files(spark, sf_dir):
+    """The same through files."""
+    records = holdings.by_isbn(holdings.with_status(_v(spark, sf_dir, "holdings_rows"), spark.table("exclusion_rules"))).withColumn("extras", F.array().cast("array<string>"))
+    path = workspace(spark)
+    S.write_compact_holdings(records, path)
+    return S.read_compact_holdings(spark, path).select("isbn13", "author", "label", "format")
+
+
 @query(f"""WITH {O.ctes('holdings_rows')}, h AS (SELECT row_seq, row_seq % 5 AS label, CASE WHEN row_seq % 5 IN (1, 3) THEN ' ' ELSE title END AS title FROM holdings_rows)
 SELECT row_seq FROM h WHERE label IN (SELECT label FROM h WHERE {O.cell('title')} <> '')""")
 def holdings_sources(spark, sf_dir):

@@ -109,3 +109,36 @@ def encode_holdings(holdings: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
 
 def decode_holdings(authors: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(authors.withColumnsRenamed({"value": "author", "ix": "author_ix"}), "author_ix").join(labels.withColumnsRenamed({"value": "label", "ix": "label_ix"}), "label_ix").select("isbn13", "author", "label", "format", "extras")
+
+
+#: Numbers up to which a lookup is a filter in the scan; more are joined.
+POINTS = 1000
+
+
+def write_compact_holdings(holdings: DataFrame, path: str) -> None:
+    """Authors, labels and rows as files: rows sorted by number over all files, numbers and places in tables stored as differences.
+
+    The files' own statistics are the index: what holds a number is found without reading the rest.
+    """
+    authors, labels, rows = encode_holdings(holdings)
+    text = F.when(F.col("isbn_number").isNull() | (F.lpad(F.col("isbn_number").cast("string"), 13, "0") != F.col("isbn13")), F.col("isbn13"))
+    rows = rows.select("isbn_number", text.alias("isbn_text"), "author_ix", "label_ix", "format", "extras")
+    delta = lambda d: d.write.mode("overwrite").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").option("compression", "zstd")
+    for name, table in (("authors", authors.orderBy("ix")), ("labels", labels.orderBy("ix")), ("rows", rows)):
+        delta(table).parquet(f"{path}/{name}")
+
+
+def read_compact_holdings(spark: SparkSession, path: str, isbns: DataFrame | None = None, ordered: bool = False) -> DataFrame:
+    """isbn13, author, label, format and extras of stored holdings; with isbns (column isbn13) of those alone; ordered: by number."""
+    authors, labels, rows = (spark.read.parquet(f"{path}/{name}") for name in ("authors", "labels", "rows"))
+    if isbns is not None:
+        wanted = isbns.select(F.col("isbn13").try_cast("long").alias("isbn_number"), "isbn13").distinct()
+        few = [r[0] for r in wanted.limit(POINTS + 1).select("isbn_number").collect()]
+        if len(few) <= POINTS and None not in few:
+            rows = rows.where(F.col("isbn_number").isin(few))
+    number = F.coalesce("isbn_text", F.lpad(F.col("isbn_number").cast("string"), 13, "0"))
+    rows = rows.withColumn("isbn13", number)
+    if isbns is not None:
+        rows = rows.join(wanted.select("isbn13"), "isbn13", "left_semi")
+    out = decode_holdings(authors, labels, rows.select("isbn_number", "isbn13", "author_ix", "label_ix", "format", "extras"))
+    return out.orderBy(F.col("isbn13").try_cast("long"), "isbn13") if ordered else out

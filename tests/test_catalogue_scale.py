@@ -173,3 +173,22 @@ def test_stored_index_finds_what_plain_search_finds(spark, tmp_path):
     assert found(tokenindex.search(queries, tokenindex.load(spark, str(tmp_path / "ix")))) == found(search.token_search(queries, tokens))
     assert index.postings.agg(F.max(F.size("row_ids"))).first()[0] < 2 * tokenindex.BLOCK
     assert tokenindex.search(queries, tokenindex.build(tokens.limit(0))).count() == 0
+
+
+def test_compact_holdings_files(spark, tmp_path):
+    rows = [(f"978{i * 37 % 100000:010d}", f"A{i % 5}" if i % 3 else "", f"t{i % 7}", "", i % 8, [f"x{i}"] if i % 2 else []) for i in range(400)] + [("97800000000X1", "B", "", "s", 1, []), ("0009780000000", "B", "", "s", 2, [])]
+    held = spark.createDataFrame(rows, "isbn13 string, author string, title string, series string, format int, extras array<string>")
+    path = str(tmp_path / "held")
+    S.write_compact_holdings(held, path)
+    want = {r[0]: (r[1], r[2] or r[3], r[4], r[5]) for r in rows}
+    got = S.read_compact_holdings(spark, path, ordered=True).collect()
+    assert {r.isbn13: (r.author, r.label, r.format, r.extras) for r in got} == want and len(got) == len(rows)
+    numbers = [int(r.isbn13) for r in got if r.isbn13.isdigit()]
+    assert numbers == sorted(numbers)
+    one = S.read_compact_holdings(spark, path, spark.createDataFrame([(rows[7][0],), ("9789999999999",)], "isbn13 string"))
+    assert [r.isbn13 for r in one.collect()] == [rows[7][0]]
+    assert re.search(r"PushedFilters: \[[^\]]*isbn_number", one._jdf.queryExecution().executedPlan().toString())
+    odd = S.read_compact_holdings(spark, path, spark.createDataFrame([("97800000000X1",), ("0009780000000",)], "isbn13 string"))
+    assert {r.isbn13 for r in odd.collect()} == {"97800000000X1", "0009780000000"}
+    S.write_compact_holdings(held.limit(0), str(tmp_path / "none"))
+    assert S.read_compact_holdings(spark, str(tmp_path / "none")).count() == 0
