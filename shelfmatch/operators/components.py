@@ -52,36 +52,41 @@ def _grams(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array(c))
 
 
+def _without_one(w: Column) -> Column:
+    """A word, and what it is without each of its letters in turn where it has five or more."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    return F.when(F.length(w) >= 5, F.array_distinct(F.concat(F.array(w), cut))).otherwise(F.array(w))
+
+
 def related_candidates(owners: DataFrame) -> DataFrame:
     """Pairs a < b of keys of one ISBN, among them all related ones, without pairing all: owners: isbn, key, fk (folded title).
 
     A title inside another, or the beginning of one (six characters or more without blanks), shares each of its
     parts of five characters: it meets the others by its rarest part; shorter ones are related if equal.  A title whose words
     (two or more, of three letters or more) are all in another meets it by its rarest word.  Where at least three and three quarters of the words
-    are alike but for one edit, one of any n - h + 1 words is; alike words share their first or last two letters.
+    are alike but for one edit, one of any n - h + 1 words is; alike words are equal, or become so when one or each of them loses a letter.
     """
     o = owners.withColumns({"compact": F.regexp_replace("fk", " ", ""), "words": significant_tokens(F.col("fk"))})
     parts = o.select("isbn", "key", F.explode(F.array_distinct(_grams(F.col("compact"), 5))).alias("g")).distinct()
     pairs = [_rarest(parts, parts, F.lit(1)).join(parts.withColumnRenamed("key", "other"), ["isbn", "g"])]
-    ends = lambda w: F.array(F.concat(F.lit("<"), F.substring(w, 1, 2)), F.concat(F.lit(">"), F.right(w, F.lit(2))))
     words = o.where(F.size("words") >= 2).select("isbn", "key", "fk", F.explode(F.array_distinct("words")).alias("w"))
     known = o.select("isbn", "key", F.explode("words").alias("g")).distinct()
     pairs.append(_rarest(words.select("isbn", "key", F.col("w").alias("g")).distinct(), known, F.lit(1)).join(known.withColumnRenamed("key", "other"), ["isbn", "g"]))
     many = o.where(F.size("words") >= 3)
-    alike = many.select("isbn", "key", F.explode(F.flatten(F.transform("words", ends))).alias("g")).distinct()
-    pairs.append(_rarest_words(many, alike, ends).join(alike.withColumnRenamed("key", "other"), ["isbn", "g"]))
+    alike = many.select("isbn", "key", F.explode(F.flatten(F.transform("words", _without_one))).alias("g")).distinct()
+    pairs.append(_rarest_words(many, alike).join(alike.withColumnRenamed("key", "other"), ["isbn", "g"]))
     out = pairs[0].select("key", "other")
     for d in pairs[1:]:
         out = out.union(d.select("key", "other"))
     return out.where("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
-def _rarest_words(many: DataFrame, alike: DataFrame, ends) -> DataFrame:
-    """(isbn, key, g): both ends of so many of a title's words that one of them must be alike."""
+def _rarest_words(many: DataFrame, alike: DataFrame) -> DataFrame:
+    """(isbn, key, g): the forms of so many of a title's words that one of them must be alike."""
     n = F.size("words")
     df = alike.groupBy("isbn", "g").agg(F.count(F.lit(1)).alias("df"))
-    each = many.select("isbn", "key", (n - F.greatest(F.lit(3), F.ceil(0.75 * n - 1e-9)) + 1).alias("most"), F.posexplode("words").alias("p", "w")).select("isbn", "key", "most", "p", F.explode(ends(F.col("w"))).alias("g"))
-    both = each.join(df, ["isbn", "g"]).groupBy("isbn", "key", "p", "most").agg(F.sum("df").alias("df"), F.collect_set("g").alias("gs"))  # two ends of a word
+    each = many.select("isbn", "key", (n - F.greatest(F.lit(3), F.ceil(0.75 * n - 1e-9)) + 1).alias("most"), F.posexplode("words").alias("p", "w")).select("isbn", "key", "most", "p", F.explode(_without_one(F.col("w"))).alias("g"))
+    both = each.join(df, ["isbn", "g"]).groupBy("isbn", "key", "p", "most").agg(F.sum("df").alias("df"), F.collect_set("g").alias("gs"))  # the forms of a word
     place = F.row_number().over(Window.partitionBy("isbn", "key").orderBy("df", "p"))
     return both.withColumn("place", place).where(F.col("place") <= F.col("most")).select("isbn", "key", F.explode("gs").alias("g")).distinct()
 

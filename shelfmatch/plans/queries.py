@@ -535,6 +535,22 @@ def related_pairs(spark, sf_dir):
     return _title_pairs(spark, sf_dir).select("a", "b", M.titles_related(F.col("a"), F.col("b")).alias("related"))
 
 
+_SIG = "list_filter(string_split({0}, ' '), lambda t: len(t) > 2 AND t NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "))"
+
+
+@query(f"""WITH RECURSIVE {O.ctes('listing_rows')}, k AS (SELECT row_seq, {O.fk('title')} AS a FROM listing_rows), w AS (SELECT row_seq, a, {_SIG.format('a')} AS ws FROM k),
+v AS (SELECT row_seq, a, array_to_string(list_reverse(list_transform(ws, lambda x, i: CASE WHEN i % 2 = 0 AND len(x) >= 6 THEN x[1:2] || x[4:] ELSE x END)), ' ') AS b FROM w WHERE len(ws) >= 3),
+p AS (SELECT row_seq, a, b, {_SIG.format('CASE WHEN len(a) <= len(b) THEN a ELSE b END')} AS s, {_SIG.format('CASE WHEN len(a) <= len(b) THEN b ELSE a END')} AS t FROM v),
+g AS (SELECT row_seq, s, t, 0 AS i, []::BIGINT[] AS used FROM p UNION ALL
+  SELECT row_seq, s, t, i + 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END FROM (SELECT *, (list_filter(range(1, len(t) + 1), lambda n: NOT list_contains(used, n) AND (t[n] = s[i + 1] OR (len(t[n]) >= 5 AND len(s[i + 1]) >= 5 AND levenshtein(t[n], s[i + 1]) <= 1))))[1] AS j FROM g WHERE i < len(s)))
+SELECT p.row_seq, {O.simple_related('p.a', 'p.b')} OR (len(p.s) >= 3 AND len(p.t) >= 3 AND len(used) >= 3 AND len(used) >= 0.75 * len(p.s)) AS related FROM p JOIN g ON g.row_seq = p.row_seq AND g.i = len(p.s)""")
+def misspelt_pairs(spark, sf_dir):
+    """Whether a title names one work with itself turned round and every other long word misspelt."""
+    k = _v(spark, sf_dir, "listing_rows").select("row_seq", T.folded_key("title").alias("a")).withColumn("ws", T.significant_tokens(F.col("a"))).where(F.size("ws") >= 3)
+    wrong = F.transform("ws", lambda x, i: F.when((i % 2 == 1) & (F.length(x) >= 6), F.concat(F.substring(x, 1, 2), F.substring(x, 4, 1000))).otherwise(x))
+    return k.select("row_seq", M.titles_related(F.col("a"), F.array_join(F.reverse(wrong), " ")).alias("related"))
+
+
 _Q = f"""{O.CARDS}, lookup_queries AS ({views.VIEWS['lookup_queries']}),
 lq AS (SELECT query_id, {O.cell('query')} AS raw, regexp_matches({O.cell('query')}, '{O.SCI}') OR len(regexp_replace({O.cell('query')}, '[^0-9Xx]', '', 'g')) BETWEEN 10 AND 13 AS isq FROM lookup_queries),
 {O.parsed('lq', 'query_id', 'raw', 'qi')},
