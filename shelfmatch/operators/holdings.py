@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.isbn import parse_isbns, sort_isbns
+from ..functions.isbn import isbn_sort_key, parse_isbns, sort_isbns
 from ..functions.text import AUDIO, MATERIALS, author_tokens, authors_compatible, canonical_authors, cell, format_bit, sort_batches, title_key
 from ..sources.listings import BATCHES
 from .ingest import matching_rows
@@ -72,22 +72,58 @@ def apply(cards: DataFrame, linked: DataFrame, batch: str = BATCHES["follett"])
     return c.withColumns({"batches": plus("batches"), "holdings_batches": plus("holdings_batches"), "formats": F.struct(fmt("book", 1), fmt("ebook", 2), fmt("audio", 4)), "isbn_digits": sort_isbns(F.filter(F.array_union("isbn_digits", F.coalesce("digits", empty)), lambda d: d != "")), "authors": F.concat("authors", F.array_distinct(added)), "title": title, "title_unknown": title == "", "in_collection": F.coalesce("in_collection", F.lit(False)) | held, "row_count": F.col("row_count") + F.coalesce("more", F.lit(0))}).drop("bits", "more", "digits", "names", "new_title")
 
 
-def leftovers(linked: DataFrame) -> DataFrame:
-    """Records that linked nowhere, those with a title grouped by its key: isbn13, isbn10, extras, author, title, series, format, rows."""
-    rest = linked.where("card is null").withColumn("key", title_key("title"))
-    empty = F.array().cast("array<string>")
-    alone = rest.where("key = ''").select("isbn13", "isbn10", empty.alias("extras"), "author", "title", "series", "format", "rows")
-    titled = rest.where("key <> ''")
+#: Further ISBNs of a title in one row of the side table.
+CHUNK = 10_000
+
+
+def _titled(linked: DataFrame) -> DataFrame:
+    return linked.where("card is null").withColumn("key", title_key("title")).where("key <> ''")
+
+
+def _alone(linked: DataFrame) -> DataFrame:
+    """Records without a title that linked nowhere."""
+    return linked.where("card is null").withColumn("key", title_key("title")).where("key = ''").select("isbn13", "isbn10", "author", "title", "series", "format", "rows")
+
+
+def _groups(linked: DataFrame) -> DataFrame:
+    """key, isbn13 (the first), n (ISBNs), isbn10, author, title, series, format and rows of titles; no list is as long as a title has records."""
+    titled = _titled(linked)
     # rows of a title, and those of the first record once more
-    first = F.min("place").over(Window.partitionBy("key"))
-    counted = titled.withColumn("weight", F.col("rows") + F.when(F.col("place") == first, F.col("rows")).otherwise(0))
+    first = titled.groupBy("key").agg(F.min("place").alias("_first"))
+    counted = titled.join(first, "key").withColumn("weight", F.col("rows") + F.when(F.col("place") == F.col("_first"), F.col("rows")).otherwise(0))
     plain = (~F.col("title").rlike(r"(?i)\((un)?abridged\)")).cast("int")
     names = counted.groupBy("key", "title").agg(F.sum("weight").alias("n"), F.min("place").alias("p")).groupBy("key").agg(F.max_by("title", F.struct(plain, "n", F.length("title"), -F.col("p"))).alias("display"))
     # only an author's first place counts, so the list is as long as the title has authors, not records
     authors = titled.groupBy("key", "author").agg(F.min("place").alias("place")).groupBy("key").agg(canonical_authors(F.transform(F.array_sort(F.collect_list(F.struct("place", "author"))), lambda s: s["author"])).alias("authors"))
-    g = titled.groupBy("key").agg(sort_isbns(F.collect_set("isbn13")).alias("all13"), F.coalesce(F.min_by("isbn10", F.when(F.col("isbn10") != "", F.col("place"))), F.lit("")).alias("isbn10"), F.coalesce(F.min_by("series", F.when(F.col("series") != "", F.col("place"))), F.lit("")).alias("series"), F.bit_or("format").alias("format"), F.sum("rows").alias("rows"))
-    grouped = g.join(names, "key").join(authors, "key").select(F.get("all13", F.lit(0)).alias("isbn13"), "isbn10", F.slice("all13", F.lit(2), F.size("all13")).alias("extras"), F.array_join("authors", "; ").alias("author"), F.col("display").alias("title"), "series", "format", "rows")
-    return grouped.unionByName(alone)
+    some = lambda c: F.coalesce(F.min_by(c, F.when(F.col(c) != "", F.col("place"))), F.lit("")).alias(c)
+    g = titled.groupBy("key").agg(F.min_by("isbn13", isbn_sort_key("isbn13")).alias("isbn13"), F.count(F.lit(1)).alias("n"), some("isbn10"), some("series"), F.bit_or("format").alias("format"), F.sum("rows").alias("rows"))
+    return g.join(names, "key").join(authors, "key").select("key", "isbn13", "n", "isbn10", F.array_join("authors", "; ").alias("author"), F.col("display").alias("title"), "series", "format", "rows")
+
+
+def leftover_tables(linked: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """What linked nowhere as two tables, for titles of any number of ISBNs.
+
+    Titles, and records without one: key (of a title, else null), isbn13, isbn10, author, title, series, format, rows.
+    Further ISBNs: key, chunk, isbns (about ``chunk`` at most), so that a title of a third of all records is many rows.
+    """
+    groups = _groups(linked)
+    titles = groups.drop("n").unionByName(_alone(linked).withColumn("key", F.lit(None).cast("string")))
+    parts = groups.where("n > 1").select("key", F.col("isbn13").alias("_first"), F.ceil(F.col("n") / chunk).cast("long").alias("_parts"))
+    rest = _titled(linked).select("key", "isbn13").join(parts, "key").where("isbn13 <> _first")
+    dealt = rest.select("key", F.pmod(F.xxhash64("isbn13"), F.col("_parts")).alias("chunk"), "isbn13")
+    return titles, dealt.groupBy("key", "chunk").agg(sort_isbns(F.collect_list("isbn13")).alias("isbns"))
+
+
+def leftovers(linked: DataFrame) -> DataFrame:
+    """Records that linked nowhere, those with a title grouped by its key: isbn13, isbn10, extras, author, title, series, format, rows.
+
+    A title has its further ISBNs in its row; ``leftover_tables`` keeps them apart.
+    """
+    empty = F.array().cast("array<string>")
+    groups = _groups(linked)
+    every = _titled(linked).groupBy("key").agg(sort_isbns(F.collect_set("isbn13")).alias("all13"))
+    grouped = groups.join(every, "key").select("isbn13", "isbn10", F.slice("all13", F.lit(2), F.size("all13")).alias("extras"), "author", "title", "series", "format", "rows")
+    return grouped.unionByName(_alone(linked).withColumn("extras", empty))
 
 
 def counters(status: DataFrame, linked: DataFrame, left: DataFrame) -> DataFrame:

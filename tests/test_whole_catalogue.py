@@ -32,3 +32,20 @@ def test_leftovers_keep_every_isbn_of_a_title(spark):
     )
     r = holdings.leftovers(linked).select("isbn13", F.size("extras").alias("n"), F.try_element_at("extras", F.lit(-1)).alias("last"), "author", "rows").first()
     assert r.asDict() == {"isbn13": "9780000000000", "n": n - 1, "last": f"978{n - 1:010d}", "author": "Zoe, B.; Al", "rows": n}
+
+
+def test_leftovers_in_chunks_are_the_leftovers(spark):
+    """Titles and their further ISBNs apart hold what one row a title holds, and no row is long."""
+    linked = spark.range(600).select(
+        F.when(F.col("id") % 10 == 9, "c").alias("card"), F.format_string(F.when(F.col("id") % 2 == 0, F.lit("978%010d")).otherwise(F.lit("979%010d")), F.col("id")).alias("isbn13"), F.lit("").alias("isbn10"), F.concat(F.lit("A"), F.col("id") % 3).alias("author"),
+        F.when(F.col("id") % 5 < 3, "Hot title").when(F.col("id") % 5 == 3, F.concat(F.lit("T"), F.col("id"))).otherwise("").alias("title"), F.lit("").alias("series"), F.lit(1).alias("format"), F.lit(1).cast("long").alias("rows"), F.col("id").alias("place"),
+    )
+    whole = {r.isbn13: (r.title, r.author, r.rows, set(r.extras)) for r in holdings.leftovers(linked).collect()}
+    titles, extras = holdings.leftover_tables(linked, 20)
+    parts = extras.collect()
+    assert max(len(r.isbns) for r in parts) < 60 and len(parts) > 10 and all(r.isbns == sorted(r.isbns) for r in parts)
+    more = {}
+    for r in parts:
+        more.setdefault(r.key, set()).update(r.isbns)
+    assert {r.isbn13: (r.title, r.author, r.rows, more.get(r.key, set())) for r in titles.collect()} == whole
+    assert sum(len(r.isbns) for r in parts) == sum(len(v[3]) for v in whole.values())
