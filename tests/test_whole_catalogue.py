@@ -37,7 +37,7 @@ def test_leftovers_keep_every_isbn_of_a_title(spark):
 def test_leftovers_in_chunks_are_the_leftovers(spark):
     """Titles and their further ISBNs apart hold what one row a title holds, and no row is long."""
     linked = spark.range(600).select(
-        F.when(F.col("id") % 10 == 9, "c").alias("card"), F.format_string(F.when(F.col("id") % 2 == 0, F.lit("978%010d")).otherwise(F.lit("979%010d")), F.col("id")).alias("isbn13"), F.lit("").alias("isbn10"), F.concat(F.lit("A"), F.col("id") % 3).alias("author"),
+        F.when(F.col("id") % 10 == 9, "c").alias("card"), F.when(F.col("id") % 2 == 0, F.format_string("978%010d", "id")).otherwise(F.format_string("979%010d", "id")).alias("isbn13"), F.lit("").alias("isbn10"), F.concat(F.lit("A"), F.col("id") % 3).alias("author"),
         F.when(F.col("id") % 5 < 3, "Hot title").when(F.col("id") % 5 == 3, F.concat(F.lit("T"), F.col("id"))).otherwise("").alias("title"), F.lit("").alias("series"), F.lit(1).alias("format"), F.lit(1).cast("long").alias("rows"), F.col("id").alias("place"),
     )
     whole = {r.isbn13: (r.title, r.author, r.rows, set(r.extras)) for r in holdings.leftovers(linked).collect()}
