@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import access_level, cell, clean_digital_title, first_nonblank, normalize_level
+from ..session import give_package
 
 #: The column of each header spelling (letters and digits in lower case).
 ALIASES = {
@@ -214,6 +215,7 @@ def read_listings(spark: SparkSession, paths: Sequence[str], labels: Sequence[st
     """
     if not paths:
         raise ValueError("no listings given")
+    give_package(spark)
     order = spark.createDataFrame([(k, labels[k] if labels else p, p) for k, p in enumerate(paths)], "source_seq int, source_label string, given string")
     once = order.withColumn("bare", _bare("given")).groupBy("bare").agg(F.min(F.struct("source_seq", "source_label")).alias("o")).select("bare", "o.*")
     files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select("path", "content", _bare("path").alias("bare"))
