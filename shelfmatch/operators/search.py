@@ -173,9 +173,28 @@ def with_fallback(hits: DataFrame, queries: DataFrame, cards: DataFrame, left: D
 def score(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """query_id, id, title, score, reason of all pairs from min_score on; ISBN queries with a card of theirs get that alone."""
     q, t = stored(prepare_queries(queries)), stored(prepare_cards(cards))  # each is read for every way and scored as stored
-    pairs = stored(candidates(q, t, min_score)).join(q, "query_id").join(t, "id").withColumns(score_parts("q", "t")).withColumn("s", title_score("q", "t", staged=True))
-    hits = pairs.select("query_id", "id", "title", rounded(F.col("s.score")).alias("score"), F.col("s.reason").alias("reason"), (F.col("q.isbn") != "").alias("by_isbn")).where(F.col("score") >= min_score)
-    return hits.join(_first(q, t).withColumnRenamed("id", "only"), "query_id", "left").where("not by_isbn or only is null or id = only").drop("by_isbn", "only")
+    only = stored(_first(q, t))  # a card of the number: nothing else is looked for
+    rest = q.join(only.select("query_id"), "query_id", "left_anti")
+    pairs = stored(candidates(rest, t, min_score).union(only)).join(q, "query_id").join(t, "id").withColumns(score_parts("q", "t")).withColumn("s", title_score("q", "t", staged=True))
+    return pairs.select("query_id", "id", "title", rounded(F.col("s.score")).alias("score"), F.col("s.reason").alias("reason")).where(F.col("score") >= min_score)
+
+
+def asked_once(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, query) with each text once, by its least id, and (of, query_id): which queries it stands for."""
+    same = queries.select("query_id", "query", cell("query").alias("raw"))
+    first = same.groupBy("raw").agg(F.min(F.struct("query_id", "query")).alias("m")).select("raw", "m.*")
+    return stored(first.select("query_id", "query")), stored(same.select("query_id", "raw").join(first.select(F.col("query_id").alias("of"), "raw"), "raw").select("of", "query_id"))
+
+
+def for_all(ranked: DataFrame, stands_for: DataFrame) -> DataFrame:
+    """What was found for each text, for all queries that ask it; cut it (``top_k``) before."""
+    return ranked.withColumnRenamed("query_id", "of").join(stands_for, "of").drop("of")
+
+
+def search_top(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE, limit: int = LIMIT) -> DataFrame:
+    """``top_k`` of ``score``; equal queries are scored and ranked once."""
+    once, stands_for = asked_once(queries)
+    return for_all(top_k(score(once, cards, min_score), limit), stands_for)
 
 
 def top_k(hits: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -216,7 +235,7 @@ def verdicts(queries: DataFrame, classified: DataFrame, cards: DataFrame) -> Dat
 def did_you_mean(queries: DataFrame, cards: DataFrame, ranked: DataFrame, min_score: float = 0.18, limit: int = 5) -> DataFrame:
     """For queries without a hit: the best of a lower threshold."""
     none = queries.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
-    return top_k(score(none, cards, min_score), limit)
+    return search_top(none.select("query_id", "query"), cards, min_score, limit)
 
 
 def search_index(holdings: DataFrame) -> tuple[DataFrame, DataFrame]:

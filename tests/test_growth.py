@@ -24,3 +24,29 @@ def test_titles_of_a_crowded_isbn_meet_by_numbers(spark):
     assert ("e0", "e1") in plain and ("e2", "e3") not in plain
     owners = isbns.join(named, "key").select("isbn", F.xxhash64("key").alias("id"), F.col("title").alias("fk"))
     assert related_candidates(owners).dtypes == [("a", "bigint"), ("b", "bigint")]
+
+
+def test_isbn_cells_are_read_once(spark):
+    """What a number is made of is worked out once: the expression names the text's pattern a few times, not dozens of times."""
+    from shelfmatch.functions.isbn import collect_isbns
+
+    plan = spark.range(1).select(F.col("id").cast("string").alias("isbn")).select(collect_isbns(["isbn"]))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[^0-9Xx]") <= 4
+
+
+def test_equal_queries_are_ranked_once(spark):
+    from shelfmatch.operators import search
+
+    cards = spark.createDataFrame([("a", "River Tale", ["Ann Poe"], ["9780000000019"]), ("b", "River Tales", ["Bo Lee"], []), ("c", "Stone", ["Ann Poe"], ["9780000000019"])], "id string, title string, authors array<string>, isbn_digits array<string>")
+    queries = spark.createDataFrame([(1, "river tale"), (2, " river tale "), (3, "9780000000019"), (4, "9780000000019"), (5, "river tale"), (6, "")], "query_id long, query string")
+    assert search.asked_once(queries)[0].count() == 3
+    found = sorted(map(tuple, search.search_top(queries, cards).select("query_id", "id", "score", "rank").collect()))
+    plain = [("a", 1.0, 1), ("b", 0.96, 2)]
+    assert found == [(q, *h) for q in (1, 2) for h in plain] + [(q, "a", 1.0, 1) for q in (3, 4)] + [(5, *h) for h in plain]
+
+
+def test_relation_without_misspelt_words(spark):
+    from shelfmatch.functions.similarity import titles_related
+
+    a, b = F.lit("garden stone river"), F.lit("river gardan stone")
+    assert tuple(spark.range(1).select(titles_related(a, b), titles_related(a, b, misspelt=False)).first()) == (True, False)
