@@ -50,3 +50,12 @@ def test_relation_without_misspelt_words(spark):
 
     a, b = F.lit("garden stone river"), F.lit("river gardan stone")
     assert tuple(spark.range(1).select(titles_related(a, b), titles_related(a, b, misspelt=False)).first()) == (True, False)
+
+
+def test_exploded_tables_are_not_broadcast(spark):
+    """What is exploded from a small file may be very large: Spark takes it for as small as the file."""
+    owners = spark.createDataFrame([("978", i, t) for i, t in enumerate(["moon river light", "river moon lights", "garden stone", "the moon river lights"])], "isbn string, id long, fk string")
+    lines = related_candidates(owners)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    inside = [y for i, x in enumerate(lines) if "BroadcastExchange" in x for y in lines[i + 1 : next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(x)), len(lines))]]
+    assert any("Generate" in x for x in lines) and not any("Generate" in x for x in inside)
