@@ -59,3 +59,17 @@ def test_exploded_tables_are_not_broadcast(spark):
     depth = lambda x: len(x) - len(x.lstrip(" :+-"))
     inside = [y for i, x in enumerate(lines) if "BroadcastExchange" in x for y in lines[i + 1 : next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(x)), len(lines))]]
     assert any("Generate" in x for x in lines) and not any("Generate" in x for x in inside)
+
+
+def test_pairs_of_titles_come_once(spark):
+    """Parts of a crowded ISBN and titles of many ISBNs give the pairs of the plain join, each once."""
+    from shelfmatch.plans.queries import title_pairs
+
+    rng = random.Random(5)
+    rows = sorted({(f"t{rng.randrange(25):02d}", f"i{rng.randrange(12):02d}") for _ in range(110)} | {("t99", f"i{i:02d}") for i in range(12)})
+    owners = spark.createDataFrame([*rows, *rows[:9]], "k string, isbn string")
+    plain = sorted({(a, b, a + "!", b + "!") for a, i in rows for b, j in rows if i == j and a < b})
+    for part, many in ((2000, 64), (2, 64), (3, 4), (1, 0)):
+        found = title_pairs(owners, lambda k: F.concat(k, F.lit("!")), part, many)
+        assert sorted(map(tuple, found.collect())) == plain
+    assert "HashAggregate" not in title_pairs(owners, lambda k: k)._jdf.queryExecution().executedPlan().toString()  # pairs aren't shuffled to be made distinct
