@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.isbn import isbn13_to_10, isbn_search_digits, looks_like_isbn
 from ..functions.similarity import EXACT, bigrams, overlap_tokens, score_parts, title_score
 from ..functions.text import author_tokens, authors_compatible, cell, loose_key, title_key, tokenize
-from .components import stored
+from ..session import give_package
+from .components import shuffled, stored
 
 MIN_SCORE, LIMIT, CONFIDENT, LEAD, CLOSE, SUGGEST = 0.42, 50, 0.92, 0.04, 0.58, 0.62
 
@@ -48,73 +51,115 @@ def _token_key(x: Column) -> Column:
     return F.when((F.length(x) >= 3) & ~x.rlike("^[0-9]+$"), F.concat(F.lit("p:"), F.substring(x, 1, 3))).otherwise(F.concat(F.lit("e:"), x))
 
 
-def candidates(q: DataFrame, t: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Pairs (query_id, id), among them all with a score from min_score on, by the ways a score can come about.
+#: Queries and titles that a task compares, and cells of the table of titles by pairs of characters that it holds at a time.
+ASKED, HELD, CELLS = 1_024, 8_192, 1 << 26
+#: Pairs that a task scores.
+SCORED = 25_000
+#: Slack of the bounds of a score, which is rounded to six places.
+SLACK = 2e-6
 
-    * Shared bigrams: a Dice or edit score asks for so many that, of a query's bigrams, the commonest can be
-      left out of the join; what is shared of the others must be enough together with all that were left out.
-    * Shared tokens: an overlap asks for some of any n - h + 1 tokens, so the rarest are joined.
-    * Containment: title, loose title or authors hold the whole query, so its rarest pair of characters is joined.
+
+def _bounded(min_score: float, limit: int | None):
+    """Of a block of queries and one of titles the pairs whose score may reach min_score and, with a limit, the queries' best ones of the block.
+
+    A score lies between what shared pairs of characters and shared words allow: ``least`` counts the former alone, ``most``
+    adds edits (one changes two pairs at most), words that may be alike, and texts that may hold the whole query.
+    """
+
+    def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        vocabulary = np.unique(np.concatenate(asked["grams"].to_list())) if len(asked) else np.empty(0, "int64")
+        step = int(min(HELD, max(256, CELLS // max(1, len(vocabulary)))))
+        best = [np.empty(0)] * len(asked)  # the greatest least scores so far
+        for start in range(0, len(held) if len(asked) else 0, step):
+            t = held.iloc[start : start + step]
+            ids, lb, nb = t["id"].to_numpy(), t["length"].to_numpy(), t["grams"].map(len).to_numpy()
+            has, flat = np.zeros((len(vocabulary), len(t)), "uint8"), np.concatenate(t["grams"].to_list())
+            at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+            known = vocabulary[at] == flat
+            has[at[known], np.repeat(np.arange(len(t)), nb)[known]] = 1
+            words, owner = np.concatenate(t["words"].to_list()), np.repeat(np.arange(len(t)), t["words"].map(len))
+            order = np.argsort(words, kind="stable")
+            words, owner = words[order], owner[order]
+            for i, (query_id, la, grams, spoken) in enumerate(zip(asked["query_id"], asked["length"], asked["grams"], asked["words"])):
+                na = len(grams)
+                c = has[np.searchsorted(vocabulary, grams)].sum(axis=0, dtype="uint16" if na < 65_536 else "int64").astype("float64")
+                dice = 0.86 * 2 * c / (na + nb)
+                apart = np.abs(lb - la)
+                distance = np.where(apart > 8, 99.0, np.maximum(np.maximum((na - c) / 2, (nb - c) / 2), apart))
+                near = 1 - distance / np.maximum(lb, la)
+                most = np.maximum(dice, np.where(near > 0.72 - 1e-9, 0.9 * near, 0))
+                most[distance <= 2] = np.maximum(most[distance <= 2], 0.9)
+                most[c >= na - 2] = 1
+                if len(spoken):
+                    alike = np.zeros(len(t))
+                    for w, times in zip(*np.unique(spoken, return_counts=True)):
+                        alike[owner[np.searchsorted(words, w) : np.searchsorted(words, w, "right")]] += times
+                    most = np.maximum(most, 0.78 * alike / len(spoken))
+                least, most = np.minimum(dice, 0.72) - SLACK, most + SLACK
+                asks = min_score
+                if limit is not None:
+                    top = np.concatenate([best[i], np.partition(least, -limit)[-limit:] if len(least) > limit else least])
+                    best[i] = top = np.partition(top, -limit)[-limit:] if len(top) > limit else top
+                    asks = max(asks, top.min()) if len(top) == limit else asks
+                found = np.flatnonzero(most >= asks)
+                if len(found):
+                    out.append(pd.DataFrame({"query_id": query_id, "id": ids[found], "least": least[found], "most": most[found]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "least": [], "most": []})
+
+    return compare
+
+
+def counted_pairs(q: DataFrame, t: DataFrame, min_score: float = MIN_SCORE, limit: int | None = None) -> DataFrame:
+    """Pairs (query_id, id), among them all with a score from min_score on by characters, words or edits of titles; with a limit those of each query's best.
+
+    Blocks of queries meet blocks of titles, so what is shuffled are the titles once for each block of queries.  The limit-th
+    greatest score that is certain bounds what can be among a query's best; no pair that reaches it is lost.
+    """
+    give_package(q.sparkSession)
+    code = lambda grams: F.transform(grams, lambda g: F.ascii(g).cast("long") * 2097152 + F.ascii(F.substring(g, 2, 1)))
+    marks = lambda words: F.transform(words, lambda w: F.xxhash64(_token_key(w)))
+    asked = stored(q.where("q.text <> ''").select("query_id", F.length("q.text").alias("length"), code(F.col("q.grams")).alias("grams"), marks(F.col("q.tokens")).alias("words")))
+    held = stored(t.where("t.key <> ''").select("id", F.length("t.key").alias("length"), code(F.col("t.grams")).alias("grams"), F.array_distinct(marks(F.col("t.tokens"))).alias("words")))
+    blocks = max(1, -(-asked.count() // ASKED))
+    parts = max(1, -(-held.count() // HELD))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.withColumns({"block": block("query_id", blocks)}).withColumn("part", every(parts)).repartition(blocks * parts, "block", "part")
+    right = held.withColumns({"part": block("id", parts)}).withColumn("block", every(blocks)).repartition(blocks * parts, "block", "part")
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {t.schema['id'].dataType.simpleString()}, least double, most double"
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(_bounded(min_score, limit), schema)
+    if limit is None:
+        return met.select("query_id", "id")
+    met = stored(met)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("least")))
+    bound = met.select("query_id", "least", place.alias("place")).where(F.col("place") == limit).select("query_id", F.col("least").alias("bound"))
+    return met.join(bound, "query_id", "left").where("bound is null or most >= bound").select("query_id", "id")
+
+
+def candidates(q: DataFrame, t: DataFrame, min_score: float = MIN_SCORE, limit: int | None = None) -> DataFrame:
+    """Pairs (query_id, id), among them all with a score from min_score on (with a limit: of each query's best), by the ways a score can come about.
+
+    * Shared characters and words, edits, titles that hold the query, unlike lengths (``counted_pairs``).
+    * Containment: loose title or authors hold the whole query, so its rarest pair of characters is joined.
     * ISBNs.
-    * Very long titles or queries (``far_pairs``).
     """
-    dice, overlap = min_score / 0.86, min_score / 0.78
     asked = q.where("q.text <> ''")
-    na, la = F.size("q.grams"), F.length("q.text")
-    need_edit = F.greatest(F.lit(1), F.least(na - 4, F.ceil(na - 0.778 * la)))  # an edit changes two bigrams at most
-    need_dice = F.greatest(F.lit(1), F.ceil(dice / (2 - dice) * na - 1e-6))
-    grams = t.select("id", F.explode("t.grams").alias("g"))
-    limits = asked.select("query_id", na.alias("na"), la.alias("la"), need_edit.alias("need"), (na - F.least(need_edit, need_dice) + 1).alias("most"))
-    mine = asked.select("query_id", (na - F.least(need_edit, need_dice) + 1).alias("most"), F.explode("q.grams").alias("g"))
-    # counts alone are aggregated; sizes are joined to them
-    shared = _rarest(mine, grams, F.col("most")).select("query_id", "g").join(grams, "g").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("c"))
-    shared = shared.join(limits, "query_id").join(t.select("id", F.size("t.grams").alias("nb"), F.length("t.key").alias("lb")), "id")
-    total = F.col("c") + F.col("na") - F.col("most")
-    enough = total >= dice / 2 * (F.col("na") + F.col("nb")) - 1e-6
-    edits = (total >= F.col("need")) & (F.abs(F.col("la") - F.col("lb")) <= 0.389 * F.col("la") + 2)
-    pairs = [shared.where(enough | edits).select("query_id", "id")]
-    # tokens
-    n = F.size("q.tokens")
-    words = t.select("id", F.explode("t.tokens").alias("w")).select("id", _token_key(F.col("w")).alias("g")).distinct()
-    spoken = asked.where(n > 0).select("query_id", (n - F.ceil(overlap * n - 1e-6) + 1).alias("most"), F.posexplode("q.tokens").alias("p", "w")).select("query_id", "most", _token_key(F.col("w")).alias("g"))
-    pairs.append(_rarest(spoken, words, F.col("most")).join(words, "g").select("query_id", "id"))
-    # containment
-    for inner, fields in (("q.key", ("t.key",)), ("q.loose", ("t.loose", "t.authors"))):
-        of = asked.where(F.length(inner) >= 2).select("query_id", F.explode(F.array_distinct(_inner(F.col(inner)))).alias("g"))
-        for field in fields:
-            known = t.select("id", F.explode(F.array_distinct(_inner(F.col(field)))).alias("g"))
-            pairs.append(_rarest(of, known, F.lit(1)).join(known, "g").select("query_id", "id"))
+    pairs = [counted_pairs(q, t, min_score, limit)]
+    of = stored(asked.where(F.length("q.loose") >= 2).select("query_id", F.explode(F.array_distinct(_inner(F.col("q.loose")))).alias("g")))
+    for field in ("t.loose", "t.authors"):
+        known = t.select("id", F.explode(F.array_distinct(_inner(F.col(field)))).alias("g"))
+        pairs.append(shuffled(_rarest(of, known, F.lit(1))).join(known, "g").join(q.select("query_id", F.col("q.loose").alias("loose")), "query_id").join(t.select("id", F.col(field).alias("whole")), "id").where(F.col("whole").contains(F.col("loose"))).select("query_id", "id"))
     single = q.where("length(q.text) = 1 or length(q.loose) = 1").select("query_id", F.explode(F.array_distinct(F.array("q.text", "q.loose"))).alias("g")).where("length(g) = 1")
     letters = t.select("id", F.explode(F.array_distinct(F.split(F.concat("t.key", "t.loose", "t.authors"), ""))).alias("g"))
     pairs.append(single.join(letters, "g").select("query_id", "id"))
     pairs.append(lookup_pairs(q, t))
-    pairs.append(far_pairs(q, t))
     out = pairs[0]
     for d in pairs[1:]:
         out = out.union(d)
     return out.distinct()
 
 
-#: Characters from which the fixed distance of unlike lengths (99) is less than 0.28 of the longer text.
-FAR = 354
-#: Blocks of queries that a very long title meets one after another.
-FAR_BLOCKS = 64
-
-
-def far_pairs(q: DataFrame, t: DataFrame) -> DataFrame:
-    """Pairs (query_id, id) that score by their lengths alone: FAR characters in one and over eight fewer in the other.
-
-    Each such pair is a hit, whatever its words, so they are as many as the hits; queries are dealt to blocks.
-    """
-    asked = q.where("q.key <> ''").select("query_id", F.length("q.text").alias("la"), F.pmod(F.xxhash64("query_id"), F.lit(FAR_BLOCKS)).alias("block"))
-    titled = t.where("t.key <> ''").select("id", F.length("t.key").alias("lb"), F.pmod(F.xxhash64("id"), F.lit(FAR_BLOCKS)).alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(FAR_BLOCKS - 1))).alias("block")
-    apart = F.abs(F.col("la") - F.col("lb")) > 8
-    long_titles = titled.where(F.col("lb") >= FAR).select("id", "lb", every).join(asked, "block").where(apart)
-    long_queries = asked.where(F.col("la") >= FAR).select("query_id", "la", every).join(titled.where(F.col("lb") < FAR), "block").where(apart)
-    return long_titles.select("query_id", "id").union(long_queries.select("query_id", "id"))
-
-
 def _parts(d: Column) -> Column:
     """A number and its parts of 10 to 13 characters."""
     n = F.length(d)
@@ -170,13 +215,18 @@ def with_fallback(hits: DataFrame, queries: DataFrame, cards: DataFrame, left: D
     return hits.select("query_id", "id", "title", "score", "reason").join(found.select("query_id"), "query_id", "left_anti").union(new)
 
 
-def score(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """query_id, id, title, score, reason of all pairs from min_score on; ISBN queries with a card of theirs get that alone."""
+def score(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE, limit: int | None = None) -> DataFrame:
+    """query_id, id, title, score, reason of all pairs from min_score on; ISBN queries with a card of theirs get that alone.
+
+    With a limit, which ``top_k`` then applies, pairs that can't be among a query's best are left out.
+    """
     q, t = stored(prepare_queries(queries)), stored(prepare_cards(cards))  # each is read for every way and scored as stored
     only = stored(_first(q, t))  # a card of the number: nothing else is looked for
     rest = q.join(only.select("query_id"), "query_id", "left_anti")
-    pairs = stored(candidates(rest, t, min_score).union(only)).join(q, "query_id").join(t, "id").withColumns(score_parts("q", "t")).withColumn("s", title_score("q", "t", staged=True))
-    return pairs.select("query_id", "id", "title", rounded(F.col("s.score")).alias("score"), F.col("s.reason").alias("reason")).where(F.col("score") >= min_score)
+    pairs = stored(candidates(rest, t, min_score, limit).union(only))
+    pairs = pairs.repartition(pairs.count() // SCORED + 1).join(q, "query_id").join(t, "id").withColumns(score_parts("q", "t")).withColumn("s", title_score("q", "t", staged=True))
+    # stored, as a filter on the score would work its parts out again wherever they stand in it
+    return stored(pairs.select("query_id", "id", "title", rounded(F.col("s.score")).alias("score"), F.col("s.reason").alias("reason"))).where(F.col("score") >= min_score)
 
 
 def asked_once(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +244,7 @@ def for_all(ranked: DataFrame, stands_for: DataFrame) -> DataFrame:
 def search_top(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE, limit: int = LIMIT) -> DataFrame:
     """``top_k`` of ``score``; equal queries are scored and ranked once."""
     once, stands_for = asked_once(queries)
-    return for_all(top_k(score(once, cards, min_score), limit), stands_for)
+    return for_all(top_k(score(once, cards, min_score, limit), limit), stands_for)
 
 
 def top_k(hits: DataFrame, limit: int = LIMIT) -> DataFrame:
