@@ -73,3 +73,16 @@ def test_pairs_of_titles_come_once(spark):
         found = title_pairs(owners, lambda k: F.concat(k, F.lit("!")), part, many)
         assert sorted(map(tuple, found.collect())) == plain
     assert "HashAggregate" not in title_pairs(owners, lambda k: k)._jdf.queryExecution().executedPlan().toString()  # pairs aren't shuffled to be made distinct
+
+
+def test_marks_of_one_title_alone_are_not_kept(spark, monkeypatch):
+    """Most parts of a title are in no other one: they are shuffled once to be counted, neither written nor looked up."""
+    from shelfmatch.operators import components as K
+
+    kept, real = [], K.stored
+    monkeypatch.setattr(K, "stored", lambda df: kept.append(real(df)) or kept[-1])
+    titles = ["moon river light of the garden", "the moon river light", "stones and velvet in a quorum of lakes", "velvet", "riverbed stones"]
+    owners = spark.createDataFrame([("978", i, t) for i, t in enumerate(titles)], "isbn string, id long, fk string")
+    assert (0, 1) in set(map(tuple, K.related_candidates(owners).collect()))
+    parts = next(d for d in kept if d.columns == ["id", "h"])
+    assert 0 < parts.count() < 60 and parts.groupBy("h").count().where("count < 2").isEmpty()
