@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.isbn import isbn13_to_10, isbn_search_digits, looks_like_isbn
 from ..functions.similarity import EXACT, bigrams, overlap_tokens, score_parts, title_score
 from ..functions.text import author_tokens, authors_compatible, cell, loose_key, title_key, tokenize
+from ..session import give_package
 from .components import stored
+from .titleblocks import bounded
 
 MIN_SCORE, LIMIT, CONFIDENT, LEAD, CLOSE, SUGGEST = 0.42, 50, 0.92, 0.04, 0.58, 0.62
 
@@ -31,11 +33,6 @@ def prepare_cards(cards: DataFrame) -> DataFrame:
     return d.select("id", "title", F.struct("key", "loose", "authors", F.col("isbn_digits").alias("isbns"), overlap_tokens("key").alias("tokens"), bigrams("key").alias("grams")).alias("t"))
 
 
-def _inner(c: Column) -> Column:
-    """Pairs of neighbouring characters inside a text."""
-    return F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-
-
 def _rarest(each: DataFrame, known: DataFrame, most: Column) -> DataFrame:
     """Rows (query_id, g, ...) of each query's ``most`` rarest g, by the rows of known (id, g) that have it; unknown ones come first."""
     df = known.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
@@ -43,76 +40,43 @@ def _rarest(each: DataFrame, known: DataFrame, most: Column) -> DataFrame:
     return each.join(df, "g", "left").withColumn("place", rank).where(F.col("place") <= most).drop("df", "place")
 
 
-def _token_key(x: Column) -> Column:
-    """Tokens that may count as alike have one key: longer words by three letters, short ones and numbers as they are."""
-    return F.when((F.length(x) >= 3) & ~x.rlike("^[0-9]+$"), F.concat(F.lit("p:"), F.substring(x, 1, 3))).otherwise(F.concat(F.lit("e:"), x))
+#: Queries that a task compares, titles that it compares them with at most and at least, and tasks that small tables are dealt to.
+ASKED, HELD, FEW, TASKS = 1_024, 65_536, 256, 32
 
 
-def candidates(q: DataFrame, t: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Pairs (query_id, id), among them all with a score from min_score on, by the ways a score can come about.
+def bounded_pairs(q: DataFrame, t: DataFrame, min_score: float = MIN_SCORE, limit: int | None = None) -> DataFrame:
+    """Pairs (query_id, id), among them all with a score from min_score on for other reasons than ISBNs.
 
-    * Shared bigrams: a Dice or edit score asks for so many that, of a query's bigrams, the commonest can be
-      left out of the join; what is shared of the others must be enough together with all that were left out.
-    * Shared tokens: an overlap asks for some of any n - h + 1 tokens, so the rarest are joined.
-    * Containment: title, loose title or authors hold the whole query, so its rarest pair of characters is joined.
-    * ISBNs.
-    * Very long titles or queries (``far_pairs``).
-    """
-    dice, overlap = min_score / 0.86, min_score / 0.78
-    asked = q.where("q.text <> ''")
-    na, la = F.size("q.grams"), F.length("q.text")
-    need_edit = F.greatest(F.lit(1), F.least(na - 4, F.ceil(na - 0.778 * la)))  # an edit changes two bigrams at most
-    need_dice = F.greatest(F.lit(1), F.ceil(dice / (2 - dice) * na - 1e-6))
-    grams = t.select("id", F.explode("t.grams").alias("g"))
-    limits = asked.select("query_id", na.alias("na"), la.alias("la"), need_edit.alias("need"), (na - F.least(need_edit, need_dice) + 1).alias("most"))
-    mine = asked.select("query_id", (na - F.least(need_edit, need_dice) + 1).alias("most"), F.explode("q.grams").alias("g"))
-    # counts alone are aggregated; sizes are joined to them
-    shared = _rarest(mine, grams, F.col("most")).select("query_id", "g").join(grams, "g").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("c"))
-    shared = shared.join(limits, "query_id").join(t.select("id", F.size("t.grams").alias("nb"), F.length("t.key").alias("lb")), "id")
-    total = F.col("c") + F.col("na") - F.col("most")
-    enough = total >= dice / 2 * (F.col("na") + F.col("nb")) - 1e-6
-    edits = (total >= F.col("need")) & (F.abs(F.col("la") - F.col("lb")) <= 0.389 * F.col("la") + 2)
-    pairs = [shared.where(enough | edits).select("query_id", "id")]
-    # tokens
-    n = F.size("q.tokens")
-    words = t.select("id", F.explode("t.tokens").alias("w")).select("id", _token_key(F.col("w")).alias("g")).distinct()
-    spoken = asked.where(n > 0).select("query_id", (n - F.ceil(overlap * n - 1e-6) + 1).alias("most"), F.posexplode("q.tokens").alias("p", "w")).select("query_id", "most", _token_key(F.col("w")).alias("g"))
-    pairs.append(_rarest(spoken, words, F.col("most")).join(words, "g").select("query_id", "id"))
-    # containment
-    for inner, fields in (("q.key", ("t.key",)), ("q.loose", ("t.loose", "t.authors"))):
-        of = asked.where(F.length(inner) >= 2).select("query_id", F.explode(F.array_distinct(_inner(F.col(inner)))).alias("g"))
-        for field in fields:
-            known = t.select("id", F.explode(F.array_distinct(_inner(F.col(field)))).alias("g"))
-            pairs.append(_rarest(of, known, F.lit(1)).join(known, "g").select("query_id", "id"))
-    single = q.where("length(q.text) = 1 or length(q.loose) = 1").select("query_id", F.explode(F.array_distinct(F.array("q.text", "q.loose"))).alias("g")).where("length(g) = 1")
-    letters = t.select("id", F.explode(F.array_distinct(F.split(F.concat("t.key", "t.loose", "t.authors"), ""))).alias("g"))
-    pairs.append(single.join(letters, "g").select("query_id", "id"))
-    pairs.append(lookup_pairs(q, t))
-    pairs.append(far_pairs(q, t))
-    out = pairs[0]
-    for d in pairs[1:]:
-        out = out.union(d)
-    return out.distinct()
-
-
-#: Characters from which the fixed distance of unlike lengths (99) is less than 0.28 of the longer text.
-FAR = 354
-#: Blocks of queries that a very long title meets one after another.
-FAR_BLOCKS = 64
-
-
-def far_pairs(q: DataFrame, t: DataFrame) -> DataFrame:
-    """Pairs (query_id, id) that score by their lengths alone: FAR characters in one and over eight fewer in the other.
-
-    Each such pair is a hit, whatever its words, so they are as many as the hits; queries are dealt to blocks.
+    Blocks of queries meet blocks of titles (``titleblocks``), so what is shuffled are the titles once for each block of
+    queries; all pairs are looked at, few are kept.  With a limit only pairs are kept that may be among a query's best.
     """
-    asked = q.where("q.key <> ''").select("query_id", F.length("q.text").alias("la"), F.pmod(F.xxhash64("query_id"), F.lit(FAR_BLOCKS)).alias("block"))
-    titled = t.where("t.key <> ''").select("id", F.length("t.key").alias("lb"), F.pmod(F.xxhash64("id"), F.lit(FAR_BLOCKS)).alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(FAR_BLOCKS - 1))).alias("block")
-    apart = F.abs(F.col("la") - F.col("lb")) > 8
-    long_titles = titled.where(F.col("lb") >= FAR).select("id", "lb", every).join(asked, "block").where(apart)
-    long_queries = asked.where(F.col("la") >= FAR).select("query_id", "la", every).join(titled.where(F.col("lb") < FAR), "block").where(apart)
-    return long_titles.select("query_id", "id").union(long_queries.select("query_id", "id"))
+    give_package(q.sparkSession)
+    asked = stored(q.where("q.text <> ''").select("query_id", "q.key", "q.loose", "q.text"))
+    held = stored(t.select("id", "title", "t.key", "t.loose", "t.authors"))
+    blocks = -(-asked.count() // ASKED)
+    if not blocks:
+        return q.limit(0).select("query_id").crossJoin(t.limit(0).select("id"))
+    titles = held.count()
+    parts = max(1, -(-titles // HELD), min(-(-TASKS // blocks), titles // FEW))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.withColumn("block", dealt("query_id", blocks)).withColumn("part", every(parts))
+    right = held.withColumn("part", dealt("id", parts)).withColumn("block", every(blocks))
+    both = [d.repartition(2 * blocks * parts, "block", "part").groupBy("block", "part") for d in (left, right)]
+    kind = lambda d, c: d.schema[c].dataType.simpleString()
+    met = both[0].cogroup(both[1]).applyInPandas(bounded(min_score, limit), f"query_id {kind(q, 'query_id')}, id {kind(t, 'id')}, title string, least long, most long")
+    if limit is None:
+        return met.select("query_id", "id")
+    met = stored(met)
+    by = lambda c: F.struct((-F.col(c)).alias("s"), "title", "id")
+    sure = met.where(F.col("least") >= F.lit(min_score) * 1e6).select("query_id", by("least").alias("bound"))
+    bound = sure.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("bound"))).where(F.col("place") == limit).select("query_id", "bound")
+    return met.join(bound, "query_id", "left").where(F.col("bound").isNull() | (by("most") <= F.col("bound"))).select("query_id", "id")
+
+
+def candidates(q: DataFrame, t: DataFrame, min_score: float = MIN_SCORE, limit: int | None = None) -> DataFrame:
+    """Pairs (query_id, id), among them all with a score from min_score on; with a limit those of each query's best."""
+    return bounded_pairs(q, t, min_score, limit).union(lookup_pairs(q, t)).distinct()
 
 
 def _parts(d: Column) -> Column:
@@ -170,13 +134,27 @@ def with_fallback(hits: DataFrame, queries: DataFrame, cards: DataFrame, left: D
     return hits.select("query_id", "id", "title", "score", "reason").join(found.select("query_id"), "query_id", "left_anti").union(new)
 
 
-def score(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """query_id, id, title, score, reason of all pairs from min_score on; ISBN queries with a card of theirs get that alone."""
+#: Pairs that a task scores.
+SCORED = 25_000
+
+
+def score(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE, limit: int | None = None) -> DataFrame:
+    """query_id, id, title, score, reason of all pairs from min_score on; ISBN queries with a card of theirs get that alone.
+
+    With a limit, which ``top_k`` then applies, pairs that can't be among a query's best are left out.
+    """
     q, t = stored(prepare_queries(queries)), stored(prepare_cards(cards))  # each is read for every way and scored as stored
     only = stored(_first(q, t))  # a card of the number: nothing else is looked for
     rest = q.join(only.select("query_id"), "query_id", "left_anti")
-    pairs = stored(candidates(rest, t, min_score).union(only)).join(q, "query_id").join(t, "id").withColumns(score_parts("q", "t")).withColumn("s", title_score("q", "t", staged=True))
-    return pairs.select("query_id", "id", "title", rounded(F.col("s.score")).alias("score"), F.col("s.reason").alias("reason")).where(F.col("score") >= min_score)
+    return score_pairs(candidates(rest, t, min_score, limit).union(only), q, t, min_score)
+
+
+def score_pairs(pairs: DataFrame, q: DataFrame, t: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """query_id, id, title, score, reason of the pairs (query_id, id) that score min_score or more; q, t: prepared."""
+    pairs = stored(pairs)
+    pairs = pairs.repartition(pairs.count() // SCORED + 1).join(q, "query_id").join(t, "id").withColumns(score_parts("q", "t")).withColumn("s", title_score("q", "t", staged=True))
+    # stored, as a filter on the score would work its parts out again wherever they stand in it
+    return stored(pairs.select("query_id", "id", "title", rounded(F.col("s.score")).alias("score"), F.col("s.reason").alias("reason"))).where(F.col("score") >= min_score)
 
 
 def asked_once(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +172,7 @@ def for_all(ranked: DataFrame, stands_for: DataFrame) -> DataFrame:
 def search_top(queries: DataFrame, cards: DataFrame, min_score: float = MIN_SCORE, limit: int = LIMIT) -> DataFrame:
     """``top_k`` of ``score``; equal queries are scored and ranked once."""
     once, stands_for = asked_once(queries)
-    return for_all(top_k(score(once, cards, min_score), limit), stands_for)
+    return for_all(top_k(score(once, cards, min_score, limit), limit), stands_for)
 
 
 def top_k(hits: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -86,3 +86,29 @@ def test_marks_of_one_title_alone_are_not_kept(spark, monkeypatch):
     assert (0, 1) in set(map(tuple, K.related_candidates(owners).collect()))
     parts = next(d for d in kept if d.columns == ["id", "h"])
     assert 0 < parts.count() < 60 and parts.groupBy("h").count().where("count < 2").isEmpty()
+
+
+def test_best_of_each_query_need_few_pairs(spark):
+    """With a limit a query's best hits, ties too, are found among few pairs, and the bounds hold for each pair."""
+    import numpy as np
+    import pandas as pd
+
+    from shelfmatch.operators import search, titleblocks
+
+    rng = random.Random(9)
+    words = ["river", "rivers", "stone", "garden", "gardan", "moon", "light", "a", "of", "12", "tale", "the"]
+    make = lambda n=6: " ".join(rng.choices(words, k=rng.randint(1, n)))
+    cards = spark.createDataFrame([(f"c{i:03d}", make() if i % 9 else "", [f"Writer {make(3)}"], []) for i in range(150)], "id string, title string, authors array<string>, isbn_digits array<string>")
+    queries = spark.createDataFrame([(i, make()) for i in range(20)] + [(90, "writer"), (91, "rivr ston"), (92, "x"), (93, ""), (94, make(90)), (95, "The moon (unabridged) & stone"), (96, "(unabridged)")], "query_id long, query string")
+    q, t = search.prepare_queries(queries), search.prepare_cards(cards)
+    plain = q.crossJoin(t).withColumn("s", search.title_score("q", "t")).select("query_id", "id", "title", search.rounded(F.col("s.score")).alias("score"), "s.reason").cache()
+    best = lambda d: sorted(map(tuple, search.top_k(d, 5).select("query_id", "id", "score", "reason", "rank").collect()))
+    assert best(search.score(queries, cards, limit=5)) == best(plain.where("score >= 0.42"))
+    n = q.where("q.text <> ''").count()
+    assert search.candidates(q, t, limit=5).count() <= 5 * n < search.candidates(q, t).count()
+    asked, held = (d.toPandas() for d in (q.where("q.text <> ''").select("query_id", "q.key", "q.loose", "q.text"), t.select("id", "title", "t.key", "t.loose", "t.authors")))
+    found = titleblocks.bounded(0.0, None)(asked, held).merge(plain.toPandas(), on=["query_id", "id"])
+    score = np.floor(found["score"] * 1e6 + 0.5)
+    assert len(found) == n * 150 and (found["least"] <= score).all() and (score <= found["most"]).all() and (found["least"] == score).mean() > 0.5
+    assert titleblocks.edit_distances("moon river", ["", "moon river", "mon rivers", "a"]).tolist() == [10, 0, 2, 10]
+    assert len(titleblocks.bounded(0.4, 5)(asked[:0], held)) == 0 == len(titleblocks.bounded(0.4, None)(asked, pd.DataFrame(columns=held.columns)))
