@@ -244,16 +244,20 @@ def token_search(queries: DataFrame, tokens: DataFrame, limit: int = 12) -> Data
     return hits.select("query_id", "row_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= limit)
 
 
+def _fold_marks() -> Column:
+    """Each ISBN and the title key of a hit, if any: a holdings hit folds into one that has a mark of its own."""
+    return F.explode(F.concat(F.transform("isbn_digits", lambda d: F.concat(F.lit("i:"), d)), F.filter(F.array(F.concat(F.lit("t:"), title_key("title"))), lambda k: k != "t:")))
+
+
 def enrich(hits: DataFrame, found: DataFrame, queries: DataFrame, cards: DataFrame, leftovers: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Adds holdings hits (query_id, row_id) that fold into no scored card: query_id, id, title, score, reason.
 
     leftovers: row_id and the columns of cards.  A holdings hit folds into a hit of its query that shares an
     ISBN or its title; else it counts at least .55 (titled) or .7, and at most .9 unless it is a title match.
     """
-    key = title_key("title")
     mine = found.join(leftovers, "row_id")
-    known = hits.join(cards.select("id", "isbn_digits"), "id").select("query_id", F.explode(F.concat(F.transform("isbn_digits", lambda d: F.concat(F.lit("i:"), d)), F.filter(F.array(F.concat(F.lit("t:"), key)), lambda k: k != "t:"))).alias("mark")).distinct()
-    marks = mine.select("query_id", "row_id", F.explode(F.concat(F.transform("isbn_digits", lambda d: F.concat(F.lit("i:"), d)), F.filter(F.array(F.concat(F.lit("t:"), key)), lambda k: k != "t:"))).alias("mark"))
+    known = hits.join(cards.select("id", "isbn_digits"), "id").select("query_id", _fold_marks().alias("mark")).distinct()
+    marks = mine.select("query_id", "row_id", _fold_marks().alias("mark"))
     folded = marks.join(known, ["query_id", "mark"], "left_semi").select("query_id", "row_id").distinct()
     new = mine.join(folded, ["query_id", "row_id"], "left_anti")
     q, t = prepare_queries(queries), prepare_cards(new.select("id", "title", "isbn_digits", "authors").dropDuplicates(["id"]))
@@ -270,17 +274,34 @@ def leftover_cards(leftovers: DataFrame) -> DataFrame:
     return leftovers.select(F.xxhash64("isbn13").alias("row_id"), F.col("isbn13").alias("id"), "isbn13", "extras", F.when(named, F.col("title")).otherwise("").alias("title"), F.array("author").alias("authors"), F.concat(F.array("isbn13"), "extras").alias("isbn_digits"), "author", F.when(named, F.col("title")).otherwise(F.col("series")).alias("label"), F.lit(False).alias("posted"), F.lit(True).alias("in_collection"))
 
 
-def enriched(queries: DataFrame, cards: DataFrame, left: DataFrame) -> DataFrame:
+def enriched(queries: DataFrame, cards: DataFrame, left: DataFrame, limit: int | None = None) -> DataFrame:
     """query_id, id, title, score, reason: scored works of each query together with holdings that linked nowhere, one hit for each work.
 
     All hits are enriched and then collapsed, so cut them last (``top_k``).  left: of ``leftover_cards``, stored.
+
+    With a limit, which ``top_k`` then applies, hits are left out that can't be among a query's best works: a card that
+    belongs to no work with another one is a work of its own, so the best of these are enough.  All hits of the others,
+    and all that a holdings hit of the query may fold into, are scored.
     """
-    from .collapse import collapse_scored
+    from .collapse import collapse_labels, collapse_scored
 
-    found = token_search(queries, search_index(left)[1])
-    hits = stored(enrich(stored(score(queries, cards)), found.select("query_id", "row_id"), queries, cards, left))
+    found = stored(token_search(queries, search_index(left)[1]).select("query_id", "row_id"))
+    if limit is None:
+        several, hits = cards.select("id"), stored(score(queries, cards))
+    else:
+        labels = stored(collapse_labels(cards))
+        several = stored(labels.join(labels.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group").select("id"))
+        q, t = stored(prepare_queries(queries)), stored(prepare_cards(cards))
+        only = stored(_first(q, t))
+        rest = q.join(only.select("query_id"), "query_id", "left_anti")
+        marked = found.join(left, "row_id").select("query_id", _fold_marks().alias("mark")).join(cards.select("id", _fold_marks().alias("mark")), "mark").select("query_id", "id")
+        pairs = bounded_pairs(rest, t.join(several, "id", "left_anti"), limit=limit).union(bounded_pairs(rest, t.join(several, "id", "left_semi"))).union(marked.join(rest, "query_id", "left_semi"))
+        hits = score_pairs(pairs.distinct().union(only), q, t)
+    hits = stored(enrich(hits, found, queries, cards, left))
     columns = ("id", "isbn_digits", "posted", "in_collection")
-    return collapse_scored(hits.join(cards.select(*columns).union(left.select(*columns)), "id"))
+    may_share = several.union(left.select("id")).distinct()
+    works = collapse_scored(hits.join(may_share, "id", "left_semi").join(cards.select(*columns).union(left.select(*columns)), "id"))
+    return works.union(hits.join(may_share, "id", "left_anti").select(*works.columns))
 
 
 def empty_query(cards: DataFrame, limit: int = LIMIT) -> DataFrame:

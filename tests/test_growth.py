@@ -112,3 +112,20 @@ def test_best_of_each_query_need_few_pairs(spark):
     assert len(found) == n * 150 and (found["least"] <= score).all() and (score <= found["most"]).all() and (found["least"] == score).mean() > 0.5
     assert titleblocks.edit_distances("moon river", ["", "moon river", "mon rivers", "a"]).tolist() == [10, 0, 2, 10]
     assert len(titleblocks.bounded(0.4, 5)(asked[:0], held)) == 0 == len(titleblocks.bounded(0.4, None)(asked, pd.DataFrame(columns=held.columns)))
+
+
+def test_best_works_need_few_hits(spark):
+    """Works of several cards, untitled cards and holdings that fold in: the best works are those of all hits."""
+    from shelfmatch.operators import search
+
+    rng = random.Random(12)
+    words = ["river", "rivers", "stone", "garden", "moon", "light", "tale"]
+    make = lambda n=3: " ".join(rng.choices(words, k=rng.randint(1, n)))
+    rows = [(f"c{i:02d}", make() if i % 7 else "", [f"Writer {make(2)}"], [f"97800000000{rng.randrange(90):02d}"] * (i % 3 > 0), bool(i % 2), not i % 2) for i in range(70)]
+    cards = spark.createDataFrame(rows, "id string, title string, authors array<string>, isbn_digits array<string>, posted boolean, in_collection boolean")
+    held = [(f"97811111111{i:02d}", [f"97800000000{rng.randrange(90):02d}"], make(), "Ann", "") for i in range(25)]
+    left = search.leftover_cards(spark.createDataFrame(held, "isbn13 string, extras array<string>, title string, author string, series string"))
+    queries = spark.createDataFrame([(i, make()) for i in range(15)] + [(90, "writer"), (91, "9780000000011"), (92, "97800000000"), (93, "")], "query_id long, query string")
+    best = lambda d: sorted(map(tuple, search.top_k(d, 4).select("query_id", "id", "title", "score", "reason", "rank").collect()))
+    whole, few = search.enriched(queries, cards, left), search.enriched(queries, cards, left, 4)
+    assert best(few) == best(whole) and few.count() < whole.count()
