@@ -61,11 +61,10 @@ def build_cards(rows: DataFrame, levels: Sequence[str] | None = None, labels: Da
     r = rows.where("group_key <> ''").join(card_labels(rows) if labels is None else labels, "group_key", "left").withColumn("gid", F.coalesce("label", "group_key"))
     r = stored(r.withColumns({"batch": cell("source_batch"), "held": _held(), "holdings_batch": is_holdings_batch("source_batch") | (F.col("presence") == "holdings"), "audience_v": audience_value("audience"), "level_v": normalize_level("level"), "edition_v": cell("edition"), **{f"{c}_v": review_value(c) for c in REVIEWS}}))
     some = lambda c: F.collect_set(F.nullif(c, F.lit("")))
-    agg = r.groupBy("gid").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_distinct("group_key").alias("groups"),
-        F.count_distinct(F.nullif("title", F.lit(""))).alias("titles"),
-        F.min_by("group_key", F.struct(*PLACE)).alias("base_key"),
+    # values of equal rows are gathered once, and counts come from their own rows: sets beside distinct counts would be carried through each of their steps
+    flags = {**{f"has_{f}": truthy(f) for f in ("book", "ebook", "audio")}, "flagged": truthy("possible_duplicate")}
+    each = r.select("gid", "isbns", "batch", "held", "holdings_batch", "level_v", "audience_v", "edition_v", *(f"{c}_v" for c in REVIEWS), *(v.alias(n) for n, v in flags.items())).distinct()
+    agg = each.groupBy("gid").agg(
         F.array_distinct(F.flatten(F.collect_set("isbns"))).alias("isbns"),
         some("batch").alias("batches"),
         F.collect_set(F.when(~F.col("holdings_batch"), F.nullif("batch", F.lit("")))).alias("posted_batches"),
@@ -73,12 +72,15 @@ def build_cards(rows: DataFrame, levels: Sequence[str] | None = None, labels: Da
         some("level_v").alias("levels"),
         F.array_sort(some("audience_v")).alias("audiences"),
         F.array_sort(some("edition_v")).alias("editions"),
-        F.struct(F.max(truthy("book")).alias("book"), F.max(truthy("ebook")).alias("ebook"), F.max(truthy("audio")).alias("audio")).alias("formats"),
+        F.struct(*(F.max(f"has_{f}").alias(f) for f in ("book", "ebook", "audio"))).alias("formats"),
         F.max(~F.col("held")).alias("posted"),
         F.max("held").alias("in_collection"),
-        F.max(truthy("possible_duplicate")).alias("flagged"),
+        F.max("flagged").alias("flagged"),
         F.struct(*(F.array_sort(F.collect_set(f"{c}_v")).alias(c) for c in REVIEWS)).alias("review_lists"),
     )
+    told = r.groupBy("gid", "group_key", "title").agg(F.count(F.lit(1)).alias("n"))
+    counts = told.groupBy("gid").agg(F.sum("n").alias("row_count"), F.count_distinct("group_key").alias("groups"), F.count_distinct(F.nullif("title", F.lit(""))).alias("titles"))
+    agg = agg.join(counts, "gid").join(r.groupBy("gid").agg(F.min_by("group_key", F.struct(*PLACE)).alias("base_key")), "gid")
     cards = agg.join(display_titles(r, "gid"), "gid", "left").join(ordered_values(r, "gid", F.col("author"), "names"), "gid", "left")
     title = F.coalesce("display_title", F.lit(""))
     key = F.coalesce(F.nullif(title_key(title), F.lit("")), F.col("base_key"))

@@ -129,3 +129,28 @@ def test_best_works_need_few_hits(spark):
     best = lambda d: sorted(map(tuple, search.top_k(d, 4).select("query_id", "id", "title", "score", "reason", "rank").collect()))
     whole, few = search.enriched(queries, cards, left), search.enriched(queries, cards, left, 4)
     assert best(few) == best(whole) and few.count() < whole.count()
+
+
+def test_names_are_folded_once(spark):
+    """Of a card's authors each name is folded once, not once for each other name."""
+    from shelfmatch.functions.text import canonical_authors
+
+    names = spark.createDataFrame([(["Ann Poe", "Poe, Ann", " ann  poe", "", "Bo", "BO", "Cy Day Lee", "lee, cy day", "Di Fox"],), (None,), ([],)], "names array<string>")
+    made = names.select(canonical_authors("names"))
+    assert [r[0] for r in made.collect()] == [["Poe, Ann", "Bo", "lee, cy day", "Di Fox"], None, []]
+    assert made._jdf.queryExecution().analyzed().toString().count("lower(") <= 8
+
+
+def test_bulk_facets_build_no_cards(spark, monkeypatch):
+    """Counts of batches need rows and components alone; the marks of repeats don't shuffle whole rows."""
+    from shelfmatch.operators import cards, ingest
+    from shelfmatch.plans import queries
+
+    rows = [(1, k, "b", "master", t, "A", b, "high", "", "", "", i) for k, (t, b, i) in enumerate([("Moon tale", "Sep 2025", "9780028653785"), ("The moon tale!", "Sep 2025", "9780028653785"), ("Moon tales", "Jan 2026", "9780028653785"), ("Stone", "Jan 2026", ""), ("Stone", "Jan 2026", "")])]
+    listed = spark.createDataFrame(rows, "source_seq int, row_seq long, source_label string, kind string, title string, author string, source_batch string, level string, format string, book string, audience string, isbn string")
+    monkeypatch.setattr(queries, "_v", lambda *a: listed)
+    monkeypatch.setattr(cards, "build_cards", lambda *a, **k: 1 / 0)
+    assert {tuple(r) for r in queries.bulk_facets(spark, "").collect()} == {("Sep 2025", 1), ("Jan 2026", 2)}
+    marked = ingest.with_status(ingest.prepare(listed))
+    assert sorted((r.row_seq, r.status) for r in marked.collect()) == [(0, "accepted"), (1, "duplicate"), (2, "accepted"), (3, "accepted"), (4, "duplicate")]
+    assert "Exchange hashpartitioning" not in marked._jdf.queryExecution().executedPlan().toString()
