@@ -154,3 +154,16 @@ def test_bulk_facets_build_no_cards(spark, monkeypatch):
     marked = ingest.with_status(ingest.prepare(listed))
     assert sorted((r.row_seq, r.status) for r in marked.collect()) == [(0, "accepted"), (1, "duplicate"), (2, "accepted"), (3, "accepted"), (4, "duplicate")]
     assert "Exchange hashpartitioning" not in marked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_title_is_folded_once(spark, monkeypatch):
+    """Titles are made distinct before they are folded: no filter on the folded text is moved to the rows."""
+    from shelfmatch.operators import components as K
+
+    asked, real = [], K.stored
+    monkeypatch.setattr(K, "stored", lambda df: asked.append(df) or real(df))
+    titles = spark.createDataFrame([("a", "Moon tale"), ("a", "Moon tale"), ("b", "Moon tales"), ("c", "!!")], "key string, title string")
+    isbns = spark.createDataFrame([(k, "9780028653785") for k in "abc"], "key string, isbn string")
+    assert [tuple(r) for r in K.shared_isbn_pairs(isbns, titles).collect()] == [("a", "b")]
+    folded = next(d for d in asked if d.columns == ["id", "key", "fk"])
+    assert "Filter" not in folded._jdf.queryExecution().optimizedPlan().toString()
